@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,3 +66,29 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def appended(df: DataFrame, column: str, compute: Callable[[list], dict[str, list]], schema: str, *, binary: bool = False) -> DataFrame:
+    """Replaces ``column`` by what ``compute`` makes of its values (UTF-8 bytes if ``binary``), an Arrow batch at a time.
+
+    The other columns pass through untouched, so that null keys and large integers stay as they are.
+    """
+    kept = df.drop(column)
+    added = df.sparkSession.createDataFrame([], schema).schema
+    names = [*kept.columns, *added.names]
+    kinds = {f.name: _arrow_type(f.dataType.simpleString()) for f in added.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column))
+            made = compute((values.cast(pa.binary()) if binary else values).to_pylist())
+            passed = [c for name, c in zip(batch.schema.names, batch.columns) if name != column]
+            yield pa.RecordBatch.from_arrays([*passed, *(pa.array(made[n], kinds[n]) for n in kinds)], names=names)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*kept.schema.fields, *added.fields]]
+    return df.mapInArrow(run, ", ".join(fields))
+
+
+def _arrow_type(name: str) -> pa.DataType:
+    simple = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return simple[name]
