@@ -12,6 +12,7 @@ from .language import identify, train
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import apply_host_rules
+from .simhash import near_duplicates
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +32,9 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_host_rules(documents(spark, sf_dir))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
