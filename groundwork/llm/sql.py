@@ -20,5 +20,14 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (repeats * size + leas
 """
 
 
+OP5 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6}
+    return {"op5_warc_salvage": OP5, "op6_mix_sources": OP6}
