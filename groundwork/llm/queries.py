@@ -12,6 +12,7 @@ from .language import identify, train
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import apply_host_rules
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .warc import round_trip
 
@@ -21,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~F.col("held_out"))), keep=("held_out",))
 
 
+def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
