@@ -11,6 +11,7 @@ from .common import documents
 from .language import identify, train
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .packing import pack
 from .quality import apply_host_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -38,6 +39,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_host_rules(documents(spark, sf_dir))
 
