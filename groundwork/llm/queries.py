@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import apply_host_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .warc import round_trip
 
 
@@ -24,6 +25,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~F.col("held_out"))), keep=("held_out",))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op3_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
