@@ -218,7 +218,7 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(left), spans
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 64 << 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 64 << 20, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes from every whole text, as UTF-8 bytes, each byte covered by a ``length``-byte string that also starts earlier: at a smaller key,
     or in the same document before.
 
@@ -229,17 +229,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", b
 
     ``key`` must cast to long. Null text: empty. Null keys come first. Rows with one key are ordered by a hash of their texts; equal rows count as one
     document and get equal results. Texts under ``length`` bytes stay whole. Returns key, n_bytes, n_removed, n_spans,
-    kept_sha256 and, with ``texts``, kept_text (bytes of characters cut in two are left out). No rows: no rows. Other columns are ignored.
+    kept_sha256, ``keep`` columns and, with ``texts``, kept_text (bytes of characters cut in two are left out). No rows: no rows. Other columns are ignored.
     """
     kind = docs.schema[key].dataType
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    runs = repeated_runs(rows, length).groupBy("_doc").agg(F.collect_list("at").alias("_runs"))
-    joined = rows.join(runs, "_doc").select("_doc", "_text", "_runs")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    also = [f"_keep_{c}" for c in keep]
+    runs = repeated_runs(rows.select("_doc", "_text"), length).groupBy("_doc").agg(F.collect_list("at").alias("_runs"))
+    joined = rows.join(runs, "_doc").select("_doc", "_text", "_runs", *also)
     pieces = shard_pieces(joined, length).repartition(n, "anchor").sortWithinPartitions("anchor", "piece", "_doc", "twin", "start")
     ranges = sort_shards(pieces, length, budget)
     ranges = ranges.groupBy("_doc").agg(F.collect_list(F.struct("twin", "lo", "hi")).alias("_ranges"))
-    marked = rows.join(ranges, "_doc", "left").select("_doc", "_text", "_ranges")
+    marked = rows.join(ranges, "_doc", "left").select("_doc", "_text", "_ranges", *also)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,10 +255,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", b
                 row = (doc, len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest())
                 out.append((*row, left.decode("utf-8", "ignore")) if texts else row)
             types = [pa.int64()] * 4 + [pa.string()] * (1 + texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)), *batch.columns[3:]], names=[*names, *also])
 
     names = ["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * texts]
     schema = "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
+    schema += "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
     out = marked.mapInArrow(finish, schema)
     own = F.when(F.col("_doc") != NO_KEY, F.col("_doc")).cast(kind)
-    return out.select(own.alias(key), *names[1:])
+    return out.select(own.alias(key), *names[1:], *(F.col(f"_keep_{c}").alias(c) for c in keep))
