@@ -1 +1,5 @@
-"""See the modules of this subpackage."""
+"""Registered queries: importing this package fills the registry."""
+
+from . import corpus, registry, retrieval  # noqa: F401
+
+PLANS = registry
