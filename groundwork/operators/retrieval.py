@@ -140,3 +140,40 @@ def embed_distinct(rows: DataFrame, text: str, embed: Callable[[DataFrame], Data
     """Embeds each distinct text once and joins the vectors back."""
     vectors = embed(rows.select(F.col(text).alias("text")).distinct())
     return rows.join(vectors.withColumnRenamed("text", "_embedded"), F.col(text).eqNullSafe(F.col("_embedded")), "left").drop("_embedded")
+
+
+def passages_in(docs: DataFrame, passages: DataFrame, key: str, *, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(passage_id, key): documents whose text holds a passage whole. ``passages`` has passage_id and text.
+
+    One pass over the texts per block of passages of at most ``most_bytes`` (measured first), with a string automaton that finds all of them at once;
+    nothing but the hits is shuffled.
+    """
+    import ahocorasick
+
+    total = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // most_bytes))
+    rows, out = docs.select(key, "text"), None
+    schema = f"passage_id {passages.schema['passage_id'].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}"
+    for block in range(blocks):
+        words: dict[str, list] = {}
+        for r in passages.where(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == block).where("text <> ''").toLocalIterator():
+            words.setdefault(r.text, []).append(r.passage_id)
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                machine.add_word(text, ids)
+            if shared.value:
+                machine.make_automaton()
+            for batch in batches:
+                hits, at = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    found = {p for _, ids in machine.iter(text) for p in ids} if text and shared.value else ()
+                    hits += found
+                    at += [i] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["passage_id", key])
+
+        part = rows.mapInArrow(find, schema)
+        out = part if out is None else out.unionByName(part)
+    return out

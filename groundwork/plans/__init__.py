@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import corpus, registry, retrieval  # noqa: F401
+from . import corpus, grounding, registry, retrieval, rules, traffic  # noqa: F401
 
 PLANS = registry

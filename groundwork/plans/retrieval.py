@@ -130,23 +130,13 @@ def lexical_hits(spark, sf):
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
-PROBE = 60
-
-
 def gold(spark, sf):
-    """Cases: benchmark passages, expected in the documents that hold them whole; a passage that no document holds isn't answerable.
-
-    Candidates meet by a key: the passage's first PROBE characters, which a document is cut into at every position that starts a sentence.
-    """
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.substring("text", 1, PROBE).alias("probe"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    starts = F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)(?<![^\s])(?=(.{{{PROBE}}}))"), 1), lambda x: x)
-    pieces = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("probe"))
-    hits = pieces.join(F.broadcast(items), "probe")  # the benchmark is a fixed table of passages
-    held = hits.join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
-    cases = table(spark, sf, "benchmark").select("item_id").join(held, "item_id", "left")
+    """Cases: benchmark passages, expected in the documents that hold them whole; a passage that no document holds isn't answerable."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    held = retrieval.passages_in(table(spark, sf, "documents"), items, "doc_id").groupBy("passage_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
+    cases = items.select("passage_id").join(held, "passage_id", "left")
     none = F.array().cast("array<bigint>")
-    return cases.select(F.col("item_id").alias("query_id"), F.col("expected").isNotNull().alias("answerable"), F.coalesce("expected", none).alias("expected"))
+    return cases.select(F.col("passage_id").alias("query_id"), F.col("expected").isNotNull().alias("answerable"), F.coalesce("expected", none).alias("expected"))
 
 
 def retrieved(spark, sf):
