@@ -10,7 +10,7 @@ from groundwork.operators import traffic
 from .registry import query, table
 
 DAY, LIMIT, GAP, TTL = 86400, 5, 1800, 43200
-NOW = "2024-01-28 00:00:00"
+NOW, TIMEOUT = "2024-01-31 00:00:00", 43200
 
 
 def events(spark, sf):
@@ -73,9 +73,9 @@ def sessionize(spark, sf):
     return traffic.sessionize(events(spark, sf), "user_id", "ts", GAP, "event_id")
 
 
-@query(f"SELECT user_id, max(ts) AS last_activity FROM events GROUP BY 1 HAVING epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts)) > {GAP * 1000000}")
+@query(f"SELECT user_id, max(ts) AS last_activity FROM events GROUP BY 1 HAVING epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts)) > {TIMEOUT * 1000000}")
 def expired_sessions(spark, sf):
-    return traffic.expired_sessions(events(spark, sf), "user_id", "ts", GAP, NOW)
+    return traffic.expired_sessions(events(spark, sf), "user_id", "ts", TIMEOUT, NOW)
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || user_id WHEN 1 THEN 'host' || user_id ELSE 'unknown-client' END AS client FROM events")

@@ -15,7 +15,7 @@ EXPECTED_FIELDS = ("expected_chunk_ids", "expected_chunks", "required_source_ids
 
 def scan_corpus(spark: SparkSession, root: str, languages: Sequence[str], excluded: Sequence[str] = EXCLUDED) -> DataFrame:
     """(path, file_name, source_language, text) of the Markdown files in the wanted languages. Sort by path where order matters."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
     rows = rows.withColumn("source_language", T.language_by_file_name(F.col("file_name")))
     return rows.where(~F.col("file_name").isin(*excluded) & F.col("source_language").isin(*languages))
@@ -24,7 +24,7 @@ def scan_corpus(spark: SparkSession, root: str, languages: Sequence[str], exclud
 def load_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """(query, answerable, expected) from JSON: a list of cases, or an object with ``cases`` or ``questions``."""
     case = "struct<query:string,question:string,answerable:boolean," + ",".join(f"{f}:array<string>" for f in EXPECTED_FIELDS) + ">"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = F.from_json("value", f"array<{case}>")
     inside = F.from_json("value", f"struct<cases:array<{case}>,questions:array<{case}>>")
     cases = raw.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(F.coalesce(inside["cases"], inside["questions"]))).alias("c")).select("c.*")
