@@ -35,9 +35,8 @@ def tokens(text: str | None, path: str) -> np.ndarray:
     return np.append(np.array(encoder(path).encode_ordinary(text or ""), dtype=np.uint16), np.uint16(END_ID))
 
 
-def tokenized(docs: DataFrame, key: str, path: str) -> DataFrame:
+def tokenized(rows: DataFrame, path: str) -> DataFrame:
     """Written table: _key, _queue, doc_tokens, _ids, and where the row's tokens start among those of its queue in its task (_task, _start)."""
-    rows = docs.select(F.col(key).alias("_key"), "_queue", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, filled = TaskContext.get().partitionId(), {}
@@ -110,13 +109,14 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
     alone. Repeated rows are packed each. Null keys stay null. No rows: no rows. Other columns are ignored.
     """
     path = ranks or public_tokenizers.path(RANKS)
-    names = docs.select(F.col(source).alias("_source")).distinct()
+    docs = docs.select(F.col(key).alias("_key"), F.col(source).alias("_own"), "text")
+    names = docs.select(F.col("_own").alias("_source")).distinct()
     turn = ranked(names.withColumn("_none", F.col("_source").isNull()), [], [F.col("_none"), F.col("_source")], "_turn")
     turn = turn.select("_source", F.when(F.col("_turn") < queues, F.col("_turn")).otherwise(F.pmod(F.xxhash64("_source"), F.lit(queues))).cast("int").alias("_queue"))
     few = turn.count() <= 10000  # only then are the names small enough to be sent to every task
     turn = F.broadcast(turn) if few else turn
-    queued = docs.join(turn, F.col(source).eqNullSafe(F.col("_source")), "left")
-    held = tokenized(queued.select(F.col(key), "_queue", "text"), key, path)
+    queued = docs.join(turn, F.col("_own").eqNullSafe(F.col("_source")), "left")
+    held = tokenized(queued.select("_key", "_queue", "text"), path)
     sums = held.groupBy("_queue", "_task").agg(F.sum("doc_tokens").alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_queue").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = written(sums.withColumn("_base", earlier), "sums")
