@@ -19,7 +19,7 @@ def propagate(linked: DataFrame, capacity: int, shards: int, turns: int) -> Data
     """Moves linked documents towards the shard where most of their group is, ``turns`` times, under quotas.
 
     ``linked`` has _id, _group, shard. In a turn, every (group, shard) cell votes with its size; the group's target is the fullest
-    cell among shards that still have room. Movers to a target are let in with the chance quota / requests: by group, so that small groups
+    cell among shards that still have over a tenth of their room, and smaller cells ask to move there. Movers to a target are let in with the chance quota / requests: by group, so that small groups
     stay together, or document by document where a cell is over a tenth of a shard. Cells and loads are
     pre-aggregated; the documents meet one row per group in a join that Spark may split where a group is hot.
     """
@@ -27,22 +27,23 @@ def propagate(linked: DataFrame, capacity: int, shards: int, turns: int) -> Data
         cells = linked.groupBy("_group", "shard").agg(F.count("*").alias("_n"))
         loads = F.broadcast(cells.groupBy("shard").agg(F.sum("_n").alias("_load")))  # one row per shard
         roomy = cells.join(loads, "shard").withColumn("_room", F.greatest(F.lit(capacity) - F.col("_load"), F.lit(0)))
-        spread = F.col("_room") > 0
-        target = roomy.groupBy("_group").agg(
-            F.max_by("shard", F.struct(spread.cast("int"), "_n", F.xxhash64("_group", "shard"))).alias("_target"), F.max("_n").alias("_most"), F.sum("_n").alias("_all")
-        )
-        target = target.where(F.col("_all") > F.col("_most"))
-        asked = cells.join(target, "_group").where("shard <> _target").groupBy("_target").agg(F.sum("_n").alias("_asked"))
+        spread = F.col("_room") > capacity // 10  # a shard that is nearly full draws no more documents
+        order = F.struct("_n", F.xxhash64("_group", "shard"))
+        best = F.max(F.struct(spread.cast("int").alias("open"), order.alias("order"), F.col("shard").alias("shard"))).alias("_best")
+        target = roomy.groupBy("_group").agg(best, F.sum("_n").alias("_all"))
+        target = target.where("_best.open = 1").select("_group", "_all", F.col("_best.shard").alias("_target"), F.col("_best.order").alias("_order"))
+        moves = cells.join(target, "_group").where((F.col("shard") != F.col("_target")) & (order < F.col("_order")))
+        asked = moves.groupBy("_target").agg(F.sum("_n").alias("_asked"))
         room = loads.select(F.col("shard").alias("_target"), F.greatest(F.lit(capacity) - F.col("_load"), F.lit(0)).alias("_quota"))
         chance = F.broadcast(asked.join(room, "_target", "left").select("_target", F.least(F.coalesce("_quota", F.lit(capacity)) / F.col("_asked"), F.lit(1.0)).alias("_chance")))
-        goal = target.join(chance, "_target", "left")
+        goal = moves.join(chance, "_target").select("_group", "shard", "_all", "_target", "_chance")
         by = F.when(F.col("_all") > capacity / 10, _chance("_id", "_group", F.lit(turn))).otherwise(_chance("_group", F.lit(turn)))
-        moved = linked.join(goal, "_group", "left").withColumn("shard", F.when(by < F.col("_chance"), F.col("_target")).otherwise(F.col("shard")))
+        moved = linked.join(goal, ["_group", "shard"], "left").withColumn("shard", F.when(by < F.col("_chance"), F.col("_target")).otherwise(F.col("shard")))
         linked = written(moved.select("_id", "_group", "shard"), f"labels{turn}")
     return linked
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 24, turns: int = 4, key: str = "doc_id") -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 24, turns: int = 6, key: str = "doc_id") -> DataFrame:
     """Puts all documents into ``shards`` shards whose counts differ by one at most (law ``rows``), equal texts together where they fit.
 
     Documents with equal texts are linked (null text: as the empty one). Labels start from a hash and are propagated (``propagate``). Then the law is made exact:

@@ -1,0 +1,304 @@
+"""Every operator against brute force, and its defined results on odd rows."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from groundwork.llm import digests, language, licenses, mixing, packing, quality, sharding, simhash, substrings, suffixes
+
+WORDS = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+
+
+OPERATORS = {
+    "language": lambda d: language.identify(d, language.train(d)),
+    "substrings": lambda d: substrings.remove_repeats(d, texts=True, keep=("source",)),
+    "sharding": lambda d: sharding.shard_documents(d, shards=3, turns=2),
+    "licenses": licenses.scan_licenses,
+    "mixing": mixing.mix_sources,
+    "digests": digests.fingerprint_documents,
+    "packing": packing.pack,
+    "quality": quality.apply_host_rules,
+    "simhash": simhash.near_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_clashing_names(name, odd, clash):
+    plain = OPERATORS[name](odd).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, OPERATORS[name](clash).collect()))
+    ids = sorted(str(r.doc_id) for r in plain)
+    assert set(ids) == {"1", "2", "3", "4", "5", "6", "7", "8", "None"}
+    if name != "packing":
+        assert len(plain) == odd.count()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_rows(name, odd):
+    assert OPERATORS[name](odd.limit(0)).count() == 0
+
+
+def test_language_learns_and_rejects(make):
+    rows = [(i, prose(i, 30), "x", "s") for i in range(60)] + [(100 + i, prose(i, 30).replace("a", "ø").replace("t", "þ"), "y", "s") for i in range(60)]
+    rows += [(500, "12 34 !!", "x", "s"), (501, None, "y", "s")]
+    docs = make(rows)
+    out = {r.doc_id: r for r in language.identify(docs, language.train(docs.where("doc_id % 4 <> 2"))).collect()}
+    assert all(out[i].lang_pred == ("x" if i < 100 else "y") for i in out if i < 500)
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert [out[i].lang_pred for i in (500, 501)] == ["und", "und"] and out[500].ambiguous
+    assert language.train(make([(1, "a", None, "s")])) is None
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 5, 9, 30])
+def test_codewords_differ(k):
+    code = language.codewords(k)
+    assert len({tuple(r) for r in code}) == k
+
+
+def repeats_by_force(texts, length):
+    seen, out = set(), []
+    for data in texts:
+        covered = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            if data[i : i + length] in seen:
+                covered[i : i + length] = b"\1" * length
+            seen.add(data[i : i + length])
+        out.append((bytes(c for c, m in zip(data, covered) if not m), sum(1 for i, m in enumerate(covered) if m and (i == 0 or not covered[i - 1]))))
+    return out
+
+
+def test_repeats_match_brute_force(make):
+    shared = prose(1, 40)
+    texts = [prose(10 + i, 60) for i in range(25)]
+    texts = [t[:200] + (shared if i % 3 == 0 else shared[5 * i :]) + t[200:] for i, t in enumerate(texts)]
+    texts += [texts[3], texts[3], "ab" * 400, "ab" * 90, "a" * 99, "a" * 100, "a" * 101, "", None, "\0\1" * 80, texts[5][:150]]
+    out = {r.doc_id: r for r in substrings.remove_repeats(make(texts), texts=True).collect()}
+    for i, (left, spans) in enumerate(repeats_by_force([(t or "").encode() for t in texts], 100)):
+        assert (out[i].kept_sha256, out[i].n_spans) == (hashlib.sha256(left).hexdigest(), spans), i
+        assert out[i].n_bytes - out[i].n_removed == len(left)
+        assert out[i].kept_text == left.decode("utf-8", "ignore")
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_repeated_starts_and_spills(seed):
+    rng = random.Random(seed)
+    alphabet = rng.choice([b"ab", b"a", b"\0\1\xff", bytes(range(256))])
+    pieces = [bytes(rng.choice(alphabet) for _ in range(rng.randint(8, 60))) for _ in range(rng.randint(1, 8))]
+    pieces += [pieces[0] + pieces[-1]]
+    starts, seen, want = [len(p) - 7 for p in pieces], set(), []
+    for p, n in zip(pieces, starts):
+        for i in range(n):
+            want.append(p[i : i + 8] in seen)
+            seen.add(p[i : i + 8])
+    for budget in (64, 1 << 20):
+        assert suffixes.repeated_starts(pieces, starts, 8, budget).tolist() == want
+
+
+def test_long_text_is_cut_into_segments(make):
+    text = prose(3, 60000)
+    out = substrings.remove_repeats(make([text, text[1000:]])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in out][1] == len(text[1000:].encode())
+
+
+def test_shards_are_even_and_keep_groups(make):
+    rows = [(i, f"text {i // 5 if i < 100 else i}", "en", "a") for i in range(250)] + [(1000 + i, "hot", "en", "a") for i in range(130)]
+    out = sharding.shard_documents(make(rows), shards=6).collect()
+    counts = [sum(r.shard == s for r in out) for s in range(6)]
+    assert max(counts) - min(counts) <= 1 and len(out) == 380
+    for s in range(6):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(counts[s]))
+    by_doc = {r.doc_id: r for r in out}
+    split = sum(len({by_doc[5 * g + j].shard for j in range(5)}) > 1 for g in range(20))
+    assert split <= 6
+    assert len({by_doc[1000 + i].shard for i in range(130)}) <= 4
+    assert by_doc[1000].size == 11 and by_doc[1000].text_crc32 == zlib.crc32(b"hot")
+
+
+def test_license_places_and_labels(make):
+    docs = make(
+        ["Released under the MIT License. Also UNDER-the mit/license!", "x Licensed under the Apache License, Version 2.0 y", "CC BY-NC 4.0", "the mit under license", None,
+         "This work is licensed under the GNU General Public License, version 3.", "general public version of this license work licensed gnu"]
+    )
+    out = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert (out[0].n_base, out[0].first_word, out[0].last_word, out[0].base_labels) == (2, 1, 6, "mit")
+    assert out[1].base_labels == "apache-2" and out[1].first_word == 4
+    assert "cc-by-nc" in out[2].labels and out[3].labels == "" and out[3].first_word is None
+    assert (out[4].n_words, out[4].score) == (0, 0.0)
+    assert out[5].labels == "gpl-3" and out[5].base_labels == "" and out[6].labels == ""
+
+
+def targets_by_force(sizes, weights=(5, 2, 1)):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w, total, fixed = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        rest = total - sum(fixed.values())
+        level = rest / sum(w[s] for s in free) if free else 0
+        more = [s for s in free if 3 * sizes[s] <= level * w[s]]
+        if not more:
+            return {s: fixed.get(s, level * w[s]) for s in names}
+        fixed |= {s: 3 * sizes[s] for s in more}
+
+
+def test_mix_meets_targets(make):
+    rng = random.Random(5)
+    rows = [(i, prose(i, rng.randint(0, 60)), "en", rng.choice(["a", "a", "a", "b", "c", "d", None, "é"])) for i in range(400)]
+    rows.append((900, prose(900, 500), "en", "solo"))
+    out = mixing.mix_sources(make(rows), keep=("source",)).collect()
+    sizes = {}
+    for r in out:
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+    wanted = targets_by_force(sizes)
+    for s, want in wanted.items():
+        mine = [r for r in out if r.source == s]
+        assert mine[0].target == pytest.approx(want) and sum(r.taken for r in mine) == round(mine[0].target)
+        assert all(0 <= r.taken <= 3 * r["size"] for r in mine)
+        floors = {r.taken // r["size"] for r in mine if r["size"]}
+        assert max(floors) - min(floors) <= 1
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(make(rows).repartition(7), keep=("source",)).collect()))
+
+
+def test_digests_edit_and_likeness(make):
+    texts = {i: prose(i, 120) for i in range(12)} | {20: prose(1, 120), 21: "", 22: None, 23: "short é", 24: prose(7, 30)}
+    out = {r.doc_id: r for r in digests.fingerprint_documents(make([(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    order = sorted(texts, reverse=True)
+    for i, key in enumerate(order):
+        own, after = texts[key] or "", texts[order[(i + 1) % len(order)]] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert (out[key].n_chars, out[key].edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= out[key].near_next <= 1
+    assert all(0.2 < out[i].near_edited < 0.8 > out[i].near_next for i in range(1, 12))
+    assert out[20].fingerprint == out[1].fingerprint and out[21].fingerprint == out[22].fingerprint == ""
+
+
+def entropy_by_force(window):
+    counts = np.bincount(np.frombuffer(window, dtype=np.uint8))
+    p = counts[counts > 0] / len(window)
+    return float(-(p * np.log2(p)).sum() / np.log2(len(window)))
+
+
+def test_entropy_levels():
+    rng = np.random.default_rng(0)
+    data = bytes(rng.integers(0, 12, 300, dtype=np.uint8)) + b"a" * 40
+    for w in (8, 32):
+        got = digests.entropy_levels(data, w)
+        want = [entropy_by_force(data[i : i + w]) * (digests.LEVELS - 1) for i in range(len(data) - w + 1)]
+        assert len(got) == len(want) and np.abs(got - np.array(want)).max() <= 1.01
+
+
+def test_packing_against_the_tokenizer(make):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = [prose(i, 40 + 37 * i % 300) for i in range(60)] + ["", None, "<|endoftext|> x", "\n\n  tabs\t é 漢字 👍"]
+    rows = [(i, t, "en", "abcd"[i % 4] if i % 9 else None) for i, t in enumerate(texts)]
+    got = packing.pack(make(rows), width=64).toPandas().sort_values(["doc_id", "start"])
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        at = 0
+        for r in got[got.doc_id == i].itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+    lengths = got.groupby("sequence_id").length.sum()
+    assert (lengths.iloc[:-1] == 64).all() and lengths.iloc[-1] <= 64
+    owner = {i: r[3] for i, r in enumerate(rows)}
+    share = got.assign(s=[str(owner[i]) for i in got.doc_id]).groupby(["s", "sequence_id"]).length.sum()
+    for s, x in share.groupby("s"):
+        want = 64 * x.sum() / got.length.sum()
+        assert (x.groupby("sequence_id").sum().iloc[:-1] - want).abs().max() <= 2.01
+
+
+def test_deficits_are_monotone():
+    totals = np.array([5, 1000, 37, 1, 4000])
+    got = packing.served(np.arange(0, -(-totals.sum() // 16) + 1), totals, 16)
+    assert (np.diff(got, axis=0) >= 0).all() and (got[-1] == totals).all()
+    assert (got.sum(axis=1) == np.minimum(np.arange(len(got)) * 16, totals.sum())).all()
+
+
+def measure_by_force(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dups = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(covered)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_measures(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a ", "b ", "c\n", "\x85", "\xa0d ", "#% ", "\r\n", "é", "a b c "]) for _ in range(rng.randint(0, 120)))
+    assert quality.measure(text) == measure_by_force(text)
+    assert quality.measure(None) == (0, 0, 0, 0, 0)
+
+
+def test_hosts_are_judged_and_clean_documents_kept(make):
+    clean, noisy = prose(1, 80), prose(2, 80).replace(" ", " ## ")
+    rows = [(i, prose(i, 80), "en", "good") for i in range(30)] + [(100 + i, noisy, "en", "bad") for i in range(30)]
+    rows += [(200, clean, "en", "bad"), (201, noisy, "en", "good"), (202, "short", "en", "good"), (203, clean, "en", None)]
+    out = {r.doc_id: r for r in quality.apply_host_rules(make(rows)).collect()}
+    assert all(out[i].kept for i in [*range(30), 200, 201, 203])
+    assert not any(out[i].kept for i in [*range(100, 130), 202]) and out[202].base_failed
+
+
+def fingerprint_by_force(text):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("crowd", [2, 20000])
+def test_near_duplicates_match_brute_force(make, monkeypatch, crowd):
+    base = prose(1, 300).split()
+    texts = []
+    for i in range(120):
+        rng, words = random.Random(i), base[:]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    texts += [prose(i, 200) for i in range(50, 80)] + ["", None, "one", "one two", "ONE", texts[0], texts[0]]
+    monkeypatch.setitem(simhash.links.__kwdefaults__, "crowd", crowd)
+    out = {r.doc_id: r for r in simhash.near_duplicates(make(texts)).collect()}
+    fps = [fingerprint_by_force(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert [out[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
+    assert [out[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def test_thresholds_are_allocated_by_cost():
+    assert simhash.allocate([[0, 1, 50, 90], [0, 2, 60, 90], [0, 3, 70, 90]], 0) == [0, 0, 0]
+    assert simhash.allocate([[0, 1, 2, 9], [0, 500, 900, 999], [0, 3, 70, 90]], 0) == [1, -1, 0]
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)], "a long, b long")
+    out = dict(simhash.components(edges).collect())
+    assert all(out[i] == 0 for i in range(61)) and {out[i] for i in (100, 150, 200)} == {100}
