@@ -45,6 +45,10 @@ class Dialogue:
 STEPS = "session_id long, turn long, status string, state string, asks string, missing string, known string"
 
 
+def _named(kind: str):
+    return lambda e: F.struct(F.concat(F.lit(f"{kind}|"), e["key"]).alias("key"), e["value"].alias("value"))
+
+
 def with_facts(turns: DataFrame, operations=rules.OPERATIONS) -> DataFrame:
     """Adds ``kind`` and ``facts`` (JSON) to turns, in the JVM. Answers to an open question that need a number come as ``answer:<variable>``."""
     clean = F.trim("text")
@@ -56,9 +60,7 @@ def with_facts(turns: DataFrame, operations=rules.OPERATIONS) -> DataFrame:
         *(x for name in ("term_months", "duration") for x in (F.lit(f"answer:{name}"), F.coalesce(rules.months(clean).cast("string"), clean))),
     )
     # facts are for the kind a turn names; a turn without one is read for every kind and filtered by the session's
-    every = F.map_from_entries(
-        F.flatten(F.array(*(F.transform(F.map_entries(rules.facts(F.col("text"), F.lit(k))), lambda e, k=k: F.struct(F.concat(F.lit(f"{k}|"), e["key"]).alias("key"), e["value"].alias("value"))) for k in rules.REQUIRED)))
-    )
+    every = F.map_from_entries(F.flatten(F.array(*(F.transform(F.map_entries(rules.facts(F.col("text"), F.lit(k))), _named(k)) for k in rules.REQUIRED))))
     return stated.select("session_id", "turn", "text", "kind", F.to_json(F.map_concat(number, every)).alias("facts"))
 
 

@@ -103,6 +103,10 @@ def wide_retry(found: DataFrame, queries: DataFrame, search: Callable[[DataFrame
     return found.unionByName(search(left, max(8 * k, 40)).select(*found.columns))
 
 
+def _joined(words: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def expand_terms(queries: DataFrame, lexicon: DataFrame, least: int = 3, most_words: int = 2) -> DataFrame:
     """(query_id, terms): sorted set of a query's tokens and the expansions of triggers, which may be several words or the head of ``trigger/...``.
 
@@ -112,7 +116,7 @@ def expand_terms(queries: DataFrame, lexicon: DataFrame, least: int = 3, most_wo
     grams = [words]
     for n in range(2, most_words + 1):
         at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        grams.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        grams.append(F.transform(at, _joined(words, n)))
     tokens = queries.select("query_id", F.explode(F.array_distinct(F.concat(*grams))).alias("token"))
     tokens = tokens.withColumn("_head", F.split_part("token", F.lit("/"), F.lit(1)))
     hits = tokens.join(lexicon, F.col("_head") == F.col("trigger"), "left")
