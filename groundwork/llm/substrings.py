@@ -129,14 +129,14 @@ PIECES = "anchor long, _doc long, twin long, start long, starts long, piece bina
 
 def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
     """The bytes of every repeated run, keyed by anchor. Of equal pieces in a batch the first is kept; the others are whole
-    repeats, and go on without their bytes, spread by position."""
+    repeats, and go on as joined ranges (``starts`` holds the end, ``piece`` is null), spread by position."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
             wanted = batch.column(2).to_pylist()
             found: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
-            rows: list[tuple] = []
+            again: dict[tuple[int, int], list[tuple[int, int]]] = {}
             number, anchor, start, count = _runs(texts, length)
             asked = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(w, dtype=np.int64) + (i << 50) for i, w in enumerate(wanted))])
             keep = np.isin((number << 50) + (start << 13) + count, asked)
@@ -149,7 +149,9 @@ def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
                     found[m, piece] = place
                 elif known[:3] != place[:3]:
                     found[m, piece] = min(known, place)
-                    rows.append((hash(place), *max(known, place), None))
+                    doc, twin, lo, k = max(known, place)
+                    again.setdefault((doc, twin), []).append((lo, lo + k + length - 1))
+            rows = [(hash((*own, lo)), *own, lo, hi, None) for own, ranges in again.items() for lo, hi in joined_ranges(ranges)]
             rows += [(m, *place, piece) for (m, piece), place in found.items()]
             for lo in range(0, len(rows), 20000):
                 part = rows[lo : lo + 20000]
@@ -161,8 +163,9 @@ def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
 def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
     """(_doc, twin, lo, hi): byte ranges covered by a string that starts earlier. ``pieces`` come sorted by anchor, piece and position.
 
-    Of equal pieces only the first is sorted, as a stream, so copies cost no memory. Pieces are gathered up to SHARD bytes, a shard ends
-    where an anchor does; its suffix queues spill to disk past ``budget`` bytes.
+    Of equal pieces only the first is sorted, as a stream, so copies cost no memory. An anchor with one distinct piece has nothing to sort:
+    strings in one piece have the anchor at different places in themselves, so no two are equal. Pieces are gathered up to SHARD bytes, a
+    shard ends where an anchor does; its suffix queues spill to disk past ``budget`` bytes.
     """
 
     def settle(held: list[tuple]) -> list[tuple]:
@@ -178,22 +181,27 @@ def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last, made = [], 0, (None, None, None), []
+        held, size, last, lone, made = [], 0, (None, None, None), None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 anchor, doc, twin, start, n, piece = row
                 if piece is None:
-                    made.append((doc, twin, start, start + n + length - 1))
+                    made.append((doc, twin, start, n))
                     continue
                 if (anchor, piece) == last[:2]:
                     if last[2] != (doc, twin, start):
                         made.append((doc, twin, start, start + n + length - 1))
                     continue
-                if size >= SHARD and anchor != last[0]:
-                    made += settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(piece) + 1
+                if anchor != last[0]:
+                    lone = row
+                    if size >= SHARD:
+                        made += settle(held)
+                        held, size = [], 0
+                else:
+                    for r in (lone, row) if lone else (row,):
+                        held.append(r)
+                        size += len(r[5]) + 1
+                    lone = None
                 last = (anchor, piece, (doc, twin, start))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["_doc", "twin", "lo", "hi"])
@@ -205,17 +213,25 @@ def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
     return pieces.mapInArrow(run, "_doc long, twin long, lo long, hi long")
 
 
+def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     """What is left of ``data`` without these ranges, and how many maximal runs they make."""
-    left, spans, at, end = [], 0, 0, -1
-    for lo, hi in sorted(ranges):
-        if lo > end:
-            left.append(data[at:lo])
-            spans += 1
-        end = max(end, hi)
-        at = end
+    left, at, spans = [], 0, joined_ranges(ranges)
+    for lo, hi in spans:
+        left.append(data[at:lo])
+        at = hi
     left.append(data[at:])
-    return b"".join(left), spans
+    return b"".join(left), len(spans)
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 64 << 20, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
