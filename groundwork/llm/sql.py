@@ -29,5 +29,37 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
 
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT rid, doc_id, unnest(list_transform(range(0, greatest(octet_length(b) - 99, 0)), lambda p: {'p': p, 'k': md5_number(array_slice(b, p + 1, p + 100))})) AS x FROM d),
+k AS (SELECT rid, x.p AS p, row_number() OVER (PARTITION BY x.k ORDER BY doc_id, rid, x.p) > 1 AS again FROM s),
+m AS (SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 100, true)::INT AS opens FROM k WHERE again),
+g AS (SELECT rid, p, sum(opens) OVER (PARTITION BY rid ORDER BY p) AS span FROM m),
+r AS (SELECT rid, span, min(p) AS lo, max(p) + 100 AS hi FROM g GROUP BY 1, 2),
+c AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS since FROM r),
+a AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS stop, list((since, lo) ORDER BY lo) AS left_over FROM c GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(CASE WHEN n_spans IS NULL THEN b ELSE from_hex(array_to_string(list_transform(left_over, lambda x: hex(array_slice(b, x[1] + 1, x[2]))), '') || hex(array_slice(b, stop + 1, octet_length(b)))) END) AS kept_sha256
+FROM d LEFT JOIN a USING (rid)
+"""
+
+OP9 = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS p, ws FROM w WHERE len(ws) >= 3),
+g AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, ws[p], ws[p + 1], ws[p + 2]) AS n FROM i),
+r AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY rid),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN r USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars OR n_dup_lines > 3 AS soft FROM m),
+h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft) AS bad FROM f GROUP BY source),
+p AS (SELECT sum(bad) / sum(n) AS mean, greatest(coalesce(var_samp(bad / n), 0) - sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) * avg(1 / n), 1e-6) AS spread FROM h),
+q AS (SELECT mean, least(greatest(mean * (1 - mean) / spread - 1, 1), 1000) AS strength FROM p),
+v AS (SELECT source, (bad + strength * mean) / (n + strength) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (rate <= 0.5 OR NOT soft) AS kept, round(rate, 9) AS host_rate
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_salvage": OP5, "op6_mix_sources": OP6}
+    return {"op2_suffix_array_dedup": OP2, "op5_warc_salvage": OP5, "op6_mix_sources": OP6, "op9_host_rules": OP9}
