@@ -163,7 +163,7 @@ def encode_url(url: Column) -> Column:
     """Percent-encodes path and query, keeping / in the one and = and & in the other."""
     keep = lambda c, safe: _restored(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), safe)
     head = F.regexp_extract(url, r"^([a-z]+://[^/?#]*)?", 0)
-    rest = F.expr("NULL") if url is None else F.regexp_replace(url, r"^([a-z]+://[^/?#]*)?", "")
+    rest = F.regexp_replace(url, r"^([a-z]+://[^/?#]*)?", "")
     path, query = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
     return F.concat(head, keep(path, "/"), F.when(query == "", "").otherwise(F.concat(F.lit("?"), keep(query, "=&"))))
 

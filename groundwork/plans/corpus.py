@@ -213,7 +213,6 @@ def checked(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang", F.array_join(found, ",").alias("markers_found"), F.array_join(issues, ",").alias("issues"), (F.size(issues) == 0).alias("valid"))
 
 
-_ASCII_WORD = r"(?i)(^|[^0-9A-Za-z_]){}([^0-9A-Za-z_]|$)"
 _CHECKED = (
     "SELECT doc_id, lang, concat_ws(',', "
     + ", ".join(rf"CASE WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_]){m}([^\p{{L}}\p{{N}}\p{{M}}_]|$)') THEN '{m}' END" for m in MARKERS)
