@@ -65,43 +65,58 @@ def _types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _push_by_symbol(spool: Spool, positions: np.ndarray, symbols: np.ndarray) -> None:
-    order = np.argsort(symbols, kind="stable")
-    positions, symbols = positions[order], symbols[order]
-    cuts = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(symbols))):
-        spool.push(int(symbols[lo]), positions[lo:hi])
+def _gathered(chunks: list[np.ndarray], most: int = 1 << 20) -> list[np.ndarray]:
+    """The chunks in order, small ones joined up to ``most`` positions."""
+    out, held, size = [], [], 0
+    for x in chunks:
+        if held and size + len(x) > most:
+            out.append(np.concatenate(held))
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        out.append(np.concatenate(held) if len(held) > 1 else held[0])
+    return out
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, budget: int) -> np.ndarray:
-    """The suffix array that a given order of the LMS positions induces."""
+def _induce(text: np.ndarray, typed: np.ndarray, lms: np.ndarray, budget: int) -> np.ndarray:
+    """The suffix array that a given order of the LMS positions induces. ``typed`` has symbol and type, 1024 more for type S."""
     heads = text[lms]
     lms_cuts = np.searchsorted(heads, np.arange(SYMBOLS + 1)) if len(lms) else np.zeros(SYMBOLS + 1, dtype=np.int64)
 
     def scan(symbols: range, sources: list[list[np.ndarray]], type_s: bool) -> list[list[np.ndarray]]:
         spool, found = Spool(budget), [[] for _ in range(SYMBOLS)]
         for c in symbols:
-            chunks = spool.take(c)
+            chunks = _gathered(spool.take(c))
             while chunks:  # what a bucket induces in itself forms its next round
                 found[c] += chunks
                 for chunk in chunks:
-                    _follow(spool, chunk, type_s)
-                chunks = spool.take(c)
-            for chunk in sources[c]:
-                _follow(spool, chunk, type_s)
+                    follow(spool, chunk, type_s)
+                chunks = _gathered(spool.take(c))
+            for chunk in _gathered(sources[c]):
+                follow(spool, chunk, type_s)
         spool.close()
         return found
 
-    def _follow(spool: Spool, chunk: np.ndarray, type_s: bool) -> None:
+    def follow(spool: Spool, chunk: np.ndarray, type_s: bool) -> None:
+        """Pushes the positions before these that have the type, by symbol."""
         before = chunk[chunk > 0] - 1
-        before = before[small[before] == type_s]
-        if len(before):
-            _push_by_symbol(spool, before, text[before])
+        seen = typed[before]
+        right = seen >= 1024 if type_s else seen < 1024
+        before, seen = before[right], seen[right]
+        if not len(before):
+            return
+        order = np.argsort(seen, kind="stable")
+        before, seen = before[order], seen[order]
+        cuts = np.flatnonzero(seen[1:] != seen[:-1]) + 1
+        lo = 0
+        for hi in [*cuts.tolist(), len(seen)]:
+            spool.push(int(seen[lo]) & 1023, before[lo:hi])
+            lo = hi
 
     large = scan(range(SYMBOLS), [[lms[lms_cuts[c] : lms_cuts[c + 1]]] for c in range(SYMBOLS)], False)
     smalls = scan(range(SYMBOLS - 1, -1, -1), [[x[::-1] for x in reversed(large[c])] for c in range(SYMBOLS)], True)
-    end = np.array([len(text) - 1], dtype=lms.dtype)
-    parts = [end]
+    parts = [np.array([len(text) - 1], dtype=lms.dtype)]
     for c in range(1, SYMBOLS):
         parts += large[c]
         parts += [x[::-1] for x in reversed(smalls[c])]
@@ -115,17 +130,19 @@ def suffix_array(text: np.ndarray, depth: int, budget: int = 64 << 20) -> np.nda
     all apart or reach over ``depth`` symbols (each substring has one symbol of its own at least); the order of the LMS suffixes then induces all others.
     """
     small = _types(text)
+    typed = text + (small.astype(np.uint16) << 10)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = lms.astype(np.int32) if len(text) < 1 << 31 else lms
     if not len(lms):
-        return _induce(text, small, lms, budget)
+        return _induce(text, typed, lms, budget)
     by_head = lms[np.argsort(text[lms], kind="stable")]
-    order = _induce(text, small, by_head, budget)
+    order = _induce(text, typed, by_head, budget)
     is_lms = np.zeros(len(text), dtype=bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
-    number = np.zeros(len(text), dtype=np.int64)
+    number = np.zeros(len(text), dtype=lms.dtype)
     number[lms] = np.arange(len(lms))
-    last = np.append(lms[1:], len(text) - 1)  # a substring ends with the first symbol of the next one
+    last = np.append(lms[1:], np.array([len(text) - 1], dtype=lms.dtype))  # a substring ends with the first symbol of the next one
 
     names = np.zeros(len(lms), dtype=np.int64)
     at = number[order]
@@ -134,7 +151,7 @@ def suffix_array(text: np.ndarray, depth: int, budget: int = 64 << 20) -> np.nda
     step, live = 0, np.flatnonzero(same)
     while len(live):
         pa, pb = lms[a[live]] + step, lms[b[live]] + step
-        equal = (text[pa] == text[pb]) & (small[pa] == small[pb])
+        equal = typed[pa] == typed[pb]
         same[live[~equal]] = False
         live = live[equal]
         live = live[lms[a[live]] + step < last[a[live]]]
@@ -145,7 +162,7 @@ def suffix_array(text: np.ndarray, depth: int, budget: int = 64 << 20) -> np.nda
         later = np.concatenate((names[reach:] + 1, np.zeros(min(reach, len(names)), dtype=np.int64)))[: len(names)]
         names = np.unique(names * (len(names) + 2) + later, return_inverse=True)[1]
         reach *= 2
-    return _induce(text, small, lms[np.argsort(names, kind="stable")], budget)
+    return _induce(text, typed, lms[np.argsort(names, kind="stable")], budget)
 
 
 def equal_ahead(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
