@@ -35,7 +35,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, *, most_bytes: int
     n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
     schema = "query_id long, id long, similarity double"
     if not n or k <= 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+        return queries.sparkSession.createDataFrame([], schema + ", rank long")
     blocks = -(-n * dims * 8 // most_bytes)
     parts = []
     for block in range(blocks):
@@ -66,7 +66,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, *, most_bytes: int
 def rank_within_query(rows: DataFrame, score: str, k: int, tie: str = "id") -> DataFrame:
     """Rank by score, cut at k; Spark limits each task's groups before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), tie)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, reach: float = 1.2, bucket: float = 1.0, tables: int = 8, seed: int = 7) -> DataFrame:

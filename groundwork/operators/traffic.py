@@ -42,7 +42,7 @@ def quota_aligned(events: DataFrame, key: str, ts: str, limit: int, width: int,
     start = F.floor(F.col("sec") / width).cast("long")
     turn = F.row_number().over(Window.partitionBy(key, "win").orderBy(ts, tie))
     rows = events.withColumn("sec", seconds(F.col(ts))).withColumn("win", start).withColumn("n", turn)
-    return rows.select(key, tie, (F.col("n") <= limit).alias("allowed"), F.greatest(limit - F.col("n"), F.lit(0)).alias("remaining"), ((F.col("win") + 1) * width).alias("reset_at"))
+    return rows.select(key, tie, (F.col("n") <= limit).alias("allowed"), F.greatest(limit - F.col("n"), F.lit(0)).cast("long").alias("remaining"), ((F.col("win") + 1) * width).alias("reset_at"))
 
 
 def anchored_windows(events: DataFrame, key: str, ts: Column, order: list[str], width: float, payload: list[str]) -> DataFrame:

@@ -197,7 +197,7 @@ def chunk_ids(spark, sf):
 
 
 # --- profiles and checks -------------------------------------------------------------------------------------------
-@query("SELECT lang, count(*) AS n_files, sum(strlen(text)) AS n_bytes, sum(length(text) // 4) AS n_tokens FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes, sum(length(text) // 4)::BIGINT AS n_tokens FROM documents GROUP BY lang")
 def corpus_profile(spark, sf):
     d = table(spark, sf, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(T.estimate_tokens(F.col("text"))).alias("n_tokens"))
@@ -225,12 +225,12 @@ def validate_documents(spark, sf):
     return checked(spark, sf)
 
 
-@query(f"SELECT lang, count(*) AS total, count_if(NOT short AND markers_found <> '') AS n_valid, count_if(short OR markers_found = '') AS n_invalid FROM ({_CHECKED}) GROUP BY lang")
+@query(f"SELECT lang, count(*) AS total, count_if(NOT short AND markers_found <> '')::BIGINT AS n_valid, count_if(short OR markers_found = '')::BIGINT AS n_invalid FROM ({_CHECKED}) GROUP BY lang")
 def validation_report(spark, sf):
     return checked(spark, sf).groupBy("lang").agg(F.count("*").alias("total"), F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
 
 
-@query("SELECT count(*) AS total, count_if(quality = 1) AS passed, count_if(quality = 0) AS failed, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (quality = 0 AND toxic = 1) AS worst FROM labels")
+@query("SELECT count(*) AS total, count_if(quality = 1)::BIGINT AS passed, count_if(quality = 0)::BIGINT AS failed, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (quality = 0 AND toxic = 1) AS worst FROM labels")
 def pass_fail_summary(spark, sf):
     bad = F.array_sort(F.collect_list(F.when((F.col("quality") == 0) & (F.col("toxic") == 1), F.col("doc_id"))))
     return table(spark, sf, "labels").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("passed"), F.count_if(F.col("quality") == 0).alias("failed"), F.array_join(bad, ",").alias("worst"))
@@ -300,7 +300,7 @@ regexp_extract(trim(list_filter(lines, lambda x: regexp_matches(trim(x, ' '), '^
 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM ({_NUMBERED}))""")
 def detect_headings(spark, sf):
     s = T.section_lines(F.col("text"))
-    return numbered(spark, sf).select("doc_id", F.size(s).alias("n_sections"), F.get(s, F.lit(0))["number"].alias("first_number"))
+    return numbered(spark, sf).select("doc_id", F.size(s).cast("long").alias("n_sections"), F.get(s, F.lit(0))["number"].alias("first_number"))
 
 
 @query()

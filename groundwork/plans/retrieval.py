@@ -178,7 +178,7 @@ def expected_intersect(spark, sf):
     return results(spark, sf).select("query_id", F.array_sort(F.array_intersect("expected", "candidates")).alias("both_ids"))
 
 
-_SUMMARY = """SELECT count(*) AS case_count, count_if(answerable) AS answerable_case_count, coalesce(avg(matched::INT) FILTER (answerable), 0)::DOUBLE AS hit_at_k,
+_SUMMARY = """SELECT count(*) AS case_count, count_if(answerable)::BIGINT AS answerable_case_count, coalesce(avg(matched::INT) FILTER (answerable), 0)::DOUBLE AS hit_at_k,
 coalesce(avg(matched::INT) FILTER (answerable), 0)::DOUBLE AS recall_at_k, coalesce(avg(reciprocal_rank) FILTER (answerable), 0)::DOUBLE AS mrr, coalesce(avg(recall_fraction) FILTER (answerable), 0)::DOUBLE AS recall_fraction,
 coalesce(avg((n_retrieved > 0)::INT) FILTER (NOT answerable), 0)::DOUBLE AS unanswerable_retrieval_rate FROM f"""
 _ROUNDED = ("hit_at_k", "recall_at_k", "mrr", "recall_fraction", "unanswerable_retrieval_rate")

@@ -144,7 +144,7 @@ def clarification_machine(spark, sf):
     return dialogue.clarify(users, operations=WORDS)
 
 
-@query("SELECT conv_id, count_if(role = 'system' AND contains(text, '.')) AS n_questions FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count_if(role = 'system' AND contains(text, '.'))::BIGINT AS n_questions FROM conversations GROUP BY conv_id")
 def clarification_turns(spark, sf):
     return history.question_turns(turns(spark, sf), "conv_id", marks=r"\.")
 

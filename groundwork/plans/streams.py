@@ -36,7 +36,7 @@ def finished(rows: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/v=*")
 
 
-@query("SELECT event_type AS path, count(*) AS request_count, count_if(event_type = 'error') AS error_count, round(sum(value), 4) AS latency_sum FROM events GROUP BY 1")
+@query("SELECT event_type AS path, count(*) AS request_count, count_if(event_type = 'error')::BIGINT AS error_count, round(sum(value), 4) AS latency_sum FROM events GROUP BY 1")
 def stream_request_metrics(spark, sf):
     rows = streams.request_metrics(stream(spark, sf, "events"), "event_type", F.col("event_type") == "error", "value")
     return finished(rows, "complete").withColumn("latency_sum", F.round("latency_sum", 4))
@@ -48,7 +48,7 @@ def stream_quota_aligned(spark, sf):
     return finished(streams.quota_aligned(stream(spark, sf, "events"), "user_id", 2), "append").withColumn("started", F.unix_seconds("started"))
 
 
-@query(traffic._folded("epoch_us(ts) // 1000000", traffic.DAY) + f"SELECT user_id, event_id, turn <= {traffic.LIMIT} AS allowed, greatest({traffic.LIMIT} - turn, 0) AS remaining, start + {traffic.DAY} AS reset_at FROM w")
+@query(traffic._folded("epoch_us(ts) // 1000000", traffic.DAY) + f"SELECT user_id, event_id, turn <= {traffic.LIMIT} AS allowed, greatest({traffic.LIMIT} - turn, 0)::BIGINT AS remaining, start + {traffic.DAY} AS reset_at FROM w")
 def stream_quota_anchored(spark, sf):
     return finished(streams.quota_anchored(stream(spark, sf, "events"), "user_id", "event_id", traffic.LIMIT, traffic.DAY), "append")
 

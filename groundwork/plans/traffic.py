@@ -21,7 +21,7 @@ def metrics(spark, sf):
     return traffic.request_metrics(events(spark, sf), "event_type", F.col("event_type") == "error", "value")
 
 
-_METRICS = "SELECT event_type AS path, count(*) AS request_count, count_if(event_type = 'error') AS error_count, sum(value) AS latency_sum FROM events GROUP BY 1"
+_METRICS = "SELECT event_type AS path, count(*) AS request_count, count_if(event_type = 'error')::BIGINT AS error_count, sum(value) AS latency_sum FROM events GROUP BY 1"
 
 
 @query(_METRICS.replace("sum(value)", "round(sum(value), 4)"))
@@ -48,7 +48,7 @@ w AS (SELECT user_id, event_id, i, sec AS start, 1 AS turn FROM e WHERE i = 1 UN
 CASE WHEN e.sec - w.start >= {width} THEN 1 ELSE w.turn + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1) """
 
 
-@query(_folded("epoch_us(ts) // 1000000", DAY) + f"SELECT user_id, event_id, turn <= {LIMIT} AS allowed, greatest({LIMIT} - turn, 0) AS remaining, start + {DAY} AS reset_at FROM w")
+@query(_folded("epoch_us(ts) // 1000000", DAY) + f"SELECT user_id, event_id, turn <= {LIMIT} AS allowed, greatest({LIMIT} - turn, 0)::BIGINT AS remaining, start + {DAY} AS reset_at FROM w")
 def quota_anchored(spark, sf):
     return traffic.quota_anchored(events(spark, sf), "user_id", "ts", LIMIT, DAY, "event_id")
 
