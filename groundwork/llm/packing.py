@@ -32,7 +32,7 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 def tokens(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text, then the end id, as uint16 (the vocabulary has under 65,536 ids)."""
-    return np.append(np.array(encoder(path).encode_ordinary(text or ""), dtype=np.uint16), np.uint16(END_ID))
+    return np.append(encoder(path).encode_to_numpy(text or "", disallowed_special=()).astype(np.uint16), np.uint16(END_ID))
 
 
 def tokenized(rows: DataFrame, path: str) -> DataFrame:
@@ -81,19 +81,32 @@ def served(windows: np.ndarray, totals: np.ndarray, width: int) -> np.ndarray:
             got[more, last_at.shape[1] - 1 - last_at[:, ::-1].argmax(axis=1)] -= 1
 
 
-def pieces(queue: int, start: int, length: int, totals: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, window, offset in the window) of each piece of a document that is tokens start..start+length of its queue."""
-    total, own = int(totals.sum()), int(totals[queue])
-    reach = total / own / width
-    first = max(0, int(start * reach) - int(2 * reach) - 3)
-    last = min(-(-total // width), int((start + length) * reach) + int(2 * reach) + 3)
-    windows = np.arange(first, last + 1)
-    before = served(windows, totals, width)
-    mine = before[:, queue]
-    lo, hi = np.maximum(mine[:-1], start), np.minimum(mine[1:], start + length)
-    some = np.flatnonzero(lo < hi)
-    ahead = (before[1:, :queue] - before[:-1, :queue]).sum(axis=1)
-    return lo[some] - start, windows[some], ahead[some] + lo[some] - mine[some]
+def pieces(queue: int, starts: np.ndarray, lengths: np.ndarray, totals: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first token, window, offset in the window) of each piece of documents that are tokens start..start+length of their queue.
+
+    ``starts`` ascend. Windows are computed once for documents that lie next to each other.
+    """
+    reach = int(totals.sum()) / int(totals[queue]) / width
+    slack, most = int(2 * reach) + 3, -(-int(totals.sum()) // width)
+    first = np.maximum((starts * reach).astype(np.int64) - slack, 0)
+    last = np.minimum(((starts + lengths) * reach).astype(np.int64) + slack, most)
+    cuts = np.flatnonzero(np.concatenate(([True], (first[1:] > last[:-1]) | (np.arange(1, len(first)) % 64 == 0))))
+    out = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(starts))):
+        windows = np.arange(first[a], last[b - 1] + 1)
+        before = served(windows, totals, width)
+        mine = before[:, queue]
+        ahead = (before[1:, :queue] - before[:-1, :queue]).sum(axis=1)
+        lo = np.searchsorted(mine, starts[a:b], "right") - 1  # the window that holds the first token, then all up to the last one
+        hi = np.searchsorted(mine, starts[a:b] + lengths[a:b], "left")
+        count = hi - lo
+        doc = np.repeat(np.arange(a, b), count)
+        window = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.maximum(mine[window], starts[doc])
+        some = begin < np.minimum(mine[window + 1], starts[doc] + lengths[doc])  # a window may serve none of the queue
+        doc, window, begin = doc[some], window[some], begin[some]
+        out.append((doc, begin - starts[doc], windows[window], ahead[window] + begin - mine[window]))
+    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
 def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "doc_id", source: str = "source", ranks: str | None = None) -> DataFrame:
@@ -130,18 +143,19 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                row, columns = [], [[] for _ in range(6)]
-                for i, (queue, n, ids, start) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 5)))):
-                    data = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                    first, window, offset = pieces(place[queue], start, n, totals, width)
-                    ends = np.append(first[1:], n)
-                    row += [i] * len(first)
-                    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist())]
-                    for values, made in zip(columns, (first.tolist(), (ends - first).tolist(), crc, [n] * len(first), window.tolist(), offset.tolist())):
-                        values += made
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                queue, length, start = (part.column(c).to_numpy() for c in (1, 2, 4))
+                data = [np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() for x in part.column(3).to_pylist()]
+                for q in np.unique(queue):
+                    rows = np.flatnonzero(queue == q)
+                    rows = rows[np.argsort(start[rows], kind="stable")]
+                    doc, first, window, offset = pieces(place[int(q)], start[rows], length[rows], totals, width)
+                    doc = rows[doc]
+                    ends = np.where(np.append(doc[1:] != doc[:-1], True), length[doc], np.append(first[1:], 0))
+                    crc = [zlib.crc32(data[d][4 * a : 4 * b]) for d, a, b in zip(doc.tolist(), first.tolist(), ends.tolist())]
+                    columns = (first, ends - first, np.array(crc, dtype=np.int64), length[doc], window, offset)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
     kind = placed.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
