@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,7 @@ from .common import partitions
 from .suffixes import repeated_starts
 
 GRAM, CHUNK, SHARD = 20, 1 << 18, 1 << 20
+LARGE, BUCKETS = 32 << 20, 64  # bytes of one anchor's pieces from which they are split, and into how many files
 PLACE = np.uint64((1 << 21) - 1)  # a chunk has fewer bytes
 NO_KEY = -(1 << 63)
 
@@ -34,11 +37,11 @@ def _gram_hashes(x: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(texts: list[bytes], length: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, anchor, start, starts) of the runs of starts whose ``length``-byte strings share one anchor in one place.
 
     A string's anchor is the gram in it of least hash (by the upper 43 bits, leftmost on ties), so equal strings have equal anchors at
-    equal places, wherever they stand. An anchor serves at most length - GRAM + 1 starts.
+    equal places, wherever they stand. An anchor serves at most length - GRAM + 1 starts. Another ``turn`` orders grams otherwise.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.maximum(sizes - length + 1, 0)
@@ -46,6 +49,8 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
         empty = np.array([], dtype=np.int64)
         return empty, empty.astype(np.uint64), empty, empty
     grams = _gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
+    if turn:
+        grams = (grams ^ np.uint64(turn)) * np.uint64(0x94D049BB133111EB)
     least = grams & ~PLACE | np.arange(len(grams), dtype=np.uint64)
     span, width = length - GRAM + 1, 1
     while 2 * width <= span:
@@ -160,12 +165,39 @@ def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(emit, PIECES)
 
 
-def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
+class Split:
+    """Pieces of one anchor, cut anew by a second anchor and kept in files by it, so that equal strings meet in one file and each can be held."""
+
+    def __init__(self, length: int):
+        self.length, self.files = length, [tempfile.TemporaryFile() for _ in range(BUCKETS)]
+
+    def add(self, rows: list[tuple]) -> None:
+        number, anchor, start, count = anchor_runs([r[5] for r in rows], self.length, turn=1)
+        for i, m, s, n in zip(number.tolist(), anchor.tolist(), start.tolist(), count.tolist()):
+            first, doc, twin, at, _, piece = rows[i]
+            pickle.dump((first, doc, twin, at + s, n, piece[s : s + n + self.length - 1]), self.files[m % BUCKETS])
+
+    def parts(self) -> Iterator[list[tuple]]:
+        for f in self.files:
+            f.seek(0)
+            rows = []
+            while True:
+                try:
+                    rows.append(pickle.load(f))
+                except EOFError:
+                    break
+            f.close()
+            if rows:
+                yield rows
+
+
+def sort_shards(pieces: DataFrame, length: int, budget: int, large: int = LARGE) -> DataFrame:
     """(_doc, twin, lo, hi): byte ranges covered by a string that starts earlier. ``pieces`` come sorted by anchor, piece and position.
 
     Of equal pieces only the first is sorted, as a stream, so copies cost no memory. An anchor with one distinct piece has nothing to sort:
     strings in one piece have the anchor at different places in themselves, so no two are equal. Pieces are gathered up to SHARD bytes, a
-    shard ends where an anchor does; its suffix queues spill to disk past ``budget`` bytes.
+    shard ends where an anchor does; its suffix queues spill to disk past ``budget`` bytes. An anchor with over ``large`` bytes of distinct pieces
+    goes to files by a second anchor (``Split``), which are sorted one by one.
     """
 
     def settle(held: list[tuple]) -> list[tuple]:
@@ -180,8 +212,15 @@ def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
                 out += [(doc, twin, start + int(a), start + int(b) + length - 1) for a, b in zip(edge[::2], edge[1::2])]
         return out
 
+    def finish(held: list[tuple], split: Split | None) -> list[tuple]:
+        if split is None:
+            return settle(held) if held else []
+        if held:
+            split.add(held)
+        return [r for part in split.parts() for r in settle(part)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last, lone, made = [], 0, (None, None, None), None, []
+        held, size, split, last, lone, made = [], 0, None, (None, None, None), None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 anchor, doc, twin, start, n, piece = row
@@ -194,19 +233,23 @@ def sort_shards(pieces: DataFrame, length: int, budget: int) -> DataFrame:
                     continue
                 if anchor != last[0]:
                     lone = row
-                    if size >= SHARD:
-                        made += settle(held)
-                        held, size = [], 0
+                    if split or size >= SHARD:
+                        made += finish(held, split)
+                        held, size, split = [], 0, None
                 else:
                     for r in (lone, row) if lone else (row,):
                         held.append(r)
                         size += len(r[5]) + 1
                     lone = None
+                    if size >= large:
+                        split = split or Split(length)
+                        split.add(held)
+                        held, size = [], 0
                 last = (anchor, piece, (doc, twin, start))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["_doc", "twin", "lo", "hi"])
                 made = []
-        made += settle(held) if held else []
+        made += finish(held, split)
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["_doc", "twin", "lo", "hi"])
 
@@ -234,7 +277,7 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(left), len(spans)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 64 << 20, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 64 << 20, large: int = LARGE, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes from every whole text, as UTF-8 bytes, each byte covered by a ``length``-byte string that also starts earlier: at a smaller key,
     or in the same document before.
 
@@ -254,7 +297,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", b
     runs = repeated_runs(rows.select("_doc", "_text"), length).groupBy("_doc").agg(F.collect_list("at").alias("_runs"))
     joined = rows.join(runs, "_doc").select("_doc", "_text", "_runs", *also)
     pieces = shard_pieces(joined, length).repartition(n, "anchor").sortWithinPartitions("anchor", "piece", "_doc", "twin", "start")
-    ranges = sort_shards(pieces, length, budget)
+    ranges = sort_shards(pieces, length, budget, large)
     ranges = ranges.groupBy("_doc").agg(F.collect_list(F.struct("twin", "lo", "hi")).alias("_ranges"))
     marked = rows.join(ranges, "_doc", "left").select("_doc", "_text", "_ranges", *also)
 

@@ -75,12 +75,13 @@ def repeats_by_force(texts, length):
     return out
 
 
-def test_repeats_match_brute_force(make):
+@pytest.mark.parametrize("large", [300, substrings.LARGE])
+def test_repeats_match_brute_force(make, large):
     shared = prose(1, 40)
     texts = [prose(10 + i, 60) for i in range(25)]
     texts = [t[:200] + (shared if i % 3 == 0 else shared[5 * i :]) + t[200:] for i, t in enumerate(texts)]
     texts += [texts[3], texts[3], "ab" * 400, "ab" * 90, "a" * 99, "a" * 100, "a" * 101, "", None, "\0\1" * 80, texts[5][:150]]
-    out = {r.doc_id: r for r in substrings.remove_repeats(make(texts), texts=True).collect()}
+    out = {r.doc_id: r for r in substrings.remove_repeats(make(texts), texts=True, large=large, budget=4096).collect()}
     for i, (left, spans) in enumerate(repeats_by_force([(t or "").encode() for t in texts], 100)):
         assert (out[i].kept_sha256, out[i].n_spans) == (hashlib.sha256(left).hexdigest(), spans), i
         assert out[i].n_bytes - out[i].n_removed == len(left)
@@ -302,3 +303,12 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)], "a long, b long")
     out = dict(simhash.components(edges).collect())
     assert all(out[i] == 0 for i in range(61)) and {out[i] for i in (100, 150, 200)} == {100}
+
+
+def test_edited_digests_equal_plain_ones():
+    ranks = {w: np.random.default_rng(w).permutation(digests.LEVELS).astype(np.int64) for w in (8, 32)}
+    for i in range(60):
+        own, after = prose(i, 3 + 9 * (i % 13)).encode(), prose(i + 90, 2 + 7 * (i % 11)).encode()
+        a, b = digests.Digest(own, ranks), digests.Digest(after, ranks)
+        _, edited, at = digests._edited(own, after)
+        assert digests._edited_digest(edited, at, a, b, ranks).text() == digests.Digest(edited, ranks).text()
