@@ -98,12 +98,16 @@ def train(docs: DataFrame, *, per_class: int = 400, most: int = 4000, key: str =
     the sample's feature vectors (16 KB each) reach the driver. No labelled row with a text: None.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    classes = labelled.select("lang").distinct().count()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
+    classes = sizes.count()
     if not classes:
         return None
     n = max(1, min(per_class, most // classes))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(key), key)
-    chosen = labelled.select("lang", key).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    # a hash below 4n of the language's rows leaves about 4n of them, so that no task sorts more, however many rows a language has
+    share = F.xxhash64(F.lit("sample"), key).cast("double") / 2.0**64 + 0.5
+    few = labelled.select("lang", key).join(sizes, "lang").where(share * F.col("_rows") <= 4 * n).select("lang", key).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), key), key)
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
     # most + classes rows of two short columns at the most
     sample = labelled.select("lang", key, "text").join(F.broadcast(chosen), ["lang", key]).dropDuplicates(["lang", key])
     rows = sample.select("lang", "text").mapInPandas(_featured, "label string, x binary").collect()
