@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_operators import fingerprint_by_force, prose, repeats_by_force, targets_by_force  # noqa: E402
+from test_llm_operators import fingerprint_by_force, prose, repeats_by_force, targets_by_force  # noqa: E402
 
 
 def test_run(spark, make, tmp_path):
