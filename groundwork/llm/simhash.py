@@ -212,7 +212,7 @@ def links(fps: DataFrame, *, distance: int = 2, groups: int = 3, crowd: int = 20
 
 
 def components(edges: DataFrame, *, most_turns: int = 60) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of ``edges`` (a, b), by alternating large and small stars.
+    """(node, label): the smallest node reachable, for every node of ``edges`` (a, b) but the smallest of its component, by alternating large and small stars.
 
     Each turn is two shuffles of the edges and is written to the shared folder. The turns end when a turn changes nothing.
     """
