@@ -77,12 +77,15 @@ def _mixed(words: np.ndarray) -> np.ndarray:
 class Digest:
     """Chained Bloom filters of a text's features, PER_FILTER features in each."""
 
-    def __init__(self, data: bytes, ranks: dict[int, np.ndarray]):
-        window = window_of(code_points(data))
+    def __init__(self, data: bytes, ranks: dict[int, np.ndarray], levels: np.ndarray | None = None):
+        self.window = window = window_of(code_points(data))
+        self.levels = levels
         if len(data) < window:
             hashed = _mixed(np.frombuffer(data.ljust(window, b"\0"), dtype="<u8").reshape(1, -1)) if data else np.array([], dtype=np.uint64)
         else:
-            at = select(entropy_levels(data, window), ranks[window], window)
+            if levels is None:
+                self.levels = entropy_levels(data, window)
+            at = select(self.levels, ranks[window], window)
             at = at if len(at) else np.array([0])
             windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), window)[at]
             hashed = _mixed(np.ascontiguousarray(windows).view("<u8"))
@@ -168,14 +171,25 @@ def next_in_order(docs: DataFrame, key: str) -> DataFrame:
     return rows.repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket", "_tail", F.desc_nulls_last("_key"), "_text")
 
 
-def _edited(data: bytes, following: bytes) -> tuple[int, bytes]:
-    """Code points of ``data``; its text with the last half of them replaced by as many first ones of ``following``."""
+def _edited(data: bytes, following: bytes) -> tuple[int, bytes, int]:
+    """Code points of ``data``; its text with the last half of them replaced by as many first ones of ``following``; where that begins."""
     starts = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)
     half = len(starts) // 2
     kept = data[: starts[len(starts) - half]] if half else data
     theirs = np.flatnonzero(np.frombuffer(following[: 4 * half + 4], dtype=np.uint8) & 0xC0 != 0x80)
     taken = following[: theirs[half]] if half < len(theirs) else following if half else b""
-    return len(starts), kept + taken
+    return len(starts), kept + taken, len(kept)
+
+
+def _edited_digest(edited: bytes, at: int, own: Digest, following: Digest, ranks: dict[int, np.ndarray]) -> Digest:
+    """The digest of an edited text: windows inside either part have the levels they have there, and only those across the cut are computed."""
+    w = own.window
+    if own.levels is None or following.levels is None or following.window != w or window_of(code_points(edited)) != w or len(edited) < w:
+        return Digest(edited, ranks)
+    first, after = max(0, at - w + 1), max(0, len(edited) - at - w + 1)
+    across = edited[first : min(len(edited), at + w - 1)]
+    middle = entropy_levels(across, w) if len(across) >= w else own.levels[:0]
+    return Digest(edited, ranks, np.concatenate((own.levels[:first], middle, following.levels[:after])))
 
 
 def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -201,9 +215,9 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
                         continue  # a further document with the head's key
                     digest = Digest(data, ranks)
                     if previous is not None:
-                        n, edited = _edited(previous[2], data)
-                        theirs = Digest(edited, ranks)
+                        n, edited, cut = _edited(previous[2], data)
                         mine = previous[3]
+                        theirs = _edited_digest(edited, cut, mine, digest, ranks)
                         made.append((previous[1].as_py(), n, hashlib.sha256(edited).hexdigest(), mine.text(), theirs.text(), mine.likeness(theirs), mine.likeness(digest)))
                     previous = None if tail else (bucket, own, data, digest)
                 if made:
