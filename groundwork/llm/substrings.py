@@ -81,11 +81,11 @@ def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield number, offset, held
 
 
-def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(texts: list[bytes], length: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``anchor_runs`` of texts of any number and length."""
     parts = [anchor_runs([], length)]
     for numbers, offsets, segments in _chunks(texts, length):
-        number, anchor, start, count = anchor_runs(segments, length)
+        number, anchor, start, count = anchor_runs(segments, length, turn)
         parts.append((np.array(numbers)[number], anchor, start + np.array(offsets)[number], count))
     return tuple(np.concatenate(c) for c in zip(*parts))  # type: ignore[return-value]
 
@@ -172,7 +172,7 @@ class Split:
         self.length, self.files = length, [tempfile.TemporaryFile() for _ in range(BUCKETS)]
 
     def add(self, rows: list[tuple]) -> None:
-        number, anchor, start, count = anchor_runs([r[5] for r in rows], self.length, turn=1)
+        number, anchor, start, count = _runs([r[5] for r in rows], self.length, turn=1)
         for i, m, s, n in zip(number.tolist(), anchor.tolist(), start.tolist(), count.tolist()):
             first, doc, twin, at, _, piece = rows[i]
             pickle.dump((first, doc, twin, at + s, n, piece[s : s + n + self.length - 1]), self.files[m % BUCKETS])

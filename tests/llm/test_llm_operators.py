@@ -88,6 +88,21 @@ def test_repeats_match_brute_force(make, large):
         assert out[i].kept_text == left.decode("utf-8", "ignore")
 
 
+def test_repeats_around_a_hot_anchor_match_brute_force(make):
+    rng = np.random.default_rng(0)
+    letters = lambda n: (97 + rng.integers(0, 26, n, dtype=np.uint8)).tobytes()
+    pool = letters(1 << 22)
+    at = int(substrings._gram_hashes(np.frombuffer(pool, dtype=np.uint8)).argmin())
+    gram = pool[at : at + substrings.GRAM]  # the least hash of four million, so the anchor of nearly all strings that hold it
+    rights = [letters(80) for _ in range(8000)]
+    texts = [(letters(80) + gram + right).decode() for right in rights * 2]
+    large = 5 << 19
+    assert large > int(substrings.PLACE) + 1 and sum(map(len, texts)) > large
+    out = {r.doc_id: r for r in substrings.remove_repeats(make(texts), large=large).collect()}
+    for i, (left, spans) in enumerate(repeats_by_force([t.encode() for t in texts], 100)):
+        assert (out[i].kept_sha256, out[i].n_spans) == (hashlib.sha256(left).hexdigest(), spans), i
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_repeated_starts_and_spills(seed):
     rng = random.Random(seed)
