@@ -77,9 +77,9 @@ def _mixed(words: np.ndarray) -> np.ndarray:
 class Digest:
     """Chained Bloom filters of a text's features, PER_FILTER features in each."""
 
-    def __init__(self, data: bytes, ranks: dict[int, np.ndarray], levels: np.ndarray | None = None):
-        self.window = window = window_of(code_points(data))
-        self.levels = levels
+    def __init__(self, data: bytes, ranks: dict[int, np.ndarray], levels: np.ndarray | None = None, window: int | None = None):
+        self.window = window = window or window_of(code_points(data))
+        self.levels, self._data, self._ranks, self._short = levels, data, ranks, None
         if len(data) < window:
             hashed = _mixed(np.frombuffer(data.ljust(window, b"\0"), dtype="<u8").reshape(1, -1)) if data else np.array([], dtype=np.uint64)
         else:
@@ -102,8 +102,20 @@ class Digest:
     def text(self) -> str:
         return base64.b64encode(self.filters.tobytes()).decode()
 
+    def short(self) -> Digest:
+        """The digest of the same text by short windows, made once when a short text is compared with it."""
+        if self.window == SHORT_WINDOW:
+            return self
+        self._short = self._short or Digest(self._data, self._ranks, window=SHORT_WINDOW)
+        return self._short
+
     def likeness(self, other: Digest) -> float:
-        """Bits in common over what chance explains, of each filter with its best match in the longer digest, weighed by bits set (0 to 1)."""
+        """Bits in common over what chance explains, of each filter with its best match in the longer digest, weighed by bits set (0 to 1).
+
+        Windows of different length have no hash in common, so of texts on both sides of SHORT the long one is read by short windows too.
+        """
+        if self.window != other.window and len(self.ones) and len(other.ones):
+            return self.short().likeness(other.short())
         a, b = (self, other) if len(self.ones) <= len(other.ones) else (other, self)
         if not len(a.ones):
             return 1.0 if not len(b.ones) else 0.0
@@ -197,7 +209,8 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
     A window's improbability is how few windows of all documents have its entropy (``rarity``). The next document is
     that of the next smaller key (after the last: the first), ties in order of their text. Null text: empty; an empty text has an empty fingerprint, like
-    only to another empty one. Texts under 400 code points are read by windows of 8 bytes instead of 32; shorter ones than a window are one feature. Null keys come last. No rows: no rows. Other columns are ignored.
+    only to another empty one. Texts under 400 code points are read by windows of 8 bytes instead of 32; a longer text
+    compared with one of them is read by windows of 8 bytes for that likeness. Texts shorter than a window are one feature. Null keys come last. No rows: no rows. Other columns are ignored.
     """
     ranks = rarity(docs)
     rows = next_in_order(docs, key)

@@ -196,6 +196,15 @@ def test_digests_edit_and_likeness(make):
     assert out[20].fingerprint == out[1].fingerprint and out[21].fingerprint == out[22].fingerprint == ""
 
 
+def test_digests_compare_across_the_short_limit(make):
+    long, half = prose(1, 90)[:405], prose(2, 120)[:600]
+    texts = {9: long, 8: long[:395], 7: long, 6: prose(3, 90)[:395], 5: half, 4: ""}
+    out = {r.doc_id: r for r in digests.fingerprint_documents(make([(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert out[9].near_next > 0.8 and out[8].near_next > 0.8  # a near copy on the other side, from either side
+    assert out[5].near_edited > 0.8 and out[5].near_next == 0  # the edited text is the document's first half
+    assert out[7].near_next < 0.6  # another text
+
+
 def entropy_by_force(window):
     counts = np.bincount(np.frombuffer(window, dtype=np.uint8))
     p = counts[counts > 0] / len(window)
