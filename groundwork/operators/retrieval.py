@@ -69,8 +69,11 @@ def rank_within_query(rows: DataFrame, score: str, k: int, tie: str = "id") -> D
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, reach: float = 1.2, bucket: float = 1.0, tables: int = 8, seed: int = 7) -> DataFrame:
-    """As ``knn_exact``, over candidates that share a random-projection bucket within Euclidean ``reach`` of unit vectors (|a-b|^2 = 2 - 2 cos)."""
+def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, reach: float = 2.0, bucket: float = 2.0, tables: int = 10, seed: int = 7) -> DataFrame:
+    """As ``knn_exact``, over candidates that share a random-projection bucket within Euclidean ``reach`` of unit vectors (|a-b|^2 = 2 - 2 cos).
+
+    The default reach of 2 cuts nothing off, so far neighbours are found too. Only rows that share a bucket in no table are missed.
+    """
     unit = lambda df, name: Normalizer(inputCol="_v", outputCol="unit").transform(df.where(F.size("vector") > 0).select(F.col(name), array_to_vector("vector").alias("_v"))).drop("_v")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit(corpus, "id"))
     pairs = model.approxSimilarityJoin(unit(queries, "query_id"), unit(corpus, "id"), reach, "distance")

@@ -72,6 +72,19 @@ def test_knn(spark, vectors):
     assert len(near & want) >= 0.9 * len(want)
 
 
+def test_knn_approx_finds_far_neighbours(spark):
+    from groundwork.plans import PLANS
+
+    sf = "/root/testdata/sf0.01"
+    want = {(r.query_id, r.id) for r in PLANS.QUERIES["knn_exact"](spark, sf).collect()}
+    got = {(r.query_id, r.id) for r in PLANS.QUERIES["knn_approx"](spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+    rows = [(i, [float(i == j) for j in range(8)]) for i in range(8)]  # no two are nearer than cosine 0
+    corpus = spark.createDataFrame(rows, "id long, vector array<float>")
+    found = retrieval.knn_approx(corpus.withColumnRenamed("id", "query_id"), corpus, 3).groupBy("query_id").count().collect()
+    assert [r["count"] for r in found] == [3] * 8
+
+
 def test_threshold_and_fallback(spark):
     rows = spark.createDataFrame([(1, 10, 0.15), (1, 11, 0.1), (2, 10, 0.9), (2, 11, 0.2)], "query_id long, id long, similarity double")
     scored = retrieval.rescored(rows, F.lit(0), F.lit(False))
