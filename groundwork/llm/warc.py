@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -54,14 +55,30 @@ def record_text(key: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def _member(record: bytes) -> bytes:
+    """A gzip member of this record without its last byte, which is zero; a record of 16 MB or more is followed by an empty member, so that it is."""
+    out = gzip.compress(record, 6, mtime=0)
+    return (out if len(record) < 1 << 24 else out + gzip.compress(b"", mtime=0))[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield pa.RecordBatch.from_arrays([pa.array([_member(r + END) for r in batch.column(0).slice(at, 500).to_pylist()], pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", records_per_file: int = 10000, compression: str | None = "gzip") -> None:
-    """Writes ``with_revisits`` rows as WARC files of at most ``records_per_file`` records, by Spark's own text sink.
+    """Writes ``with_revisits`` rows as WARC files of at most ``records_per_file`` records, by Spark's own text sink, so that it runs on any
+    store and is retried and committed like any Spark output.
 
-    A record ends with two CRLFs, which the sink writes between rows, so it runs on any store and is retried and committed like any
-    Spark output. With gzip a file is one member.
+    With gzip every record is a member of its own, so damage costs only the records it touches. The sink ends each row with a separator: a
+    member's last byte, always zero, or else the two CRLFs that end a plain record.
     """
-    writer = pages.select(record_text(F.col(key)).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file)
-    (writer.option("compression", compression) if compression else writer).text(path)
+    rows, end = pages.select(record_text(F.col(key)).alias("value")), "\r\n\r\n"
+    if compression == "gzip":
+        rows, end = rows.select(F.col("value").cast("binary")).mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
+    writer = rows.write.option("lineSep", end).option("maxRecordsPerFile", records_per_file)
+    (writer.option("compression", compression) if compression and compression != "gzip" else writer).text(path)
 
 
 @dataclass
@@ -72,9 +89,28 @@ class Salvage:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
+def _opens(data: bytes, at: int) -> bool:
+    """Whether a gzip member that begins with a record begins here."""
+    try:
+        return bool(_VERSION.match(zlib.decompressobj(31).decompress(data[at : at + (1 << 16)], 16)))
+    except zlib.error:
+        return False
+
+
+def _packed(data: bytes) -> bool:
+    """Whether members hold the records: the first record that can be read, anywhere in the archive, is in one."""
+    if data.startswith(MEMBER):
+        return True
+    plain = _VERSION.search(data)
+    at = data.find(MEMBER, 0, plain.start() if plain else len(data))
+    while at >= 0 and not _opens(data, at):
+        at = data.find(MEMBER, at + 1, plain.start() if plain else len(data))
+    return at >= 0
+
+
 def unpack(data: bytes) -> Iterator[tuple[bytes, list[tuple[int, int, str]]]]:
     """The plain runs of an archive: itself, or each gzip member; a damaged member gives what inflates and a gap up to the next one that opens."""
-    if not data.startswith(MEMBER) and MEMBER not in data[:4096]:
+    if not _packed(data):
         yield data, []
         return
     at = data.find(MEMBER)

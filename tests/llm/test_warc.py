@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 
 from groundwork.llm import warc
 
@@ -46,6 +47,34 @@ def test_damaged_members_are_skipped():
     assert {"0", "1", "3", "4"} <= set(ids(found)) and found.gaps
 
 
+def test_damaged_head_of_a_packed_archive():
+    rng = random.Random(1)
+    members = [gzip.compress(record(i, rng.randbytes(6000).hex().encode())) for i in range(5)]
+    data = bytearray(b"".join(members))
+    data[: 8 << 10] = rng.randbytes(8 << 10)
+    found = warc.salvage_archive(bytes(data))
+    assert ids(found) == ["2", "3", "4"] and found.gaps
+    plain = record(0, b"x" * 5000) + record(1, gzip.compress(record(7, b"y"))) + record(2, b"z")
+    assert ids(warc.salvage_archive(b"?" * 20 + plain[20:])) == ["1", "2"]  # a packed payload does not make a plain archive a packed one
+
+
+def test_damage_inside_a_written_archive(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>é {i} " * 200) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.with_revisits(pages).coalesce(1), f"file://{tmp_path}/a")
+    (path,) = (tmp_path / "a").glob("part-*")
+    data = bytearray(path.read_bytes())
+    assert gzip.decompress(bytes(data)).count(b"WARC/1.1\r\n") == 40
+    assert len(warc.salvage_archive(bytes(data)).records) == 40 and not warc.salvage_archive(bytes(data)).gaps
+    data[len(data) // 2] ^= 0xFF
+    found = warc.salvage_archive(bytes(data))
+    assert len(found.records) == 39 and found.gaps
+
+
+def test_large_record_is_a_whole_member():
+    packed = warc._member(record(1, b"x" * (1 << 24))) + b"\0" + warc._member(record(2, b"y")) + b"\0"
+    assert ids(warc.salvage_archive(packed)) == ["1", "2"] and not warc.salvage_archive(packed).gaps
+
+
 def test_round_trip(spark):
     long = "<p>é " * 60
     rows = [(3, "u", long), (1, "u", long), (2, "v", long), (4, None, "tiny"), (5, "w\nx", "tiny"), (6, "w", None), (None, "n", "no id " * 40), (7, "w", "WARC/1.1\r\n\r\n" * 30), (2, "v", long)]
