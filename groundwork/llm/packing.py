@@ -36,7 +36,7 @@ def tokens(text: str | None, path: str) -> np.ndarray:
 
 
 def tokenized(rows: DataFrame, path: str) -> DataFrame:
-    """Written table: _key, _queue, doc_tokens, _ids, and where the row's tokens start among those of its queue in its task (_task, _start)."""
+    """Written table: _key, _queue (the number of its source), doc_tokens, _ids, and where the row's tokens start among those of its source in its task (_task, _start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, filled = TaskContext.get().partitionId(), {}
@@ -64,7 +64,11 @@ def served(windows: np.ndarray, totals: np.ndarray, width: int) -> np.ndarray:
     numbers as the divisor method: the tokens with the least (t + 1/2) / total, so that any window can be computed
     alone, whichever task or machine holds those before it.
     """
-    want = np.minimum(windows.astype(np.int64) * width, int(totals.sum()))
+    return apportioned(np.minimum(windows.astype(np.int64) * width, int(totals.sum())), totals)
+
+
+def apportioned(want: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How many of the first ``want`` tokens of all go to each of these totals: one row per entry, by least (t + 1/2) / total."""
     share = totals / totals.sum()
     got = np.minimum(np.floor(want[:, None] * share[None, :] + 0.5).astype(np.int64), totals[None, :])
     weight = totals.astype(np.float64)
@@ -81,38 +85,57 @@ def served(windows: np.ndarray, totals: np.ndarray, width: int) -> np.ndarray:
             got[more, last_at.shape[1] - 1 - last_at[:, ::-1].argmax(axis=1)] -= 1
 
 
-def pieces(queue: int, starts: np.ndarray, lengths: np.ndarray, totals: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first token, window, offset in the window) of each piece of documents that are tokens start..start+length of their queue.
+def pieces(queue: int, starts: np.ndarray, lengths: np.ndarray, totals: np.ndarray, width: int, own: int = 0, shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first token, window, offset in the window) of each piece of documents that are tokens start..start+length of their source.
 
-    ``starts`` ascend. Windows are computed once for documents that lie next to each other.
+    The source is the one at ``own`` of those that share the queue, with ``shares`` tokens each: what a window takes from the queue is
+    apportioned to them in turn. ``starts`` ascend. Windows are computed once for documents that lie next to each other.
     """
-    reach = int(totals.sum()) / int(totals[queue]) / width
-    slack, most = int(2 * reach) + 3, -(-int(totals.sum()) // width)
+    shares = totals[queue : queue + 1] if shares is None else shares
+    reach = int(totals.sum()) / int(shares[own]) / width
+    slack, most = int(2 * reach * (1 + (len(shares) > 1))) + 3, -(-int(totals.sum()) // width)
+    slack += int(3 * int(totals.sum()) / int(totals[queue]) / width) * (len(shares) > 1)
     first = np.maximum((starts * reach).astype(np.int64) - slack, 0)
     last = np.minimum(((starts + lengths) * reach).astype(np.int64) + slack, most)
     cuts = np.flatnonzero(np.concatenate(([True], (first[1:] > last[:-1]) | (np.arange(1, len(first)) % 64 == 0))))
     out = []
     for a, b in zip(cuts, np.append(cuts[1:], len(starts))):
         windows = np.arange(first[a], last[b - 1] + 1)
-        before = served(windows, totals, width)
-        mine = before[:, queue]
-        ahead = (before[1:, :queue] - before[:-1, :queue]).sum(axis=1)
+        mine, ahead = served_to(windows, queue, totals, width, own, shares)
         lo = np.searchsorted(mine, starts[a:b], "right") - 1  # the window that holds the first token, then all up to the last one
         hi = np.searchsorted(mine, starts[a:b] + lengths[a:b], "left")
+        if (lo < 0).any() or (hi >= len(mine)).any():  # served further from its share than expected
+            windows = np.arange(most + 1)
+            mine, ahead = served_to(windows, queue, totals, width, own, shares)
+            lo = np.searchsorted(mine, starts[a:b], "right") - 1
+            hi = np.searchsorted(mine, starts[a:b] + lengths[a:b], "left")
         count = hi - lo
         doc = np.repeat(np.arange(a, b), count)
         window = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         begin = np.maximum(mine[window], starts[doc])
-        some = begin < np.minimum(mine[window + 1], starts[doc] + lengths[doc])  # a window may serve none of the queue
+        some = begin < np.minimum(mine[window + 1], starts[doc] + lengths[doc])  # a window may serve none of the source
         doc, window, begin = doc[some], window[some], begin[some]
         out.append((doc, begin - starts[doc], windows[window], ahead[window] + begin - mine[window]))
     return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
+def served_to(windows: np.ndarray, queue: int, totals: np.ndarray, width: int, own: int, shares: np.ndarray, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that one source of a queue has been served before each of these consecutive windows, and where its part begins in each but the last."""
+    step = max(1, block // (len(totals) + len(shares)))
+    mine, ahead = [], []
+    for at in range(0, max(1, len(windows) - 1), step):
+        before = served(windows[at : at + step + 1], totals, width)
+        inner = apportioned(before[:, queue], shares) if len(shares) > 1 else before[:, queue : queue + 1]
+        ahead.append((before[1:, :queue] - before[:-1, :queue]).sum(axis=1) + (inner[1:, :own] - inner[:-1, :own]).sum(axis=1))
+        mine.append(inner[:, own] if at + step + 1 >= len(windows) else inner[:-1, own])
+    return np.concatenate(mine), np.concatenate(ahead)
+
+
 def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "doc_id", source: str = "source", ranks: str | None = None) -> DataFrame:
     """Packs all documents into sequences of ``width`` tokens, every one with the sources' proportions of the corpus.
 
-    Each source is a queue (null: its own); sources beyond ``queues`` share queues by hash. A queue's tokens stand in the order of the written
+    Each source is a queue (null: its own); sources beyond ``queues`` share queues in turn, and what a window takes
+    from a queue is apportioned to its sources in turn, so each of them keeps its proportion too. A source's tokens stand in the order of the written
     token table: the task's number, then the row's place. Window w takes from each queue the tokens that deficit
     round-robin serves in it (``served``), laid out by queue, so all sequences but the last are full and documents
     are cut where a window's quantum ends. Texts are tokenised once; then token sums per (task, queue) are joined to the ids, by broadcast
@@ -125,19 +148,18 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
     docs = docs.select(F.col(key).alias("_key"), F.col(source).alias("_own"), "text")
     names = docs.select(F.col("_own").alias("_source")).distinct()
     turn = ranked(names.withColumn("_none", F.col("_source").isNull()), [], [F.col("_none"), F.col("_source")], "_turn")
-    turn = turn.select("_source", F.when(F.col("_turn") < queues, F.col("_turn")).otherwise(F.pmod(F.xxhash64("_source"), F.lit(queues))).cast("int").alias("_queue"))
+    turn = turn.select("_source", F.col("_turn").cast("int").alias("_turn"))
     few = turn.count() <= 10000  # only then are the names small enough to be sent to every task
     turn = F.broadcast(turn) if few else turn
     queued = docs.join(turn, F.col("_own").eqNullSafe(F.col("_source")), "left")
-    held = tokenized(queued.select("_key", "_queue", "text"), path)
+    held = tokenized(queued.select("_key", F.col("_turn").alias("_queue"), "text"), path)
     sums = held.groupBy("_queue", "_task").agg(F.sum("doc_tokens").alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_queue").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = written(sums.withColumn("_base", earlier), "sums")
-    by_queue = dict(sums.groupBy("_queue").agg(F.sum("_n")).collect())  # at most ``queues`` rows
-    totals = np.array([by_queue.get(q, 0) for q in range(max(by_queue, default=-1) + 1)], dtype=np.int64)
-    live = np.flatnonzero(totals)
-    place = {int(q): i for i, q in enumerate(live)}
-    totals = totals[live]
+    found = sums.groupBy("_queue").agg(F.sum("_n").alias("_n")).toArrow()  # two numbers per source
+    sizes = np.zeros(found.num_rows, dtype=np.int64)
+    sizes[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    totals = np.array([sizes[q::queues].sum() for q in range(min(queues, len(sizes)))], dtype=np.int64)
     placed = held.join(sums.drop("_n"), ["_queue", "_task"]).select("_key", "_queue", "doc_tokens", "_ids", (F.col("_base") + F.col("_start")).alias("_from"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +172,7 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
                 for q in np.unique(queue):
                     rows = np.flatnonzero(queue == q)
                     rows = rows[np.argsort(start[rows], kind="stable")]
-                    doc, first, window, offset = pieces(place[int(q)], start[rows], length[rows], totals, width)
+                    doc, first, window, offset = pieces(q % queues, start[rows], length[rows], totals, width, q // queues, sizes[q % queues :: queues])
                     doc = rows[doc]
                     ends = np.where(np.append(doc[1:] != doc[:-1], True), length[doc], np.append(first[1:], 0))
                     crc = [zlib.crc32(data[d][4 * a : 4 * b]) for d, a, b in zip(doc.tolist(), first.tolist(), ends.tolist())]

@@ -247,6 +247,18 @@ def test_packing_against_the_tokenizer(make):
         assert (x.groupby("sequence_id").sum().iloc[:-1] - want).abs().max() <= 2.01
 
 
+def test_sources_that_share_queues_keep_their_proportions(make):
+    rows = [(i, prose(i, 20 + 31 * i % 90), "en", f"s{i * 12 // 240:02d}") for i in range(240)]
+    got = packing.pack(make(rows), width=256, queues=4).toPandas().sort_values(["doc_id", "start"])
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+    assert (got.sort_values("offset").groupby("sequence_id").apply(lambda g: (g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]))).all()
+    lengths = got.groupby("sequence_id").length.sum()
+    assert (lengths.iloc[:-1] == 256).all()
+    table = got.assign(s=[rows[i][3] for i in got.doc_id]).pivot_table(index="sequence_id", columns="s", values="length", aggfunc="sum", fill_value=0).iloc[:-1]
+    want = 256 * got.assign(s=[rows[i][3] for i in got.doc_id]).groupby("s").length.sum() / got.length.sum()
+    assert len(table.columns) == 12 and (table - want).abs().max().max() <= 3.01
+
+
 def test_deficits_are_monotone():
     totals = np.array([5, 1000, 37, 1, 4000])
     got = packing.served(np.arange(0, -(-totals.sum() // 16) + 1), totals, 16)
