@@ -20,6 +20,7 @@ GRAM, CHUNK, SHARD = 20, 1 << 18, 1 << 20
 LARGE, BUCKETS = 32 << 20, 64  # bytes of one anchor's pieces from which they are split, and into how many files
 PLACE = np.uint64((1 << 21) - 1)  # a chunk has fewer bytes
 NO_KEY = -(1 << 63)
+ROWS = 1 << 18  # rows looked at together: with 31 bits of a start and 13 of its run they fit a long
 
 
 def _gram_hashes(x: np.ndarray) -> np.ndarray:
@@ -137,14 +138,14 @@ def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
     repeats, and go on as joined ranges (``starts`` holds the end, ``piece`` is null), spread by position."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             docs, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
             wanted = batch.column(2).to_pylist()
             found: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
             again: dict[tuple[int, int], list[tuple[int, int]]] = {}
             number, anchor, start, count = _runs(texts, length)
-            asked = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(w, dtype=np.int64) + (i << 50) for i, w in enumerate(wanted))])
-            keep = np.isin((number << 50) + (start << 13) + count, asked)
+            asked = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(w, dtype=np.int64) + (i << 44) for i, w in enumerate(wanted))])
+            keep = np.isin((number << 44) + (start << 13) + count, asked)
             twins = [_order_key(t) for t in texts]
             for i, m, s, n in zip(number[keep].tolist(), anchor.view(np.int64)[keep].tolist(), start[keep].tolist(), count[keep].tolist()):
                 piece = texts[i][s : s + n + length - 1]
