@@ -57,11 +57,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank
     counts = ranges.groupBy("_range", *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        ranges.join(counts, ["_range", *keys])
-        .withColumn(out, F.col("_row") - F.col("_first") + F.col("_before"))
-        .drop("_range", "_row", "_first", "_before")
-    )
+    counts = counts.select(F.col("_range").alias("_in"), *(F.col(k).alias(f"_of_{k}") for k in keys), "_first", "_before")
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return ranges.join(counts, same).withColumn(out, F.col("_row") - F.col("_first") + F.col("_before")).select(*df.columns, out)
+
+
+def joined_by_size(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to their key's one row of ``facts``, in which ``count`` is how many of ``total`` rows have the key.
+
+    Keys with over a thousandth of all rows are at most a thousand, so their facts are broadcast and their rows stay where they are. The others
+    are shuffled, at most a thousandth of the rows to any key. Keys must not be null.
+    """
+    hot = F.col(count) * 1000 > total
+    near = rows.join(F.broadcast(facts.where(hot)), on)
+    far = rows.join(F.broadcast(facts.where(hot).select(*on)), on, "left_anti").join(facts.where(~hot), on, how)
+    return near.unionByName(far)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

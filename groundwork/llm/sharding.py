@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import joined_by_size, ranked, written
 
 TWO_64 = 18446744073709551616.0
 
@@ -15,13 +15,13 @@ def _chance(*columns: object) -> F.Column:
     return (F.xxhash64(*columns).cast("double") / TWO_64) + 0.5
 
 
-def propagate(linked: DataFrame, capacity: int, shards: int, turns: int) -> DataFrame:
+def propagate(linked: DataFrame, n: int, capacity: int, turns: int) -> DataFrame:
     """Moves linked documents towards the shard where most of their group is, ``turns`` times, under quotas.
 
-    ``linked`` has _id, _group, shard. In a turn, every (group, shard) cell votes with its size; the group's target is the fullest
+    ``linked`` has _id, _group, shard, and ``n`` rows at most. In a turn, every (group, shard) cell votes with its size; the group's target is the fullest
     cell among shards that still have over a tenth of their room, and smaller cells ask to move there. Movers to a target are let in with the chance quota / requests: by group, so that small groups
-    stay together, or document by document where a cell is over a tenth of a shard. Cells and loads are
-    pre-aggregated; the documents meet one row per group in a join that Spark may split where a group is hot.
+    stay together, or document by document where the group is over a tenth of a shard, as such a group moved whole would overshoot the quota. Cells and loads are
+    pre-aggregated; the documents meet one row per cell, which is broadcast where the cell is hot (``joined_by_size``).
     """
     for turn in range(turns):
         cells = linked.groupBy("_group", "shard").agg(F.count("*").alias("_n"))
@@ -36,9 +36,9 @@ def propagate(linked: DataFrame, capacity: int, shards: int, turns: int) -> Data
         asked = moves.groupBy("_target").agg(F.sum("_n").alias("_asked"))
         room = loads.select(F.col("shard").alias("_target"), F.greatest(F.lit(capacity) - F.col("_load"), F.lit(0)).alias("_quota"))
         chance = F.broadcast(asked.join(room, "_target", "left").select("_target", F.least(F.coalesce("_quota", F.lit(capacity)) / F.col("_asked"), F.lit(1.0)).alias("_chance")))
-        goal = moves.join(chance, "_target").select("_group", "shard", "_all", "_target", "_chance")
+        goal = moves.join(chance, "_target").select("_group", "shard", "_n", "_all", "_target", "_chance")
         by = F.when(F.col("_all") > capacity / 10, _chance("_id", "_group", F.lit(turn))).otherwise(_chance("_group", F.lit(turn)))
-        moved = linked.join(goal, ["_group", "shard"], "left").withColumn("shard", F.when(by < F.col("_chance"), F.col("_target")).otherwise(F.col("shard")))
+        moved = joined_by_size(linked, goal, ["_group", "shard"], "_n", n, "left").withColumn("shard", F.when(by < F.col("_chance"), F.col("_target")).otherwise(F.col("shard")))
         linked = written(moved.select("_id", "_group", "shard"), f"labels{turn}")
     return linked
 
@@ -48,7 +48,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, turns: int = 6, key: s
 
     Documents with equal texts are linked (null text: as the empty one). Labels start from a hash and are propagated (``propagate``). Then the law is made exact:
     each shard keeps linked documents up to its count, in group order; unlinked ones and the overflow, groups in a row, fill
-    what is left. Ranks come from range partitions, so no task or driver holds a shard.
+    what is left. Ranks come from range partitions, so no task or driver holds a shard. Chances and order come from a document's rank by key and text,
+    so a rerun, or another partitioning of the input, gives equal rows.
 
     Returns key, size (UTF-8 bytes + 8), text_crc32, law, shard, slot (from 0, no gaps), grown_shard (null), group_size.
     Null or repeated keys are rows like any others; which of several equal rows gets which slot does not matter. No rows: no rows.
@@ -60,14 +61,16 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, turns: int = 6, key: s
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(text.cast("binary"))).alias("_group"),
     )
+    # equal rows are told apart by their place, which only says which of them is which
+    base = ranked(base.withColumn("_tie", F.monotonically_increasing_id()), [], [F.col("_key"), F.col("_group"), F.col("_tie")], "_id").drop("_tie")
     base = written(base, "documents")
-    sizes = base.groupBy("_group").agg(F.count("*").alias("group_size"))
-    base = written(base.join(sizes, "_group").withColumn("_id", F.monotonically_increasing_id()), "grouped")
     n = base.count()
     capacity = -(-n // shards)
+    sizes = base.groupBy("_group").agg(F.count("*").alias("group_size"))
+    base = written(joined_by_size(base, sizes, ["_group"], "group_size", n), "grouped")
 
     start = F.pmod(F.xxhash64("_group", "_id"), F.lit(shards)).cast("int")
-    labels = propagate(base.where("group_size > 1").select("_id", "_group", start.alias("shard")), capacity, shards, turns)
+    labels = propagate(base.where("group_size > 1").select("_id", "_group", start.alias("shard")), n, capacity, turns)
     linked = ranked(labels, ["shard"], [F.col("_group"), F.col("_id")], "_rank")
     room = F.lit(n // shards) + (F.col("shard") < n % shards).cast("long")
     linked = linked.withColumn("_kept", F.col("_rank") < room)

@@ -147,6 +147,75 @@ def test_shards_are_even_and_keep_groups(make):
     assert by_doc[1000].size == 11 and by_doc[1000].text_crc32 == zlib.crc32(b"hot")
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of bytes, longs (int) and ints (np.int32), signed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.tobytes() if isinstance(v, np.int32) else v.to_bytes(8, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def chance(*values):
+    return spark_hash(*values) / 2.0**64 + 0.5
+
+
+def shards_by_force(rows, shards, turns):
+    """{(key, text): sorted (shard, slot)} of non-null keys and texts, document by document."""
+    docs = sorted((key, hashlib.md5(text.encode()).digest(), text) for key, text in rows)
+    n, groups = len(docs), [g for _, g, _ in docs]
+    capacity, linked = -(-n // shards), [i for i in range(n) if groups.count(groups[i]) > 1]
+    label = {i: spark_hash(groups[i], i) % shards for i in linked}
+    for turn in range(turns):
+        cells, load = {}, [0] * shards
+        for i in linked:
+            cells[groups[i], label[i]] = cells.get((groups[i], label[i]), 0) + 1
+            load[label[i]] += 1
+        room = [max(0, capacity - x) for x in load]
+        order = lambda g, s: (cells[g, s], spark_hash(g, np.int32(s)))
+        goal, asked = {}, {}
+        for g in {g for g, _ in cells}:
+            target = max((s for h, s in cells if h == g), key=lambda s: (room[s] > capacity // 10, order(g, s)))
+            for s in range(shards):
+                if room[target] > capacity // 10 and (g, s) in cells and s != target and order(g, s) < order(g, target):
+                    goal[g, s] = target
+                    asked[target] = asked.get(target, 0) + cells[g, s]
+        for i in linked:
+            g, s = groups[i], label[i]
+            if (g, s) in goal:
+                t, size = goal[g, s], sum(x for (h, _), x in cells.items() if h == g)
+                draw = chance(i, g, np.int32(turn)) if size > capacity / 10 else chance(g, np.int32(turn))
+                if draw < min(room[t] / asked[t], 1.0):
+                    label[i] = t
+    places, overflow = {}, [i for i in range(n) if i not in label]
+    held = [0] * shards
+    for s in range(shards):
+        mine = sorted((i for i in linked if label[i] == s), key=lambda i: (groups[i], i))
+        for slot, i in enumerate(mine):
+            if slot < n // shards + (s < n % shards):
+                places[i], held[s] = (s, slot), slot + 1
+            else:
+                overflow.append(i)
+    free = [(s, slot) for s in range(shards) for slot in range(held[s], n // shards + (s < n % shards))]
+    places |= dict(zip(sorted(overflow, key=lambda i: (groups[i], i)), free))
+    out = {}
+    for i, (key, _, text) in enumerate(docs):
+        out.setdefault((key, text), []).append(places[i])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_shards_match_brute_force_and_reruns(make):
+    rng = random.Random(2)
+    rows = [(i, f"text {min(rng.randrange(60), rng.randrange(90))}") for i in range(300)] + [(400 + i, "hot") for i in range(150)] + [(7, "hot")] * 3
+    docs = make([(i, t, "en", "a") for i, t in rows])
+    want = shards_by_force(rows, 7, 4)
+    for again in (docs, docs.repartition(5), docs.orderBy("text").repartition(3)):
+        got = {}
+        texts = {(i, zlib.crc32(t.encode())): t for i, t in rows}
+        for r in sharding.shard_documents(again, shards=7, turns=4).collect():
+            got.setdefault((r.doc_id, texts[r.doc_id, r.text_crc32]), []).append((r.shard, r.slot))
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_license_places_and_labels(make):
     docs = make(
         ["Released under the MIT License. Also UNDER-the mit/license!", "x Licensed under the Apache License, Version 2.0 y", "CC BY-NC 4.0", "the mit under license", None,
