@@ -1,4 +1,4 @@
-"""Mixture-controlled packing: deficit round-robin over source queues, with the deficits of any window computable on its own."""
+"""Mixture-controlled packing: deficit round-robin over source queues, which any partition takes up where the ones before it end."""
 
 from __future__ import annotations
 
@@ -20,19 +20,21 @@ from .common import ranked, written
 
 END_ID = 0
 RANKS = "byte_bpe_50k.tiktoken"
+SPECIAL = {"<|endoftext|>": 50256}  # a fixed value of the vocabulary
+UNIT = 1 << 16  # quanta and deficits are counted in 65536ths of a token
 
 
 @cache
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of byte_bpe_50k.json from its file of ranks: the same ids, several times as fast (tests hold both together)."""
+    """The vocabulary of byte_bpe_50k.json from its file of ranks: the same ids, several times as fast (tests hold both together)."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def tokens(text: str | None, path: str) -> np.ndarray:
-    """Ids of a whole text, then the end id, as uint16 (the vocabulary has under 65,536 ids)."""
-    return np.append(encoder(path).encode_to_numpy(text or "", disallowed_special=()).astype(np.uint16), np.uint16(END_ID))
+    """Ids of a whole text, in which the vocabulary's special token is one id, then the end id; as uint16 (the vocabulary has under 65,536 ids)."""
+    return np.append(encoder(path).encode_to_numpy(text or "", allowed_special="all").astype(np.uint16), np.uint16(END_ID))
 
 
 def tokenized(rows: DataFrame, path: str) -> DataFrame:
@@ -56,90 +58,87 @@ def tokenized(rows: DataFrame, path: str) -> DataFrame:
     return written(rows.mapInArrow(run, f"_key {kind}, _queue int, doc_tokens long, _ids binary, _task int, _start long"), "tokens")
 
 
-def served(windows: np.ndarray, totals: np.ndarray, width: int) -> np.ndarray:
-    """Tokens that each queue has been served before each window: one row per window, whose sum is width * window.
+def quanta(weights: np.ndarray, width: float) -> np.ndarray:
+    """What each queue's deficit gains in a round: its share of ``width`` tokens, in UNITs, at least one."""
+    return np.maximum(np.rint(weights / weights.sum() * (width * UNIT)).astype(np.int64), 1)
 
-    A queue's quantum per window is width * its share; what a window cannot serve of it in whole tokens is its deficit and carries over. Serving
-    the largest deficit first keeps every queue within a token or so of its share for good, and gives the same
-    numbers as the divisor method: the tokens with the least (t + 1/2) / total, so that any window can be computed
-    alone, whichever task or machine holds those before it.
+
+def opening(queues: int) -> np.ndarray:
+    """The queues' deficits before the first round: different parts of a token, half of one on average, so that they don't all round up in the same round."""
+    return (2 * np.arange(queues) + 1) * UNIT // (2 * queues)
+
+
+def served(rounds: np.ndarray, totals: np.ndarray, quantum: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Tokens that each queue has been served in all of the first so many rounds: one row per entry of ``rounds``.
+
+    In a round, every queue in turn gains its quantum, is served the whole tokens of its deficit, and keeps the rest of the deficit for the next round; an
+    emptied queue is passed over. So after r rounds a queue has had the whole tokens of its opening deficit and r quanta, and its deficit is what
+    they are over that: a window or a partition takes both up from the tokens before it.
+    """
+    return np.minimum((rounds[:, None] * quantum[None, :] + opening[None, :]) // UNIT, totals[None, :])
+
+
+def dealt(queue: int, lo: np.ndarray, hi: np.ndarray, totals: np.ndarray, quantum: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Where round-robin puts the tokens lo to hi of a queue: (which range, first token, end, place in the order of service), one row per range and round.
+
+    Ranges ascend and don't overlap; the token before a range has carried the queue to that range's first round and deficit.
     """
-    return apportioned(np.minimum(windows.astype(np.int64) * width, int(totals.sum())), totals)
-
-
-def apportioned(want: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """How many of the first ``want`` tokens of all go to each of these totals: one row per entry, by least (t + 1/2) / total."""
-    share = totals / totals.sum()
-    got = np.minimum(np.floor(want[:, None] * share[None, :] + 0.5).astype(np.int64), totals[None, :])
-    weight = totals.astype(np.float64)
-    while True:
-        lack = want - got.sum(axis=1)
-        less, more = np.flatnonzero(lack > 0), np.flatnonzero(lack < 0)
-        if not len(less) and not len(more):
-            return got
-        if len(less):
-            next_at = np.where(got[less] < totals, (got[less] + 0.5) / weight, np.inf)
-            got[less, next_at.argmin(axis=1)] += 1
-        if len(more):
-            last_at = np.where(got[more] > 0, (got[more] - 0.5) / weight, -np.inf)
-            got[more, last_at.shape[1] - 1 - last_at[:, ::-1].argmax(axis=1)] -= 1
-
-
-def pieces(queue: int, starts: np.ndarray, lengths: np.ndarray, totals: np.ndarray, width: int, own: int = 0, shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first token, window, offset in the window) of each piece of documents that are tokens start..start+length of their source.
-
-    The source is the one at ``own`` of those that share the queue, with ``shares`` tokens each: what a window takes from the queue is
-    apportioned to them in turn. ``starts`` ascend. Windows are computed once for documents that lie next to each other.
+    early = opening(len(totals))
+    round_of = lambda token: -((early[queue] - (token + 1) * UNIT) // quantum[queue])  # from 1
+    if quantum[queue] >= UNIT:  # every round from the first token's to the last one's serves some
+        which, turn = _counted(round_of(lo), round_of(hi - 1) + 1)
+    else:  # a round serves one token at most
+        which, turn = _counted(lo, hi)
+        turn = round_of(turn)
+    turns, back = np.unique(turn, return_inverse=True)
+    begin, place = np.empty(len(turns), dtype=np.int64), np.empty(len(turns), dtype=np.int64)
+    step = max(1, block // len(totals))
+    for at in range(0, len(turns), step):
+        part = turns[at : at + step]
+        before = served(part - 1, totals, quantum, early)
+        begin[at : at + step] = before[:, queue]
+        place[at : at + step] = before[:, queue:].sum(axis=1) + served(part, totals[:queue], quantum[:queue], early[:queue]).sum(axis=1)
+    a = np.maximum(begin[back], lo[which])
+    b = np.minimum(served(turn, totals[queue : queue + 1], quantum[queue : queue + 1], early[queue : queue + 1])[:, 0], hi[which])
+    return which, a, b, place[back] + a - begin[back]
+
+
+def _counted(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of all numbers of the ranges lo to hi."""
+    count = hi - lo
+    which = np.repeat(np.arange(len(lo)), count)
+    return which, np.arange(len(which)) - (np.cumsum(count) - count - lo)[which]
+
+
+def pieces(lo: np.ndarray, hi: np.ndarray, path: list[tuple[int, np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, ...]:
+    """(range, first token, end, window, offset in the window) of the pieces of the tokens lo to hi of a source.
+
+    ``path`` holds (number, totals, quanta) of the source among those of its queue, then of that queue among all: the
+    source's place in its queue's order is the token number that the queue is dealt by. Neighbours in one order stay one piece.
     """
-    shares = totals[queue : queue + 1] if shares is None else shares
-    reach = int(totals.sum()) / int(shares[own]) / width
-    slack, most = int(2 * reach * (1 + (len(shares) > 1))) + 3, -(-int(totals.sum()) // width)
-    slack += int(3 * int(totals.sum()) / int(totals[queue]) / width) * (len(shares) > 1)
-    first = np.maximum((starts * reach).astype(np.int64) - slack, 0)
-    last = np.minimum(((starts + lengths) * reach).astype(np.int64) + slack, most)
-    cuts = np.flatnonzero(np.concatenate(([True], (first[1:] > last[:-1]) | (np.arange(1, len(first)) % 64 == 0))))
-    out = []
-    for a, b in zip(cuts, np.append(cuts[1:], len(starts))):
-        windows = np.arange(first[a], last[b - 1] + 1)
-        mine, ahead = served_to(windows, queue, totals, width, own, shares)
-        lo = np.searchsorted(mine, starts[a:b], "right") - 1  # the window that holds the first token, then all up to the last one
-        hi = np.searchsorted(mine, starts[a:b] + lengths[a:b], "left")
-        if (lo < 0).any() or (hi >= len(mine)).any():  # served further from its share than expected
-            windows = np.arange(most + 1)
-            mine, ahead = served_to(windows, queue, totals, width, own, shares)
-            lo = np.searchsorted(mine, starts[a:b], "right") - 1
-            hi = np.searchsorted(mine, starts[a:b] + lengths[a:b], "left")
-        count = hi - lo
-        doc = np.repeat(np.arange(a, b), count)
-        window = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        begin = np.maximum(mine[window], starts[doc])
-        some = begin < np.minimum(mine[window + 1], starts[doc] + lengths[doc])  # a window may serve none of the source
-        doc, window, begin = doc[some], window[some], begin[some]
-        out.append((doc, begin - starts[doc], windows[window], ahead[window] + begin - mine[window]))
-    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
-
-
-def served_to(windows: np.ndarray, queue: int, totals: np.ndarray, width: int, own: int, shares: np.ndarray, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that one source of a queue has been served before each of these consecutive windows, and where its part begins in each but the last."""
-    step = max(1, block // (len(totals) + len(shares)))
-    mine, ahead = [], []
-    for at in range(0, max(1, len(windows) - 1), step):
-        before = served(windows[at : at + step + 1], totals, width)
-        inner = apportioned(before[:, queue], shares) if len(shares) > 1 else before[:, queue : queue + 1]
-        ahead.append((before[1:, :queue] - before[:-1, :queue]).sum(axis=1) + (inner[1:, :own] - inner[:-1, :own]).sum(axis=1))
-        mine.append(inner[:, own] if at + step + 1 >= len(windows) else inner[:-1, own])
-    return np.concatenate(mine), np.concatenate(ahead)
-
-
-def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "doc_id", source: str = "source", ranks: str | None = None) -> DataFrame:
-    """Packs all documents into sequences of ``width`` tokens, every one with the sources' proportions of the corpus.
-
-    Each source is a queue (null: its own); sources beyond ``queues`` share queues in turn, and what a window takes
-    from a queue is apportioned to its sources in turn, so each of them keeps its proportion too. A source's tokens stand in the order of the written
-    token table: the task's number, then the row's place. Window w takes from each queue the tokens that deficit
-    round-robin serves in it (``served``), laid out by queue, so all sequences but the last are full and documents
-    are cut where a window's quantum ends. Texts are tokenised once; then token sums per (task, queue) are joined to the ids, by broadcast
-    while Spark measures them as small.
+    which, first, end, at = np.arange(len(lo)), lo, hi, lo
+    for number, totals, quantum in path:
+        if len(totals) > 1:
+            part, a, b, place = dealt(number, at, at + (end - first), totals, quantum)
+            which, first, end, at = which[part], first[part] + a - at[part], first[part] + b - at[part], place
+            joins = (which[1:] == which[:-1]) & (at[1:] == at[:-1] + (end - first)[:-1])
+            head = np.flatnonzero(np.append(True, ~joins)) if len(which) else np.array([], dtype=np.int64)
+            which, first, at, end = which[head], first[head], at[head], end[np.append(head[1:], len(end)) - 1] if len(head) else end
+    part, window = _counted(at // width, (at + (end - first) - 1) // width + 1)
+    begin = np.maximum(window * width, at[part])
+    stop = np.minimum((window + 1) * width, at[part] + (end - first)[part])
+    return which[part], first[part] + begin - at[part], first[part] + stop - at[part], window, begin - window * width
+
+
+def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, targets: dict[str | None, float] | None = None, key: str = "doc_id", source: str = "source", ranks: str | None = None) -> DataFrame:
+    """Packs all documents into sequences of ``width`` tokens, every one with the target proportions of the sources.
+
+    ``targets`` weighs sources by name; without it, and for sources it does not name, a source weighs its share of the corpus's tokens. Each source is a queue (null: its
+    own); with more than ``queues`` sources, every queues-th one is in the same queue, and round-robin runs among those in the same way, so each keeps its proportion. A source's
+    tokens stand in the order of the written token table: the task's number, then the row's place. Deficit round-robin
+    (``served``) deals the tokens out in one order, which is cut into windows; so all sequences but the last are full, documents are cut where a
+    quantum or a window ends, and when a source is used up the others fill the windows. Texts are tokenised once; then token sums per (task, source),
+    which carry rounds and deficits from partition to partition, are joined to the ids, by broadcast while Spark measures them as small.
 
     Returns per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null or empty text: the end id
     alone. Repeated rows are packed each. Null keys stay null. No rows: no rows. Other columns are ignored.
@@ -159,7 +158,12 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
     found = sums.groupBy("_queue").agg(F.sum("_n").alias("_n")).toArrow()  # two numbers per source
     sizes = np.zeros(found.num_rows, dtype=np.int64)
     sizes[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    totals = np.array([sizes[q::queues].sum() for q in range(min(queues, len(sizes)))], dtype=np.int64)
+    weights = sizes / max(sizes.sum(), 1)
+    if targets:  # as many names as the parameter has
+        for r in turn.where(F.col("_source").isin([t for t in targets if t is not None]) | F.col("_source").isNull()).collect():
+            weights[r._turn] = targets.get(r._source, weights[r._turn])
+    totals, heavy = (np.array([x[q::queues].sum() for q in range(min(queues, len(x)))]) for x in (sizes, weights))
+    outer = quanta(heavy, width) if len(sizes) else sizes
     placed = held.join(sums.drop("_n"), ["_queue", "_task"]).select("_key", "_queue", "doc_tokens", "_ids", (F.col("_base") + F.col("_start")).alias("_from"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +176,11 @@ def pack(docs: DataFrame, *, width: int = 1024, queues: int = 64, key: str = "do
                 for q in np.unique(queue):
                     rows = np.flatnonzero(queue == q)
                     rows = rows[np.argsort(start[rows], kind="stable")]
-                    doc, first, window, offset = pieces(q % queues, start[rows], length[rows], totals, width, q // queues, sizes[q % queues :: queues])
+                    own, shared = q // queues, slice(q % queues, None, queues)
+                    inner = (own, sizes[shared], quanta(weights[shared], outer[q % queues] / UNIT))  # a round of the queue's sources is what the queue is served in a round
+                    doc, first, ends, window, offset = pieces(start[rows], start[rows] + length[rows], [inner, (q % queues, totals, outer)], width)
                     doc = rows[doc]
-                    ends = np.where(np.append(doc[1:] != doc[:-1], True), length[doc], np.append(first[1:], 0))
+                    first, ends = first - start[doc], ends - start[doc]
                     crc = [zlib.crc32(data[d][4 * a : 4 * b]) for d, a, b in zip(doc.tolist(), first.tolist(), ends.tolist())]
                     columns = (first, ends - first, np.array(crc, dtype=np.int64), length[doc], window, offset)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in columns)], names=names)

@@ -303,7 +303,6 @@ def test_packing_against_the_tokenizer(make):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [prose(i, 40 + 37 * i % 300) for i in range(60)] + ["", None, "<|endoftext|> x", "\n\n  tabs\t é 漢字 👍"]
     rows = [(i, t, "en", "abcd"[i % 4] if i % 9 else None) for i, t in enumerate(texts)]
     got = packing.pack(make(rows), width=64).toPandas().sort_values(["doc_id", "start"])
@@ -337,11 +336,60 @@ def test_sources_that_share_queues_keep_their_proportions(make):
     assert len(table.columns) == 12 and (table - want).abs().max().max() <= 3.01
 
 
-def test_deficits_are_monotone():
-    totals = np.array([5, 1000, 37, 1, 4000])
-    got = packing.served(np.arange(0, -(-totals.sum() // 16) + 1), totals, 16)
-    assert (np.diff(got, axis=0) >= 0).all() and (got[-1] == totals).all()
-    assert (got.sum(axis=1) == np.minimum(np.arange(len(got)) * 16, totals.sum())).all()
+def round_robin_by_force(totals, quantum):
+    """The queue and number of every token, in the order of service."""
+    left, deficit, order = list(totals), packing.opening(len(totals)).tolist(), []
+    while any(left):
+        for q in range(len(totals)):
+            if left[q]:
+                deficit[q] += int(quantum[q])
+                while deficit[q] >= packing.UNIT and left[q]:
+                    order.append((q, totals[q] - left[q]))
+                    deficit[q] -= packing.UNIT
+                    left[q] -= 1
+    return order
+
+
+@pytest.mark.parametrize("totals, weights, width", [
+    ([5, 1000, 37, 1, 4000], None, 16), ([700, 200, 60, 40], None, 100), ([100, 10, 10, 10, 3], None, 7), ([300, 300, 300], [1, 2, 5], 64), ([9], None, 4), ([50, 400] * 50, None, 256)
+])
+def test_deficit_round_robin_token_by_token(totals, weights, width):
+    quantum = packing.quanta(np.array(weights or totals, dtype=float), width)
+    order = round_robin_by_force(totals, quantum)
+    at = {token: i for i, token in enumerate(order)}
+    rng = random.Random(1)
+    for q, n in enumerate(totals):
+        cuts = [0, *sorted(rng.sample(range(1, n), min(n - 1, 9))), n]
+        lo, hi = np.array(cuts[:-1]), np.array(cuts[1:])
+        got = []
+        for doc, a, b, window, offset in zip(*packing.pieces(lo, hi, [(q, np.array(totals), quantum)], width)):
+            assert lo[doc] <= a < b <= hi[doc] and 0 <= offset and offset + b - a <= width
+            got += [(q, t, window * width + offset + t - a) for t in range(a, b)]
+        assert got == [(q, t, at[q, t]) for t in range(n)]
+    # while no queue is used up, every window has its target proportions, give or take a token and the windows' edges
+    weight = np.array(weights or totals) / sum(weights or totals)
+    whole = min(len(order), int(min(n / w for n, w in zip(totals, weight)))) // width
+    for w in range(whole):
+        mine = np.bincount([q for q, _ in order[w * width : (w + 1) * width]], minlength=len(totals))
+        assert np.abs(mine - weight * width).max() <= 2 + len(totals) / 4
+
+
+def test_target_proportions(make):
+    rows = [(i, prose(i, 60), "en", "abc"[i % 3]) for i in range(90)]
+    got = packing.pack(make(rows), width=128, targets={"a": 1, "b": 2, "c": 5}).toPandas()
+    table = got.assign(s=["abc"[i % 3] for i in got.doc_id]).pivot_table(index="sequence_id", columns="s", values="length", aggfunc="sum", fill_value=0)
+    whole = int((got.assign(s=["abc"[i % 3] for i in got.doc_id]).groupby("s").length.sum() / np.array([16, 32, 80])).min())
+    assert whole > 5 and (table.iloc[:whole] - np.array([16, 32, 80])).abs().max().max() <= 3
+    assert (table.sum(axis=1).iloc[:-1] == 128).all()
+
+
+def test_a_hundred_sources_are_kept_apart(make):
+    rows = [(i, prose(i, 40), "en", f"s{i % 100:02d}") for i in range(300)]
+    got = packing.pack(make(rows), width=2048).toPandas()
+    got["s"] = [rows[i][3] for i in got.doc_id]
+    table = got.pivot_table(index="sequence_id", columns="s", values="length", aggfunc="sum", fill_value=0).iloc[:-1]
+    want = 2048 * got.groupby("s").length.sum() / got.length.sum()
+    assert len(table) > 5 and (table - want).abs().max().max() <= 6 and (table.sum(axis=1) == 2048).all()
 
 
 def measure_by_force(text):
