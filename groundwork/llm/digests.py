@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
 
-WINDOW = 32
-SHORT_WINDOW, SHORT = 8, 400  # texts under SHORT code points are read by shorter windows
+WINDOW = 16
 FILTER_BYTES, PER_FILTER, HASHES = 256, 160, 5
 LEVELS = 256  # entropy is counted in so many steps from 0 to log2(window)
 WEAK = 48  # windows under so many steps, such as runs of one character, are no features
-_COUNT_BITS = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 2))])
+_COUNT_BITS = np.array([0.0, *(c * np.log2(c) for c in range(1, 34))])
 _GAIN = np.round(_COUNT_BITS * 4096).astype(np.int64)
 
 
-def window_of(n_chars: int) -> int:
-    return SHORT_WINDOW if n_chars < SHORT else WINDOW
-
-
-def code_points(data: bytes) -> int:
-    return int(np.count_nonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80))
-
-
 def entropy_levels(data: bytes, window: int) -> np.ndarray:
     """Shannon entropy of every window of so many bytes, in LEVELS steps; exact integer sums, so equal windows have equal values anywhere.
 
@@ -77,17 +69,16 @@ def _mixed(words: np.ndarray) -> np.ndarray:
 class Digest:
     """Chained Bloom filters of a text's features, PER_FILTER features in each."""
 
-    def __init__(self, data: bytes, ranks: dict[int, np.ndarray], levels: np.ndarray | None = None, window: int | None = None):
-        self.window = window = window or window_of(code_points(data))
-        self.levels, self._data, self._ranks, self._short = levels, data, ranks, None
-        if len(data) < window:
-            hashed = _mixed(np.frombuffer(data.ljust(window, b"\0"), dtype="<u8").reshape(1, -1)) if data else np.array([], dtype=np.uint64)
+    def __init__(self, data: bytes, ranks: np.ndarray, levels: np.ndarray | None = None):
+        self.levels = levels
+        if len(data) < WINDOW:
+            hashed = _mixed(np.frombuffer(data.ljust(WINDOW, b"\0"), dtype="<u8").reshape(1, -1)) if data else np.array([], dtype=np.uint64)
         else:
             if levels is None:
-                self.levels = entropy_levels(data, window)
-            at = select(self.levels, ranks[window], window)
+                self.levels = entropy_levels(data, WINDOW)
+            at = select(self.levels, ranks, WINDOW)
             at = at if len(at) else np.array([0])
-            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), window)[at]
+            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), WINDOW)[at]
             hashed = _mixed(np.ascontiguousarray(windows).view("<u8"))
         first = np.sort(np.unique(hashed, return_index=True)[1])
         hashed = hashed[first]
@@ -102,20 +93,8 @@ class Digest:
     def text(self) -> str:
         return base64.b64encode(self.filters.tobytes()).decode()
 
-    def short(self) -> Digest:
-        """The digest of the same text by short windows, made once when a short text is compared with it."""
-        if self.window == SHORT_WINDOW:
-            return self
-        self._short = self._short or Digest(self._data, self._ranks, window=SHORT_WINDOW)
-        return self._short
-
     def likeness(self, other: Digest) -> float:
-        """Bits in common over what chance explains, of each filter with its best match in the longer digest, weighed by bits set (0 to 1).
-
-        Windows of different length have no hash in common, so of texts on both sides of SHORT the long one is read by short windows too.
-        """
-        if self.window != other.window and len(self.ones) and len(other.ones):
-            return self.short().likeness(other.short())
+        """Bits in common over what chance explains, of each filter with its best match in the longer digest, weighed by bits set (0 to 1)."""
         a, b = (self, other) if len(self.ones) <= len(other.ones) else (other, self)
         if not len(a.ones):
             return 1.0 if not len(b.ones) else 0.0
@@ -131,56 +110,54 @@ class Digest:
         return float(total / a.ones.sum())
 
 
-def rarity(docs: DataFrame) -> dict[int, np.ndarray]:
-    """By window length, the rank of each entropy level by how few windows of the whole corpus have it, rarest first: 2 * LEVELS sums, whatever the corpus."""
-    sizes = (SHORT_WINDOW, WINDOW)
+def rarity(docs: DataFrame) -> np.ndarray:
+    """The rank of each entropy level by how few windows of the whole corpus have it, rarest first: LEVELS sums, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {w: np.zeros(LEVELS, dtype=np.int64) for w in sizes}
+        sums = np.zeros(LEVELS, dtype=np.int64)
         for batch in batches:
             for data in batch.column(0).cast(pa.binary()).to_pylist():
-                window = window_of(code_points(data or b""))
-                if len(data or b"") >= window:
-                    sums[window] += np.bincount(entropy_levels(data, window), minlength=LEVELS)
-        for w in sizes:
-            yield pa.RecordBatch.from_arrays([pa.array([w] * LEVELS, pa.int64()), pa.array(np.arange(LEVELS), pa.int64()), pa.array(sums[w], pa.int64())], names=["size", "level", "n"])
-
-    counts = {w: np.zeros(LEVELS, dtype=np.int64) for w in sizes}
-    for r in docs.select("text").mapInArrow(count, "size long, level long, n long").groupBy("size", "level").agg(F.sum("n").alias("n")).collect():
-        counts[r["size"]][r.level] = r.n
-    ranks = {}
-    for w, n in counts.items():
-        n[:WEAK] = np.iinfo(np.int64).max
-        ranks[w] = np.empty(LEVELS, dtype=np.int64)
-        ranks[w][np.argsort(n, kind="stable")] = np.arange(LEVELS)
+                if len(data or b"") >= WINDOW:
+                    sums += np.bincount(entropy_levels(data, WINDOW), minlength=LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS), pa.int64()), pa.array(sums, pa.int64())], names=["level", "n"])
+
+    counts = np.zeros(LEVELS, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(count, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        counts[r.level] = r.n
+    counts[:WEAK] = np.iinfo(np.int64).max
+    ranks = np.empty(LEVELS, dtype=np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(LEVELS)
     return ranks
 
 
 def next_in_order(docs: DataFrame, key: str) -> DataFrame:
     """Rows (_bucket, _tail, _key, _text), partitioned by _bucket and sorted so that each row's successor by descending key comes next.
 
-    Buckets are ranges of keys by approximate quantiles; a bucket's first document is sent once more, as the tail of the
-    bucket before it (the very first to the last bucket). So texts are shuffled once, whatever the number of rows, and only one
-    key per bucket reaches the driver.
+    Keys of any type that has an order, ties and nulls by a hash of their text, are range-partitioned without the texts; each range's first (key, hash) reaches
+    the driver and every task: one per range, whatever the number of rows. Then each document goes to its range, and a range's first document also
+    to the range before it, as the tail (the very first to the last range). So texts are shuffled once.
     """
     spark = docs.sparkSession
-    n = 4 * partitions(spark)
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))).alias("_at"))
-    cuts = rows.where("_key is not null").agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) > 2:
-        rows = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(rows).withColumn("_bucket", F.col("_bucket").cast("int"))
-    else:
-        rows = rows.withColumn("_bucket", F.lit(0))
-    heads = rows.groupBy("_bucket").agg(F.max(F.struct(F.col("_key").isNotNull().alias("some"), "_key")).alias("head")).orderBy("_bucket").collect()
-    pairs = [(h._bucket, h.head._key, heads[(i + 1) % len(heads)]._bucket) for i, h in enumerate(heads)]
-    first = spark.createDataFrame(pairs, f"_bucket int, _head {rows.schema['_key'].dataType.simpleString()}, _before int")  # one row per bucket
-    own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("tail"))
-    tail = F.struct(F.col("_before").alias("bucket"), F.lit(1).alias("tail"))
-    rows = rows.join(F.broadcast(first), "_bucket")
-    rows = rows.withColumn("_to", F.explode(F.when(F.col("_key").eqNullSafe(F.col("_head")), F.array(own, tail)).otherwise(F.array(own))))
-    rows = rows.select(F.col("_to.bucket").alias("_bucket"), F.col("_to.tail").alias("_tail"), "_key", "_text")
-    return rows.repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket", "_tail", F.desc_nulls_last("_key"), "_text")
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
+    hashed = rows.withColumn("_hash", F.xxhash64("_text"))
+    ranges = hashed.select("_key", "_hash").repartitionByRange(4 * partitions(spark), F.desc_nulls_last("_key"), "_hash")
+    place = F.struct(F.col("_key").isNotNull().alias("some"), F.col("_key").alias("key"), F.bitwise_not("_hash").alias("back"))
+    found = ranges.groupBy(F.spark_partition_id()).agg(F.max(place).alias("head")).collect()
+    heads = sorted(tuple(r.head) for r in found)  # ascending: a row's range is that of the least head that is not below it
+
+    @F.pandas_udf("bucket int, head boolean")
+    def bucket(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        blank = keys.isna()
+        places = [(not none, None if none else k, ~h) for k, none, h in zip(keys.tolist(), blank.tolist(), hashes.tolist())]
+        at = [bisect.bisect_left(heads, p) for p in places]
+        return pd.DataFrame({"bucket": at, "head": [heads[i] == p for i, p in zip(at, places)]})
+
+    rows = hashed.withColumn("_in", bucket("_key", "_hash"))
+    own = F.struct(F.col("_in.bucket").alias("bucket"), F.lit(0).alias("tail"))
+    tail = F.struct(F.pmod(F.col("_in.bucket") + 1, F.lit(max(1, len(heads)))).cast("int").alias("bucket"), F.lit(1).alias("tail"))
+    rows = rows.withColumn("_to", F.explode(F.when(F.col("_in.head"), F.array(own, tail)).otherwise(F.array(own))))
+    rows = rows.select(F.col("_to.bucket").alias("_bucket"), F.col("_to.tail").alias("_tail"), "_key", "_text", "_hash")
+    return rows.repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket", "_tail", F.desc_nulls_last("_key"), "_hash").drop("_hash")
 
 
 def _edited(data: bytes, following: bytes) -> tuple[int, bytes, int]:
@@ -193,24 +170,22 @@ def _edited(data: bytes, following: bytes) -> tuple[int, bytes, int]:
     return len(starts), kept + taken, len(kept)
 
 
-def _edited_digest(edited: bytes, at: int, own: Digest, following: Digest, ranks: dict[int, np.ndarray]) -> Digest:
+def _edited_digest(edited: bytes, at: int, own: Digest, following: Digest, ranks: np.ndarray) -> Digest:
     """The digest of an edited text: windows inside either part have the levels they have there, and only those across the cut are computed."""
-    w = own.window
-    if own.levels is None or following.levels is None or following.window != w or window_of(code_points(edited)) != w or len(edited) < w:
+    if own.levels is None or following.levels is None or len(edited) < WINDOW:
         return Digest(edited, ranks)
-    first, after = max(0, at - w + 1), max(0, len(edited) - at - w + 1)
-    across = edited[first : min(len(edited), at + w - 1)]
-    middle = entropy_levels(across, w) if len(across) >= w else own.levels[:0]
+    first, after = max(0, at - WINDOW + 1), max(0, len(edited) - at - WINDOW + 1)
+    across = edited[first : min(len(edited), at + WINDOW - 1)]
+    middle = entropy_levels(across, WINDOW) if len(across) >= WINDOW else own.levels[:0]
     return Digest(edited, ranks, np.concatenate((own.levels[:first], middle, following.levels[:after])))
 
 
 def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and the likeness of the text to that and to the next document.
 
-    A window's improbability is how few windows of all documents have its entropy (``rarity``). The next document is
-    that of the next smaller key (after the last: the first), ties in order of their text. Null text: empty; an empty text has an empty fingerprint, like
-    only to another empty one. Texts under 400 code points are read by windows of 8 bytes instead of 32; a longer text
-    compared with one of them is read by windows of 8 bytes for that likeness. Texts shorter than a window are one feature. Null keys come last. No rows: no rows. Other columns are ignored.
+    A window's improbability is how few windows of all documents have its entropy (``rarity``); windows have 16 bytes in every text. The next document is
+    that of the next smaller key (after the last: the first), ties in order of a hash of their text. Null text: empty; an empty text has an empty fingerprint, like
+    only to another empty one. Texts shorter than a window are one feature. Null keys come last. No rows: no rows. Other columns are ignored.
     """
     ranks = rarity(docs)
     rows = next_in_order(docs, key)

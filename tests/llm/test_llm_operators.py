@@ -468,9 +468,90 @@ def test_components_of_a_chain(spark):
 
 
 def test_edited_digests_equal_plain_ones():
-    ranks = {w: np.random.default_rng(w).permutation(digests.LEVELS).astype(np.int64) for w in (8, 32)}
+    ranks = np.random.default_rng(8).permutation(digests.LEVELS).astype(np.int64)
     for i in range(60):
         own, after = prose(i, 3 + 9 * (i % 13)).encode(), prose(i + 90, 2 + 7 * (i % 11)).encode()
         a, b = digests.Digest(own, ranks), digests.Digest(after, ranks)
         _, edited, at = digests._edited(own, after)
         assert digests._edited_digest(edited, at, a, b, ranks).text() == digests.Digest(edited, ranks).text()
+
+
+def levels_by_force(data):
+    """Every window's entropy step, from its byte counts."""
+    top, out = round(16 * 4 * 4096), []
+    for i in range(len(data) - 15):
+        counts = [data[i : i + 16].count(b) for b in set(data[i : i + 16])]
+        out.append((top - sum(round(c * float(np.log2(c)) * 4096) for c in counts)) * 255 // top)
+    return out
+
+
+def filters_by_force(data, rank):
+    """The bits of every filter of a text, as sets."""
+    levels = levels_by_force(data)
+    if len(data) < 16:
+        features = [data.ljust(16, b"\0")] if data else []
+    else:
+        width = 16
+        while width > len(levels):
+            width //= 2
+        wins = [0] * len(levels)
+        for lo in range(len(levels) - width + 1):
+            wins[min(range(lo, lo + width), key=lambda i: (rank[levels[i]], i))] += 1
+        chosen = [i for i, w in enumerate(wins) if w >= min(4, max(wins)) and levels[i] >= 48] or [0]
+        features = [data[i : i + 16] for i in chosen]
+    features, filters = list(dict.fromkeys(features)), []
+    for at, feature in enumerate(features):
+        h = 0x9E3779B97F4A7C15
+        for word in (feature[:8], feature[8:]):
+            h = (h ^ int.from_bytes(word, "little")) * 0xFF51AFD7ED558CCD % (1 << 64)
+            h ^= h >> 32
+        if at % 160 == 0:
+            filters.append(set())
+        filters[-1] |= {h >> 11 * k & 2047 for k in range(5)}
+    return filters
+
+
+def likeness_by_force(a, b):
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not a:
+        return 1.0 if not b else 0.0
+    total = 0.0
+    for f in a:
+        chance = [len(f) * len(g) / 2048 for g in b]
+        total += len(f) * min(1.0, max(0.0, *((len(f & g) - c) / max(min(len(f), len(g)) - c, 1e-9) for g, c in zip(b, chance)), 0.0))
+    return total / sum(map(len, a))
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "null"])
+def test_digests_match_brute_force(make, kind):
+    from pyspark.sql import functions as F
+
+    texts = [prose(i, [3, 40, 66, 70, 150, 700][i % 6]) for i in range(40)] + ["", None, "short é", "x" * 300, prose(1, 40), prose(1, 40)[:200], "a", None]
+    docs = make(texts)
+    docs = docs.withColumn("doc_id", {"long": F.col("doc_id"), "string": F.format_string("k%03d", "doc_id"), "null": F.lit(None).cast("long")}[kind])
+    got = digests.fingerprint_documents(docs).collect()
+    data = [(t or "").encode() for t in texts]
+    counts = [0] * 256
+    for d in data:
+        for level in levels_by_force(d):
+            counts[level] += 1
+    order = sorted(range(256), key=lambda v: (v < 48, counts[v] if v >= 48 else 0, v))
+    rank = {v: i for i, v in enumerate(order)}
+    turn = sorted(range(len(data)), key=lambda i: (-i if kind != "null" else 0, spark_hash(data[i])))
+    want = []
+    for n, i in enumerate(turn):
+        own, after = (texts[i] or ""), (texts[turn[(n + 1) % len(turn)]] or "")
+        half = len(own) // 2
+        edited = (own[: len(own) - half] + after[:half]).encode()
+        a, b, c = filters_by_force(own.encode(), rank), filters_by_force(edited, rank), filters_by_force(after.encode(), rank)
+        key = {"long": i, "string": f"k{i:03d}", "null": None}[kind]
+        want.append((str(key), hashlib.sha256(edited).hexdigest(), [sorted(f) for f in a], [sorted(f) for f in b], round(likeness_by_force(a, b), 9), round(likeness_by_force(a, c), 9)))
+
+    def bits(text):
+        import base64
+
+        raw = np.unpackbits(np.frombuffer(base64.b64decode(text), dtype=np.uint8)).reshape(-1, 2048)
+        return [np.flatnonzero(r).tolist() for r in raw]
+
+    rows = [(str(r.doc_id), r.edited_sha256, bits(r.fingerprint), bits(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+    assert sorted(rows) == sorted(want)
