@@ -9,7 +9,7 @@ from .common import WORD
 from .language import UNKNOWN, identify, train
 from .mixing import mix_sources
 from .packing import pack
-from .simhash import near_duplicates
+from .simhash import near_copies
 from .substrings import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,8 +27,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every near-duplicate component, equal rows once. Rows without an id stay, each text once."""
-    ids = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document with the smallest id of every component of near copies (five-word shingles, similarity 0.8), equal rows once. Rows without an id stay, each text once.
+
+    Null and empty texts are one component. No rows: no rows.
+    """
+    ids = near_copies(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     marked = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
     kept = marked.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"])
     nameless = marked.where("doc_id is null").dropDuplicates(["_text"])

@@ -456,6 +456,54 @@ def test_near_duplicates_match_brute_force(make, monkeypatch, crowd):
     assert [out[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("crowd", [3, 20000])
+def test_near_copies_of_edited_texts(make, monkeypatch, crowd):
+    texts, pairs = [], []
+    for i in range(150):
+        rng, base = random.Random(i), prose(1000 + i, 150 + 3 * i).split()
+        edited = base[:]
+        if i % 2:  # scattered words, or a stretch of them
+            for _ in range(len(base) // 80):
+                edited[rng.randrange(len(base))] = f"other{rng.randrange(999)}"
+        else:
+            n, at = len(base) // 12, rng.randrange(len(base) // 2)
+            edited[at : at + n] = prose(5000 + i, n).split()
+        texts += [" ".join(base), " ".join(edited)]
+        pairs.append((2 * i, 2 * i + 1))
+    hot = prose(77, 400).split()
+    for i in range(60):
+        words = hot[:]
+        words[7 * i % 400] = "changed"
+        texts.append(" ".join(words))
+    monkeypatch.setitem(simhash.similar_links.__kwdefaults__, "crowd", crowd)
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(make([*texts, texts[4], "", None, "one two"])).collect()}
+    wanted = [(a, b) for a, b in pairs if alike(texts[a], texts[b]) >= 0.8]
+    found = [out[a] == out[b] == a for a, b in wanted]
+    assert len(wanted) > 100 and sum(found) >= 0.95 * len(found)
+    assert {out[i] for i in range(300, 360)} == {300}
+    assert out[360] == out[4] and out[361] == out[362] == 361 and out[363] == 363
+    assert all(out[a] == a for a, _ in pairs)  # texts of which no other is a copy stay apart
+
+
+def test_more_words_of_a_signature_are_alike_in_like_texts():
+    assert simhash.fingerprint(b"a b c d") == fingerprint_by_force("a b c d")
+    texts = [prose(i, 300).encode() for i in range(20)]
+    assert all(simhash.signature(t, 3, 7)[0] == simhash.fingerprint(t) for t in texts)
+    bits = np.array([np.unpackbits(simhash.signature(t, 5, 12).view(np.uint8)) for t in texts])
+    apart = [(bits[i] != bits[j]).mean() for i in range(20) for j in range(i)]
+    assert 0.4 < min(apart) and max(apart) < 0.6
+
+
 def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([[0, 1, 50, 90], [0, 2, 60, 90], [0, 3, 70, 90]], 0) == [0, 0, 0]
     assert simhash.allocate([[0, 1, 2, 9], [0, 500, 900, 999], [0, 3, 70, 90]], 0) == [1, -1, 0]
