@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -178,18 +180,20 @@ class Split:
             first, doc, twin, at, _, piece = rows[i]
             pickle.dump((first, doc, twin, at + s, n, piece[s : s + n + self.length - 1]), self.files[m % BUCKETS])
 
-    def parts(self) -> Iterator[list[tuple]]:
+    def parts(self) -> Iterator[Iterator[tuple]]:
         for f in self.files:
-            f.seek(0)
-            rows = []
-            while True:
-                try:
-                    rows.append(pickle.load(f))
-                except EOFError:
-                    break
+            if f.tell():
+                f.seek(0)
+                yield self._rows(f)
             f.close()
-            if rows:
-                yield rows
+
+    @staticmethod
+    def _rows(f: IO[bytes]) -> Iterator[tuple]:
+        while True:
+            try:
+                yield pickle.load(f)
+            except EOFError:
+                return
 
 
 def sort_shards(pieces: DataFrame, length: int, budget: int, large: int = LARGE) -> DataFrame:
@@ -201,41 +205,45 @@ def sort_shards(pieces: DataFrame, length: int, budget: int, large: int = LARGE)
     goes to files by a second anchor (``Split``), which are sorted one by one.
     """
 
-    def settle(held: list[tuple]) -> list[tuple]:
-        held.sort(key=lambda r: r[1:4])
-        again = repeated_starts([r[5] for r in held], [r[4] for r in held], length, budget)
-        out, at = [], 0
-        for _, doc, twin, start, n, _ in held:
-            mine = again[at : at + n]
-            at += n
-            if mine.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-                out += [(doc, twin, start + int(a), start + int(b) + length - 1) for a, b in zip(edge[::2], edge[1::2])]
-        return out
-
-    def finish(held: list[tuple], split: Split | None) -> list[tuple]:
+    def settle(rows: Iterable[tuple]) -> Iterator[tuple]:
+        places: list[tuple] = []  # three numbers a piece
+
+        def pieces() -> Iterator[tuple[bytes, int, tuple]]:
+            for _, doc, twin, start, n, piece in rows:
+                places.append((doc, twin, start))
+                yield piece, n, places[-1]
+
+        for i, mine in repeated_starts(pieces(), length, budget):
+            doc, twin, start = places[i]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
+            yield from ((doc, twin, start + int(a), start + int(b) + length - 1) for a, b in zip(edge[::2], edge[1::2]))
+
+    def finish(held: list[tuple], split: Split | None) -> Iterator[tuple]:
         if split is None:
-            return settle(held) if held else []
+            if held:
+                yield from settle(held)
+            return
         if held:
             split.add(held)
-        return [r for part in split.parts() for r in settle(part)]
+        for part in split.parts():
+            yield from settle(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, split, last, lone, made = [], 0, None, (None, None, None), None, []
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size, split, last, lone = [], 0, None, (None, None, None), None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 anchor, doc, twin, start, n, piece = row
                 if piece is None:
-                    made.append((doc, twin, start, n))
+                    yield doc, twin, start, n
                     continue
                 if (anchor, piece) == last[:2]:
                     if last[2] != (doc, twin, start):
-                        made.append((doc, twin, start, start + n + length - 1))
+                        yield doc, twin, start, start + n + length - 1
                     continue
                 if anchor != last[0]:
                     lone = row
                     if split or size >= SHARD:
-                        made += finish(held, split)
+                        yield from finish(held, split)
                         held, size, split = [], 0, None
                 else:
                     for r in (lone, row) if lone else (row,):
@@ -247,11 +255,11 @@ def sort_shards(pieces: DataFrame, length: int, budget: int, large: int = LARGE)
                         split.add(held)
                         held, size = [], 0
                 last = (anchor, piece, (doc, twin, start))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["_doc", "twin", "lo", "hi"])
-                made = []
-        made += finish(held, split)
-        if made:
+        yield from finish(held, split)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = covered(batches)
+        while made := list(itertools.islice(ranges, 20000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["_doc", "twin", "lo", "hi"])
 
     return pieces.mapInArrow(run, "_doc long, twin long, lo long, hi long")

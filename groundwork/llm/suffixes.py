@@ -1,210 +1,479 @@
-"""Suffix sorting by induction over disk-backed queues, for shards whose queues outgrow memory."""
+"""Suffix sorting by recursive induction over disk-backed queues, for shards far larger than memory.
+
+Queues carry suffix tuples: the position, the symbol before it with its type, and the common prefix with the suffix ahead in the queue. A text's
+LMS substrings are sorted by one induction and named by their common prefixes; the string of names is sorted in the same way, until it fits in memory; its
+order then induces that of all suffixes, with the common prefixes of neighbours.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 SEPARATOR, FIRST_BYTE = 1, 2  # symbol 0 ends the text, 1 ends a piece, byte b is b + 2
 SYMBOLS = 258
+Columns = tuple[np.ndarray, ...]
 
 
-class Spool:
-    """Queues of positions, one per leading symbol. Pushes are in suffix order already, so taking the least (symbol, arrival) makes
-    them one priority queue. Past ``budget`` bytes, what is held goes to an unnamed temporary file and is read back in pieces."""
+class Space:
+    """The memory of one sort. Arrays over a sixteenth of ``budget`` bytes and queues over a quarter lie in unnamed temporary files; tuples are worked on in blocks."""
 
     def __init__(self, budget: int):
-        self.budget, self.held, self.file, self.end = budget, 0, None, 0
-        self.queues: list[list] = [[] for _ in range(SYMBOLS)]
+        self.budget, self.block = budget, max(64, budget // 64)
+
+    def array(self, n: int, dtype: object) -> np.ndarray:
+        if n * np.dtype(dtype).itemsize <= self.budget // 16:
+            return np.zeros(n, dtype=dtype)
+        with tempfile.TemporaryFile() as f:
+            return np.memmap(f, dtype=dtype, mode="w+", shape=(n,))
+
+    def blocks(self, n: int) -> Iterator[tuple[int, int]]:
+        return ((at, min(at + self.block, n)) for at in range(0, n, self.block))
+
 
-    def push(self, symbol: int, positions: np.ndarray) -> None:
-        self.queues[symbol].append(positions)
-        self.held += positions.nbytes
-        if self.held > self.budget:
+class Queue:
+    """Tuples in queues by number, as columns. Pushes come in suffix order, so taking the least number in order of arrival makes them one priority queue.
+    Past a quarter of the budget, what is held goes to a temporary file, one run a queue, and is read back in blocks."""
+
+    def __init__(self, space: Space):
+        self.space, self.held, self.file, self.end = space, 0, None, 0
+        self.queues: dict[int, list] = {}
+
+    def push(self, number: int, columns: Columns) -> None:
+        self.kinds = [c.dtype for c in columns]
+        self.queues.setdefault(number, []).append(columns)
+        self.held += sum(c.nbytes for c in columns)
+        if self.held > self.space.budget // 4:
             self._spill()
 
     def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
+        self.file = self.file or tempfile.TemporaryFile()
         self.file.seek(self.end)
-        for queue in self.queues:
-            for i, x in enumerate(queue):
-                if isinstance(x, np.ndarray):
-                    self.file.write(x.tobytes())
-                    queue[i] = (self.end, len(x), x.dtype)
-                    self.end += x.nbytes
+        for chunks in self.queues.values():
+            spilled = next((i for i, x in enumerate(chunks) if isinstance(x[0], np.ndarray)), len(chunks))
+            if spilled == len(chunks):
+                continue
+            joined = _joined(chunks[spilled:])
+            del chunks[spilled:]
+            for lo in range(0, len(joined[0]), self.space.block):
+                part = [c[lo : lo + self.space.block] for c in joined]
+                chunks.append((self.end, len(part[0])))
+                for c in part:
+                    self.file.write(c.tobytes())
+                    self.end += c.nbytes
         self.held = 0
 
-    def take(self, symbol: int) -> list[np.ndarray]:
-        """The next chunks of a symbol's queue, emptied: the chunks in arrival order."""
-        chunks, self.queues[symbol] = self.queues[symbol], []
-        out = []
-        for x in chunks:
-            if isinstance(x, np.ndarray):
-                self.held -= x.nbytes
-                out.append(x)
-            else:
-                at, n, kind = x
-                self.file.seek(at)
-                out.append(np.frombuffer(self.file.read(n * kind.itemsize), dtype=kind))
+    def _read(self, chunk: tuple) -> Columns:
+        if isinstance(chunk[0], np.ndarray):
+            return chunk
+        at, n = chunk
+        self.file.seek(at)
+        return tuple(np.frombuffer(self.file.read(n * k.itemsize), dtype=k) for k in self.kinds)
+
+    def take(self, number: int) -> Iterator[Columns]:
+        """What is in a queue, in order of arrival, which empties it."""
+        chunks = self.queues.pop(number, [])
+        self.held -= sum(c.nbytes for x in chunks if isinstance(x[0], np.ndarray) for c in x)
+        return self._blocks(chunks)
+
+    def look(self, number: int, backwards: bool = False) -> Iterator[Columns]:
+        """What is in a queue, which stays there; backwards from the last arrival to the first."""
+        chunks = self.queues.get(number, [])
+        if backwards:
+            return (tuple(c[::-1] for c in x) for x in self._blocks(chunks[::-1], -1))
+        return self._blocks(chunks)
+
+    def _blocks(self, chunks: list, turn: int = 1) -> Iterator[Columns]:
+        held, size = [], 0
+        for chunk in chunks:
+            x = self._read(chunk)
+            if held and size + len(x[0]) > self.space.block:
+                yield _joined(held[::turn])
+                held, size = [], 0
+            held.append(x)
+            size += len(x[0])
+        if held:
+            yield _joined(held[::turn])
+
+
+def _joined(chunks: list[Columns]) -> Columns:
+    return chunks[0] if len(chunks) == 1 else tuple(np.concatenate(c) for c in zip(*chunks))
+
+
+class Level:
+    """A text of the recursion: symbols (the last one is its only 0), their types, and the ranges of symbols that have a queue each.
+
+    ``typed`` is twice the symbol, and one more where the suffix is smaller than the next one (type S). With ``depth``, common prefixes up to it are carried
+    along (the symbols are few then, and each is a range).
+    """
+
+    def __init__(self, text: np.ndarray, symbols: int, space: Space, depth: int = 0):
+        n = len(text)
+        self.text, self.symbols, self.space, self.depth, self.n = text, symbols, space, depth, n
+        self.place = np.int32 if n < 1 << 31 else np.int64
+        self.typed = space.array(n, np.uint16 if depth else np.int64)
+        smaller = True
+        self.typed[n - 1] = 1
+        for lo, hi in reversed(list(space.blocks(n - 1))):
+            t = np.asarray(text[lo : hi + 1])
+            d = np.flatnonzero(t[:-1] != t[1:])
+            rises = np.append(t[d] < t[d + 1], smaller)
+            small = rises[np.searchsorted(d, np.arange(hi - lo))]
+            smaller = bool(small[0])
+            self.typed[lo:hi] = t[:-1].astype(self.typed.dtype) * 2 + small
+        if depth:
+            self.cuts = np.arange(symbols + 1)
+        else:  # ranges of about as many symbols as a block holds; a symbol that fills one has it for itself
+            sample = np.sort(np.asarray(text[:: max(1, n // (1 << 14))]))
+            parts = min(len(sample), max(1, 4 * n // space.block))
+            bounds = sample[np.arange(parts) * len(sample) // parts]
+            self.cuts = np.unique(np.concatenate(([0], bounds, bounds[1:][bounds[1:] == bounds[:-1]] + 1, [symbols])))
+
+    def range_of(self, symbol: np.ndarray) -> np.ndarray:
+        return symbol if self.depth else np.searchsorted(self.cuts, symbol, "right") - 1
+
+    def before(self, position: np.ndarray) -> np.ndarray:
+        """The symbol and type before each position (of no use for position 0)."""
+        return self.typed[np.maximum(position - 1, 0)]
+
+    def lms(self) -> np.ndarray:
+        """The places where type S follows type L, in text order."""
+        out, count = self.space.array(self.n // 2 + 1, self.place), 0
+        for lo, hi in self.space.blocks(self.n):
+            t = np.asarray(self.typed[max(lo - 1, 0) : hi]) & 1
+            found = np.flatnonzero(t[1:] > t[:-1]) + max(lo, 1)
+            out[count : count + len(found)] = found
+            count += len(found)
+        return out[:count]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at a and b, up to ``depth``, four symbols a step."""
+        words = np.lib.stride_tricks.sliding_window_view(self.text, 4)
+        last = len(words) - 1
+        out, live, step = np.zeros(len(a), dtype=np.uint8), np.flatnonzero(a != b), 0
+        while len(live) and step < self.depth:
+            x, y = a[live] + step, b[live] + step
+            # the text's end differs from all, so a suffix that has come near it is compared symbol by symbol
+            near = np.maximum(x, y) > last
+            far = np.flatnonzero(~near)
+            differ = np.ascontiguousarray(words[x[far]]).view("<u8")[:, 0] ^ np.ascontiguousarray(words[y[far]]).view("<u8")[:, 0]
+            same = np.where(differ == 0, 4, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 16)
+            out[live[far]] = np.minimum(step + same, self.depth)
+            for i in np.flatnonzero(near):
+                k, n = step, live[i]
+                while k < self.depth and self.text[a[n] + k] == self.text[b[n] + k]:
+                    k += 1
+                out[n] = k
+            live = live[far[same == 4]]
+            step += 4
         return out
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
 
+class Minima:
+    """Least values of ranges of an array."""
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is smaller than the next one (type S)."""
-    n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    rises = text[differs] < text[differs + 1]
-    out = np.ones(n, dtype=bool)
-    out[:-1] = rises[np.searchsorted(differs, np.arange(n - 1))]
-    return out
+    def __init__(self, values: np.ndarray):
+        self.rows, width = [values], 1
+        while 2 * width <= len(values):
+            self.rows.append(np.minimum(self.rows[-1][:-width], self.rows[-1][width:]))
+            width *= 2
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least of values[lo..hi], ends included; 255 where lo is past hi."""
+        out = np.full(len(lo), 255, dtype=np.uint8)
+        size = hi - lo + 1
+        power = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, -1)
+        for p in np.unique(power[power >= 0]):
+            at = np.flatnonzero(power == p)
+            out[at] = np.minimum(self.rows[p][lo[at]], self.rows[p][hi[at] - (1 << p) + 1])
+        return out
 
 
-def _gathered(chunks: list[np.ndarray], most: int = 1 << 20) -> list[np.ndarray]:
-    """The chunks in order, small ones joined up to ``most`` positions."""
-    out, held, size = [], [], 0
-    for x in chunks:
-        if held and size + len(x) > most:
-            out.append(np.concatenate(held))
-            held, size = [], 0
-        held.append(x)
-        size += len(x)
-    if held:
-        out.append(np.concatenate(held) if len(held) > 1 else held[0])
+class Scan:
+    """One induction over a level: ``want`` 0 goes up through the symbols and induces suffixes of type L from the sorted LMS suffixes, 1 goes down and
+    induces type S from those of type L. ``sources(range)`` gives (position, before, common prefix or symbol) in the order of the scan."""
+
+    def __init__(self, level: Level, want: int, sources: object, seam: int | None = None):
+        self.level, self.want, self.sources, self.seam = level, want, sources, seam
+        self.queue, self.found = Queue(level.space), Queue(level.space)
+        self.since = np.full(level.symbols, 255, dtype=np.uint8) if level.depth else None
+
+    def run(self) -> Queue:
+        """What was induced, by range, in the order of the scan."""
+        ranges = range(len(self.level.cuts) - 1)
+        for r in reversed(ranges) if self.want else ranges:
+            if self.level.cuts[r + 1] - self.level.cuts[r] == 1:
+                self._symbol(r)
+            else:
+                self._range(r)
+        return self.found
+
+    def _symbol(self, r: int) -> None:
+        last = None
+
+        def follow(chunk: Columns, kept: bool) -> None:
+            nonlocal last
+            position, seen, third = chunk
+            if self.level.depth and (last is None or not kept and first):
+                third = third.copy()
+                # the first suffix with a symbol shares nothing with what went before; where the types meet, the texts tell
+                third[0] = 0 if last is None else self.level.common(np.array([last]), position[:1])[0] if self.seam is None else self.seam
+                chunk = (position, seen, third)
+            if kept:
+                self.found.push(r, chunk)
+            last = int(position[-1])
+            self._induce(chunk)
+
+        while r in self.queue.queues:  # what a symbol induces in itself comes in the next turn
+            for chunk in self.queue.take(r):
+                follow(chunk, True)
+        first = True
+        for chunk in self.sources(r):
+            follow(chunk, False)
+            first = False
+
+    def _range(self, r: int) -> None:
+        """A range of symbols, sorted in memory. All tuples up to the least symbol that the range induces in itself are final, as what it induces comes after them."""
+        mine, theirs = list(self.queue.take(r)), list(self.sources(r))
+        sign = -1 if self.want else 1
+        x = _joined(mine + theirs) if mine or theirs else None
+        kind = np.repeat(np.array([0, 1], dtype=np.int8), [sum(len(c[0]) for c in part) for part in (mine, theirs)])
+        while x is not None and len(x[0]):
+            order = np.lexsort((kind, sign * x[2]))
+            x, kind = tuple(c[order] for c in x), kind[order]
+            position, seen, symbol = x
+            target = seen >> 1
+            inside = (position > 0) & (seen & 1 == self.want) & (target >= self.level.cuts[r]) & (target < self.level.cuts[r + 1])
+            final = len(position)
+            if inside.any():
+                bound = (sign * target[inside]).min()
+                final = int(np.count_nonzero((sign * symbol < bound) | ((symbol == sign * bound) & (kind == 0))))
+            done = tuple(c[:final] for c in x)
+            kept = kind[:final] == 0
+            if kept.any():
+                self.found.push(r, tuple(c[kept] for c in done))
+            self._induce(done)
+            new = list(self.queue.take(r))
+            n = sum(len(c[0]) for c in new)
+            left = len(position) - final
+            x = _joined([tuple(c[final:] for c in x), *new]) if left or n else None
+            kind = np.concatenate((kind[final:], np.zeros(n, dtype=np.int8)))
+
+    def _induce(self, chunk: Columns) -> None:
+        """Pushes the suffixes that begin one symbol earlier and have the wanted type, with the common prefixes that the tuples between two of a symbol leave them."""
+        position, seen, third = chunk
+        level = self.level
+        chosen = np.flatnonzero((position > 0) & (seen & 1 == self.want))
+        symbol = seen[chosen] >> 1
+        number = level.range_of(symbol)
+        order = np.argsort(number, kind="stable")
+        chosen, symbol, number = chosen[order], symbol[order], number[order]
+        new = position[chosen] - 1
+        heads = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.array([], dtype=np.int64)
+        carried = symbol
+        if level.depth:
+            minima, size = Minima(third), len(third)
+            start = np.append(0, chosen[:-1] + 1)[: len(chosen)]
+            start[heads] = 0
+            carried = minima.of(start, chosen)
+            names = symbol[heads]
+            carried[heads] = np.minimum(carried[heads], self.since[names])
+            carried = np.minimum(carried, level.depth - 1) + np.uint8(1)
+            self.since = np.minimum(self.since, third.min()) if size else self.since
+            ends = np.append(heads[1:], len(chosen)) - 1 if len(heads) else heads
+            self.since[names] = minima.of(chosen[ends] + 1, np.full(len(ends), size - 1))
+        columns = (new, level.before(new), carried)
+        for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(chosen)).tolist()):
+            self.queue.push(int(number[lo]), tuple(c[lo:hi] for c in columns))
+
+
+def _queued(level: Level, positions: Iterable[np.ndarray], prefix: object) -> Queue:
+    """Sorted LMS positions by range, as sources; ``prefix(before, after)`` gives the common prefixes of neighbours."""
+    out, last = Queue(level.space), None
+    for position in positions:
+        symbol = level.text[position]
+        third = symbol
+        if level.depth:
+            third = prefix(np.append(position[:1] if last is None else last, position[:-1]), position)
+            last = position[-1:]
+        number = level.range_of(np.asarray(symbol))
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
+        for part in np.split(order, cuts):
+            if len(part):
+                out.push(int(number[part[0]]), (position[part], level.before(position[part]), third[part]))
     return out
 
 
-def _induce(text: np.ndarray, typed: np.ndarray, lms: np.ndarray, budget: int) -> np.ndarray:
-    """The suffix array that a given order of the LMS positions induces. ``typed`` has symbol and type, 1024 more for type S."""
-    heads = text[lms]
-    lms_cuts = np.searchsorted(heads, np.arange(SYMBOLS + 1)) if len(lms) else np.zeros(SYMBOLS + 1, dtype=np.int64)
-
-    def scan(symbols: range, sources: list[list[np.ndarray]], type_s: bool) -> list[list[np.ndarray]]:
-        spool, found = Spool(budget), [[] for _ in range(SYMBOLS)]
-        for c in symbols:
-            chunks = _gathered(spool.take(c))
-            while chunks:  # what a bucket induces in itself forms its next round
-                found[c] += chunks
-                for chunk in chunks:
-                    follow(spool, chunk, type_s)
-                chunks = _gathered(spool.take(c))
-            for chunk in _gathered(sources[c]):
-                follow(spool, chunk, type_s)
-        spool.close()
-        return found
-
-    def follow(spool: Spool, chunk: np.ndarray, type_s: bool) -> None:
-        """Pushes the positions before these that have the type, by symbol."""
-        before = chunk[chunk > 0] - 1
-        seen = typed[before]
-        right = seen >= 1024 if type_s else seen < 1024
-        before, seen = before[right], seen[right]
-        if not len(before):
-            return
-        order = np.argsort(seen, kind="stable")
-        before, seen = before[order], seen[order]
-        cuts = np.flatnonzero(seen[1:] != seen[:-1]) + 1
-        lo = 0
-        for hi in [*cuts.tolist(), len(seen)]:
-            spool.push(int(seen[lo]) & 1023, before[lo:hi])
-            lo = hi
-
-    large = scan(range(SYMBOLS), [[lms[lms_cuts[c] : lms_cuts[c + 1]]] for c in range(SYMBOLS)], False)
-    smalls = scan(range(SYMBOLS - 1, -1, -1), [[x[::-1] for x in reversed(large[c])] for c in range(SYMBOLS)], True)
-    parts = [np.array([len(text) - 1], dtype=lms.dtype)]
-    for c in range(1, SYMBOLS):
-        parts += large[c]
-        parts += [x[::-1] for x in reversed(smalls[c])]
-    return np.concatenate(parts)
-
-
-def suffix_array(text: np.ndarray, depth: int, budget: int = 64 << 20) -> np.ndarray:
-    """Positions of ``text`` (symbols under 258, ending in its only 0) sorted by their suffixes, at least by the first ``depth`` symbols.
-
-    LMS substrings are sorted by one induction and named; names of two, four, ... successive substrings are formed until they tell
-    all apart or reach over ``depth`` symbols (each substring has one symbol of its own at least); the order of the LMS suffixes then induces all others.
-    """
-    small = _types(text)
-    typed = text + (small.astype(np.uint16) << 10)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    lms = lms.astype(np.int32) if len(text) < 1 << 31 else lms
-    if not len(lms):
-        return _induce(text, typed, lms, budget)
-    by_head = lms[np.argsort(text[lms], kind="stable")]
-    order = _induce(text, typed, by_head, budget)
-    is_lms = np.zeros(len(text), dtype=bool)
-    is_lms[lms] = True
-    order = order[is_lms[order]]
-    number = np.zeros(len(text), dtype=lms.dtype)
-    number[lms] = np.arange(len(lms))
-    last = np.append(lms[1:], np.array([len(text) - 1], dtype=lms.dtype))  # a substring ends with the first symbol of the next one
-
-    names = np.zeros(len(lms), dtype=np.int64)
-    at = number[order]
-    a, b = at[:-1], at[1:]
-    same = (last[a] - lms[a]) == (last[b] - lms[b])
-    step, live = 0, np.flatnonzero(same)
-    while len(live):
-        pa, pb = lms[a[live]] + step, lms[b[live]] + step
-        equal = typed[pa] == typed[pb]
-        same[live[~equal]] = False
-        live = live[equal]
-        live = live[lms[a[live]] + step < last[a[live]]]
-        step += 1
-    names[at] = np.concatenate(([0], np.cumsum(~same)))
-    reach = 1
-    while reach <= depth and names.max() < len(names) - 1:
+def _induced(level: Level, sources: Queue, seam: int | None = None) -> tuple[Queue, Queue]:
+    """All suffixes of type L, ascending in every range, and of type S, descending, as sorted LMS positions induce them."""
+    large = Scan(level, 0, sources.look, seam).run()
+
+    def backwards(r: int) -> Iterator[Columns]:
+        after = 0  # a tuple's common prefix is that with the smaller neighbour; going down it belongs to that one
+        for position, seen, third in large.look(r, backwards=True):
+            if level.depth:
+                yield position, seen, np.append(np.uint8(after), third[:-1])
+                after = third[-1]
+            else:
+                yield position, seen, third
+
+    return large, Scan(level, 1, backwards).run()
+
+
+def _named(level: Level, lms: np.ndarray, small: Queue) -> tuple[np.ndarray, int]:
+    """The LMS substrings' names in text order, and how many there are; equal substrings have equal names (with ``depth``: those that agree so far)."""
+    space = level.space
+    at = space.array(level.n // 2 + 1, np.int64)  # LMS positions are two apart at least
+    size = space.array(level.n // 2 + 1, level.place)
+    for lo, hi in space.blocks(len(lms)):
+        size[lms[lo:hi] // 2] = np.append(lms[lo + 1 : hi + 1], [level.n - 1] * (hi == len(lms)))[: hi - lo] - lms[lo:hi] + 1
+    count, last, least = 0, None, 255
+    for r in range(len(level.cuts) - 2, -1, -1):
+        for position, seen, third in small.look(r):
+            here = np.flatnonzero((seen & 1 == 0) & (position > 0))
+            if not len(here):
+                least = min(least, int(third.min())) if level.depth else least
+                continue
+            mine = position[here]
+            before = np.append(mine[:1] if last is None else last, mine[:-1])
+            same = size[before // 2] == size[mine // 2]
+            if level.depth:
+                lcp = np.minimum.reduceat(third[: here[-1] + 1], np.append(0, here[:-1] + 1))
+                lcp[0] = min(lcp[0], least)
+                least = int(third[here[-1] + 1 :].min()) if here[-1] + 1 < len(third) else 255
+                same = (lcp >= level.depth) | (same & (lcp >= size[mine // 2]))
+            else:
+                live, step = np.flatnonzero(same), 0
+                while len(live):
+                    equal = level.text[before[live] + step] == level.text[mine[live] + step]
+                    same[live[~equal]] = False
+                    step += 1
+                    live = live[equal & (size[mine[live] // 2] > step)]
+            if last is None:
+                same[0] = True
+            number = count + np.cumsum(~same)
+            at[mine // 2], count, last = number, int(number[-1]), mine[-1:]
+    at[(level.n - 1) // 2] = count = count + 1  # the text's end is the least; no scan induces it
+    names = space.array(len(lms), np.int64)
+    for lo, hi in space.blocks(len(lms)):
+        names[lo:hi] = count - at[lms[lo:hi] // 2]
+    return names, count + 1
+
+
+def _order_in_memory(names: np.ndarray) -> np.ndarray:
+    """The suffixes of a string that fits in memory, by names of twice as many symbols in each turn."""
+    names, reach = np.asarray(names), 1
+    while names.max() < len(names) - 1:
         later = np.concatenate((names[reach:] + 1, np.zeros(min(reach, len(names)), dtype=np.int64)))[: len(names)]
         names = np.unique(names * (len(names) + 2) + later, return_inverse=True)[1]
         reach *= 2
-    return _induce(text, typed, lms[np.argsort(names, kind="stable")], budget)
-
-
-def equal_ahead(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether data[a:a+depth] == data[b:b+depth], eight bytes a step: the common prefix of neighbours, followed to ``depth`` only."""
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    words = np.empty(len(data) + 1, dtype=np.uint64)
-    for j in range(8):
-        run = np.frombuffer(padded[j : j + (len(padded) - j) // 8 * 8].tobytes(), dtype="<u8")
-        words[j::8] = run[: len(words[j::8])]
-    out = np.ones(len(a), dtype=bool)
-    live = np.arange(len(a))
-    for step in [*range(0, depth - 8, 8), depth - 8]:
-        live = live[words[a[live] + step] == words[b[live] + step]]
-    out[:] = False
-    out[live] = True
-    return out
+    return np.argsort(names, kind="stable")
+
+
+def _order(text: np.ndarray, symbols: int, space: Space) -> Iterator[np.ndarray]:
+    """The positions of a string of names by their suffixes, in blocks."""
+    if len(text) * 64 <= space.budget:
+        yield _order_in_memory(text)
+        return
+    level = Level(text, symbols, space)
+    large, small = _sorted(level)
+    yield np.array([level.n - 1])
+    for r in range(len(level.cuts) - 1):
+        # a range's symbols come one after the other, each with its suffixes of type L first
+        rows = [(p, s, 0) for p, _, s in large.look(r)] + [(p, s, 1) for p, _, s in small.look(r, backwards=True)]
+        if level.cuts[r + 1] - level.cuts[r] == 1:
+            yield from (p for p, _, _ in rows)
+        elif rows:
+            position, symbol = (np.concatenate([x[i] for x in rows]) for i in (0, 1))
+            kind = np.repeat([x[2] for x in rows], [len(x[0]) for x in rows])
+            yield position[np.lexsort((kind, symbol))]
+
 
+def _sorted(level: Level) -> tuple[Queue, Queue]:
+    """All suffixes of a level, of type L and S (without the text's end): sorts and names the LMS substrings, sorts the string of names, and induces."""
+    space, lms = level.space, level.lms()
+    positions = lambda: (np.asarray(lms[lo:hi]) for lo, hi in space.blocks(len(lms)))
+    by_head = _queued(level, positions(), lambda a, b: np.ones(len(b), dtype=np.uint8))
+    names, count = _named(level, lms, _induced(level, by_head, 1)[1])
+    if count == len(lms):
+        place = space.array(len(lms), level.place)
+        for lo, hi in space.blocks(len(lms)):
+            place[names[lo:hi]] = lms[lo:hi]
+        order = (np.asarray(place[lo:hi]) for lo, hi in space.blocks(len(lms)))
+    else:
+        order = (np.asarray(lms[part]) for part in _order(names, count, space))
+    return _induced(level, _queued(level, order, level.common))
 
-def repeated_starts(pieces: list[bytes], starts: list[int], depth: int, budget: int = 64 << 20) -> np.ndarray:
-    """For each piece's first ``starts`` positions, in order: whether its next ``depth`` bytes stand at an earlier position too.
 
-    Positions are ordered by piece, then place.
+def neighbours(text: np.ndarray, depth: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, common prefixes with the one before, up to ``depth``) of all suffixes but the text's end, ascending by their first ``depth`` symbols, in blocks.
+
+    ``text`` has symbols under 258 and ends in its only 0.
+    """
+    level = Level(text, SYMBOLS, space, depth)
+    if level.n < 2:
+        return
+    large, small = _sorted(level)
+    for c in range(SYMBOLS):
+        last, after = None, None
+        for position, _, lcp in large.look(c):
+            yield position, lcp
+            last = position[-1:]
+        for position, _, lcp in small.look(c, backwards=True):
+            if after is None:  # where type S begins
+                after = 0 if last is None else level.common(last, position[:1])[0]
+            yield position, np.append(np.uint8(after), lcp[:-1])
+            after = lcp[-1]
+
+
+def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budget: int = 64 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """For pieces (bytes, starts, order): which of each one's first ``starts`` positions have their next ``depth`` bytes at an earlier position too.
+
+    Positions are ordered by the pieces' ``order``, then by place. Yields (the piece's number, whether repeated) of pieces with a repeat. Texts, tuples and
+    marks lie on disk where they outgrow the budget; four numbers a piece are held.
     """
-    sizes = np.array([len(p) for p in pieces])
-    data = np.frombuffer(b"\0".join(pieces) + b"\0\0", dtype=np.uint8)
-    text = data.astype(np.uint16) + FIRST_BYTE
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    text[begin + sizes] = SEPARATOR
+    space = Space(budget)
+    with tempfile.TemporaryFile() as f:
+        sizes, starts, orders = [], [], []
+        for piece, n, order in pieces:
+            f.write(piece + b"\0")
+            sizes.append(len(piece))
+            starts.append(n)
+            orders.append(order)
+        f.write(b"\0")
+        f.seek(0)
+        n, begin = sum(sizes) + len(sizes) + 1, np.append(0, np.cumsum(np.array(sizes, dtype=np.int64) + 1))
+        text = space.array(n, np.uint16)
+        for lo, hi in space.blocks(n):
+            text[lo:hi] = np.frombuffer(f.read(hi - lo), dtype=np.uint8).astype(np.uint16) + FIRST_BYTE
+    for lo, hi in space.blocks(len(sizes)):
+        text[begin[lo:hi] + np.array(sizes[lo:hi])] = SEPARATOR
     text[-1] = 0
-    n_starts = np.array(starts)
-    offset = np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-    valid = np.repeat(begin, n_starts) + offset
-    rank = np.full(len(text), -1, dtype=np.int64)
-    rank[valid] = np.arange(len(valid))
-    order = suffix_array(text, depth, budget)
-    order = order[rank[order] >= 0]
-    if len(order) < 2:
-        return np.zeros(len(order), dtype=bool)
-    same = equal_ahead(data, order[:-1], order[1:], depth)
-    heads = np.flatnonzero(np.concatenate(([True], ~same)))
-    first = np.minimum.reduceat(rank[order], heads)
-    sizes = np.diff(np.append(heads, len(order)))
-    out = np.empty(len(valid), dtype=bool)
-    out[rank[order]] = rank[order] != np.repeat(first, sizes)
-    return out
+    starts = np.array(starts)
+    rank = np.empty(len(sizes), dtype=np.int64)
+    rank[sorted(range(len(sizes)), key=orders.__getitem__)] = np.arange(len(sizes))
+    again = space.array(n, np.bool_)
+    first = None  # (order, position): the earliest of the group that the next block may go on with, if it has a valid start
+    for position, lcp in neighbours(text, depth, space):
+        group, piece = np.cumsum(lcp < depth), np.searchsorted(begin, position, "right") - 1
+        last = int(group[-1])
+        valid = piece < len(starts)
+        valid[valid] = position[valid] - begin[piece[valid]] < starts[piece[valid]]
+        position, group, piece = position[valid].astype(np.int64), group[valid], piece[valid]
+        key = rank[piece] << 32 | position - begin[piece]
+        if first is not None:
+            key, position, group = np.append(first[0], key), np.append(first[1], position), np.append(0, group)
+        first = None
+        if len(position):
+            order = np.lexsort((key, group))
+            later = np.append(False, group[order][1:] == group[order][:-1])
+            again[position[order[later]]] = True
+            lead = order[~later][-1]
+            first = (key[lead], position[lead]) if group[lead] == last else None
+    for i, (at, n) in enumerate(zip(begin.tolist(), starts.tolist())):
+        mine = np.asarray(again[at : at + n])
+        if mine.any():
+            yield i, mine
