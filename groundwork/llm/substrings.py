@@ -98,7 +98,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
-    """(_doc, at): the runs whose anchor stands at least twice in the corpus; at is start * 2**13 + number of starts.
+    """(_id, at) for rows (_id, text): the runs whose anchor stands at least twice in the corpus; at is start * 2**13 + number of starts.
 
     An anchor that repeats inside an Arrow batch is known to repeat; of it one witness per batch goes to the count, so a
     group in that shuffle has at most one row per batch, however often its anchor stands.
@@ -106,30 +106,24 @@ def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy()
+            ids = batch.column(0).to_numpy()
             number, anchor, start, count = _runs(_texts(batch.column(1)), length)
-            at, doc = (start << 13) + count, docs[number]
+            at, own = (start << 13) + count, ids[number]
             _, first, back, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
             known = times[back] > 1
             witness = first[times > 1]
-            spread = (doc * 0x9E3779B97F4A7C1 ^ at * 0xD6E8FEB86659FD) & 0x7FFFFFFFFFFFFFFF
-            key = np.where(known, spread, anchor.view(np.int64))
+            key = np.where(known, own ^ (start >> 20), anchor.view(np.int64))  # known ones stay with their document, a megabyte of it at a time
             columns = [
                 pa.array(np.concatenate((key, anchor.view(np.int64)[witness]))),
                 pa.array(np.concatenate((known, np.zeros(len(witness), dtype=bool)))),
-                pa.array(np.concatenate((doc, docs[number[witness]]))),
+                pa.array(np.concatenate((own, own[witness]))),
                 pa.array(np.concatenate((at, np.full(len(witness), -1)))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "known", "_doc", "at"])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "known", "_id", "at"])
 
-    found = rows.mapInArrow(emit, "key long, known boolean, _doc long, at long")
+    found = rows.mapInArrow(emit, "key long, known boolean, _id long, at long")
     twice = F.count("*").over(Window.partitionBy("key")) > 1
-    return found.withColumn("_twice", twice).where((F.col("known") | F.col("_twice")) & (F.col("at") >= 0)).select("_doc", "at")
-
-
-def _order_key(data: bytes) -> int:
-    """Tells texts with one key apart; it orders them where the key can't."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    return found.withColumn("_twice", twice).where((F.col("known") | F.col("_twice")) & (F.col("at") >= 0)).select("_id", "at")
 
 
 PIECES = "anchor long, _doc long, twin long, start long, starts long, piece binary"
@@ -141,14 +135,13 @@ def shard_pieces(joined: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            docs, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
-            wanted = batch.column(2).to_pylist()
+            docs, twins, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))
+            wanted = batch.column(3).to_pylist()
             found: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
             again: dict[tuple[int, int], list[tuple[int, int]]] = {}
             number, anchor, start, count = _runs(texts, length)
             asked = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(w, dtype=np.int64) + (i << 44) for i, w in enumerate(wanted))])
             keep = np.isin((number << 44) + (start << 13) + count, asked)
-            twins = [_order_key(t) for t in texts]
             for i, m, s, n in zip(number[keep].tolist(), anchor.view(np.int64)[keep].tolist(), start[keep].tolist(), count[keep].tolist()):
                 piece = texts[i][s : s + n + length - 1]
                 place = (docs[i], twins[i], s, n)
@@ -295,20 +288,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", b
     induction (``suffixes``), neighbours that share ``length`` bytes form groups, and all but the earliest start of a group are repeats. 4.
     The ranges are cut out of the documents. Texts are shuffled once: both joins use one exchange.
 
-    ``key`` must cast to long. Null text: empty. Null keys come first. Rows with one key are ordered by a hash of their texts; equal rows count as one
-    document and get equal results. Texts under ``length`` bytes stay whole. Returns key, n_bytes, n_removed, n_spans,
+    ``key`` must cast to long. Null text: empty. Null keys come first. Rows are joined by a hash of key and text, so that many rows with one key cost no more than others; they
+    are ordered by it, and equal rows count as one document and get equal results. Texts under ``length`` bytes stay whole. Returns key, n_bytes, n_removed, n_spans,
     kept_sha256, ``keep`` columns and, with ``texts``, kept_text (bytes of characters cut in two are left out). No rows: no rows. Other columns are ignored.
     """
     kind = docs.schema[key].dataType
     n = partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    rows = rows.withColumn("_id", F.xxhash64("_doc", "_text"))
     also = [f"_keep_{c}" for c in keep]
-    runs = repeated_runs(rows.select("_doc", "_text"), length).groupBy("_doc").agg(F.collect_list("at").alias("_runs"))
-    joined = rows.join(runs, "_doc").select("_doc", "_text", "_runs", *also)
+    runs = repeated_runs(rows.select("_id", "_text"), length).groupBy("_id").agg(F.collect_set("at").alias("_runs"))
+    joined = rows.join(runs, "_id").select("_doc", "_id", "_text", "_runs")
     pieces = shard_pieces(joined, length).repartition(n, "anchor").sortWithinPartitions("anchor", "piece", "_doc", "twin", "start")
     ranges = sort_shards(pieces, length, budget, large)
-    ranges = ranges.groupBy("_doc").agg(F.collect_list(F.struct("twin", "lo", "hi")).alias("_ranges"))
-    marked = rows.join(ranges, "_doc", "left").select("_doc", "_text", "_ranges", *also)
+    ranges = ranges.groupBy(F.col("twin").alias("_id")).agg(F.collect_set(F.struct("_doc", "lo", "hi")).alias("_ranges"))
+    marked = rows.join(ranges, "_id", "left").select("_doc", "_text", "_ranges", *also)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,9 +310,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", b
             ranges = batch.column(2)
             for i, (doc, data) in enumerate(zip(batch.column(0).to_pylist(), _texts(batch.column(1)))):
                 mine = ranges[i].as_py()
-                if mine:
-                    twin = _order_key(data)
-                    mine = [(r["lo"], r["hi"]) for r in mine if r["twin"] == twin]
+                mine = [(r["lo"], r["hi"]) for r in mine if r["_doc"] == doc] if mine else []
                 left, spans = cut(data, mine) if mine else (data, 0)
                 row = (doc, len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest())
                 out.append((*row, left.decode("utf-8", "ignore")) if texts else row)

@@ -104,6 +104,15 @@ def test_repeats_around_a_hot_anchor_match_brute_force(make):
         assert (out[i].kept_sha256, out[i].n_spans) == (hashlib.sha256(left).hexdigest(), spans), i
 
 
+def test_repeats_of_rows_with_one_key_or_none(make):
+    shared = prose(5, 40)
+    rows = [(None if i % 2 else 7, f"{prose(50 + i, 30)} {shared}", "en", "a") for i in range(60)] * 2
+    got = substrings.remove_repeats(make(rows), texts=True).collect()
+    keep, cut = len(shared.encode()), [r.n_removed for r in got]
+    assert len(got) == 120 and sorted(cut)[:2] == [0, 0] and min(sorted(cut)[2:]) >= keep  # the first row and its equal stay whole
+    assert len({(r.doc_id, r.kept_text) for r in got}) == 60 and all(r.doc_id is None for r in got if not r.n_removed)
+
+
 def test_repeats_in_a_partition_of_many_rows(make):
     tail = prose(7, 20)
     rows = [f"line {i}" for i in range(12000)] + [f"{i} {tail}" for i in range(40)]
