@@ -95,17 +95,17 @@ def train(docs: DataFrame, *, per_class: int = 400, most: int = 4000, key: str =
     """Fits a codebook on a bounded sample of labelled rows: at most ``per_class`` rows of each language and about ``most`` in all.
 
     The sample is chosen by a hash of the key without reading texts, n-grams are counted on the executors, and only
-    the sample's feature vectors (16 KB each) reach the driver. No labelled row with a text: None.
+    the sample's feature vectors (16 KB each) reach the driver. Languages beyond the ``most`` largest are not learned. No labelled row with a text: None.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
-    classes = sizes.count()
-    if not classes:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(most).collect()
+    if not sizes:
         return None
-    n = max(1, min(per_class, most // classes))
-    # a hash below 4n of the language's rows leaves about 4n of them, so that no task sorts more, however many rows a language has
-    share = F.xxhash64(F.lit("sample"), key).cast("double") / 2.0**64 + 0.5
-    few = labelled.select("lang", key).join(sizes, "lang").where(share * F.col("_rows") <= 4 * n).select("lang", key).distinct()
+    n = max(1, min(per_class, most // len(sizes)))
+    # a hash below 4n of the language's rows leaves about 4n of them; the shares are ``most`` rows at the most, so the scan itself drops the others before any shuffle
+    shares = docs.sparkSession.createDataFrame([(r.lang, 4.0 * n / r._rows) for r in sizes], "lang string, _share double")
+    chance = F.xxhash64(F.lit("sample"), key).cast("double") / 2.0**64 + 0.5
+    few = labelled.select("lang", key).join(F.broadcast(shares), "lang").where(chance <= F.col("_share")).select("lang", key).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), key), key)
     chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
     # most + classes rows of two short columns at the most
@@ -120,7 +120,7 @@ def identify(docs: DataFrame, book: Codebook | None, *, ambiguity: float = 0.02,
 
     ``score`` is the nearest codeword's weight among all by loss (0 to 1). ``ambiguous`` says that the second codeword
     is less than ``ambiguity`` farther. Null text, or one without a letter: ``und``, score 0, ambiguous. Without a
-    codebook: ``und`` for all. Repeated rows are predicted alike, null keys are kept, other columns are ignored.
+    codebook: ``und`` for all. Repeated rows are predicted alike, null keys are kept, other columns are ignored. No rows: no rows.
     """
     rows = docs.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_keep_{c}") for c in keep), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(book)

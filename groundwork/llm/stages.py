@@ -19,7 +19,7 @@ REST = ("lang", "source", "n_chars")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that have no language: null texts and those without a letter. A null lang gets the predicted one; others stay as labelled.
 
-    Documents whose language is ambiguous stay, as they may be clean.
+    Documents whose language is ambiguous stay, as they may be clean. Null ids and repeated rows are rows like any others. No rows: no rows.
     """
     book = train(docs)
     out = identify(docs.withColumn("_whole", F.col("text")), book, keep=("_whole", *REST))
@@ -39,7 +39,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated 100-byte strings out of the texts; a document of which nothing is left goes. n_chars follows the text."""
+    """Cuts repeated 100-byte strings out of the texts; a document of which nothing is left goes. n_chars follows the text.
+
+    Null texts become empty ones and stay, like empty texts; rows without an id count as the first. No rows: no rows.
+    """
     left = remove_repeats(docs, texts=True, keep=("lang", "source"))
     left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
@@ -48,7 +51,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it whole, and cuts its last copy after the words that are left.
 
-    Documents of which the mix takes nothing go. Copies are rows of their own with the same doc_id.
+    Documents of which the mix takes nothing go, and so do null texts and those without a word. Copies are rows of their own with the same doc_id; null ids and sources are kept. No rows: no rows.
     """
     named = docs.withColumnRenamed("source", "_source").withColumn("source", F.col("_source"))
     taken = mix_sources(named, keep=("text", "lang", "_source"))
@@ -61,5 +64,5 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what the mix took into sequences."""
+    """Packs what the mix took into sequences. Null and empty texts are the end id alone; null ids stay null. No rows: no rows."""
     return pack(docs)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import shared_dir
 
@@ -108,8 +109,16 @@ def _packed(data: bytes) -> bool:
     return at >= 0
 
 
+def _next_member(data: bytes, start: int) -> int:
+    """Where the next member that begins with a record begins, or the archive's end."""
+    at = data.find(MEMBER, start)
+    while at >= 0 and not _opens(data, at):
+        at = data.find(MEMBER, at + 1)
+    return at if at >= 0 else len(data)
+
+
 def unpack(data: bytes) -> Iterator[tuple[bytes, list[tuple[int, int, str]]]]:
-    """The plain runs of an archive: itself, or each gzip member; a damaged member gives what inflates and a gap up to the next one that opens."""
+    """The plain runs of an archive: itself, or each gzip member; a damaged or cut member gives what inflates and a gap up to the next one that opens."""
     if not _packed(data):
         yield data, []
         return
@@ -126,10 +135,10 @@ def unpack(data: bytes) -> Iterator[tuple[bytes, list[tuple[int, int, str]]]]:
             if inflater.eof:
                 end = min(pos, len(data)) - len(inflater.unused_data)
             else:
-                end, gap = len(data), [(at, len(data) - at, "member is cut")]
+                end = _next_member(data, at + 1)
+                gap = [(at, end - at, "member is cut")]
         except zlib.error:
-            end = data.find(MEMBER, at + 1)
-            end = len(data) if end < 0 else end
+            end = _next_member(data, at + 1)
             gap = [(at, end - at, "member is damaged")]
         yield b"".join(out), gap
         at = end if data.startswith(MEMBER, end) or end >= len(data) else data.find(MEMBER, end)
@@ -240,13 +249,23 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads the records back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html: an empty payload. Null page_id: null again. Equal payloads under 100 bytes are all responses. Repeated rows give repeated records.
-    No rows: no rows. Other columns are not archived.
+    No rows: no rows. Other columns are not archived. Bytes that can't be read are logged as rows of type gap, without page_id and digest, payload_bytes being how many.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/groundwork-{uuid.uuid4().hex}/archives"
     write_archives(with_revisits(pages), path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    kind = pages.schema["page_id"].dataType
-    rows = read_archives(spark, path, payloads=False).where("kind = 'record'")
-    return rows.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return pages_read(spark, path, pages.schema["page_id"].dataType)
+
+
+def pages_read(spark: SparkSession, path: str, kind: DataType) -> DataFrame:
+    """``round_trip``'s columns of the archives under ``path``."""
+    rows = read_archives(spark, path, payloads=False)
+    return rows.select(
+        F.col("record_id").cast(kind).alias("page_id"),
+        F.coalesce("payload_bytes", "length").alias("payload_bytes"),
+        "payload_digest",
+        F.coalesce("record_type", "kind").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )

@@ -52,12 +52,35 @@ def test_language_learns_and_rejects(make):
     rows += [(500, "12 34 !!", "x", "s"), (501, None, "y", "s")]
     docs = make(rows)
     out = {r.doc_id: r for r in language.identify(docs, language.train(docs.where("doc_id % 4 <> 2"))).collect()}
-    assert all(out[i].lang_pred == ("x" if i < 100 else "y") for i in out if i < 500)
+    held_out = [i for i in out if i < 500 and i % 4 == 2]
+    assert len(held_out) == 30 and all(out[i].lang_pred == ("x" if i < 100 else "y") for i in held_out)
     assert all(0 <= r.score <= 1 for r in out.values())
     assert [out[i].lang_pred for i in (500, 501)] == ["und", "und"] and out[500].ambiguous
     assert language.train(make([(1, "a", None, "s")])) is None
 
 
+@pytest.mark.parametrize("k", [2, 4, 7])
+def test_decoding_matches_brute_force(make, k):
+    import math
+
+    rng = np.random.default_rng(k)
+    code = language.codewords(k)
+    bits = code.shape[1]
+    book = language.Codebook([f"l{i}" for i in range(k)], code, rng.normal(size=(language.DIMS, bits)).astype(np.float32), rng.normal(size=bits).astype(np.float32), rng.random((k, bits)).astype(np.float32))
+    texts = [prose(i, 20) for i in range(25)] + ["", None, "12"]
+    for r in language.identify(make(texts), book, ambiguity=0.1).collect():
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, True)
+            continue
+        x = language.features(text)
+        outputs = [float(sum(x[d] * book.weights[d, b] for d in np.flatnonzero(x)) + book.bias[b]) for b in range(bits)]
+        losses = [sum(float(book.trust[c, b]) * math.log1p(math.exp(-max(-30.0, min(30.0, outputs[b])) * float(code[c, b]))) for b in range(bits)) for c in range(k)]
+        first, second = sorted(losses)[:2]
+        assert r.lang_pred == f"l{losses.index(first)}" and r.ambiguous == (second - first < 0.1)
+        assert r.score == pytest.approx(1 / sum(math.exp(-4 * (x - first)) for x in losses), rel=1e-4)
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 5, 9, 30])
 def test_codewords_differ(k):
     code = language.codewords(k)
@@ -286,6 +309,51 @@ def test_license_places_and_labels(make):
     assert out[5].labels == "gpl-3" and out[5].base_labels == "" and out[6].labels == ""
 
 
+def labels_by_force(words, index, enough):
+    """Labels and best score, by holding every template against every place."""
+    out, best = set(), 0.0
+    for k, wording in enumerate(index.wording):
+        slack, rare = index.slack[k], [(at, w) for at, w in enumerate(wording) if (k, at) in index.postings.get(w, ())]
+        shifts = [(i - at, w) for i, x in enumerate(words) for at, w in rare if x == w]
+        for shift in {s for s, _ in shifts}:
+            window = words[max(0, shift - slack) : max(0, shift + len(wording) + slack)]
+            joined = b" " + b" ".join(window) + b" "
+            if len({w for s, w in shifts if abs(s - shift) <= slack}) >= index.need[k] and all(b" " + b" ".join(p) + b" " in joined for p in index.required[k]):
+                share = sum(min(window.count(w), wording.count(w)) for w in set(wording)) / len(wording)
+                if share >= enough:
+                    out.add(index.templates[k].label)
+                    best = max(best, share)
+    return out, best
+
+
+def test_license_labels_match_brute_force(make):
+    rng, texts = random.Random(4), []
+    for i in range(120):
+        words = prose(i, 30).split()
+        for _ in range(rng.randint(0, 2)):
+            notice = rng.choice(licenses.TEMPLATES).text.split()
+            for _ in range(rng.choice([0, 1, len(notice) // 8])):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randint(0, 1)] = [rng.choice(["the", "of", "other", "license"])] * rng.randint(0, 2)
+            at = rng.randrange(len(words))
+            words[at:at] = notice if rng.random() < 0.8 else notice[: len(notice) // 2]
+        texts.append(" ".join(words) + " the license of all the software" * (i % 3))
+    docs = make(texts)
+    found_in, n = licenses.licence_word_counts(docs, licenses.TEMPLATES)
+    assert n == 120 and found_in[b"the"] == sum(b"the" in licenses.words_of(t) for t in texts)
+    index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, found_in, n, 0.1)
+    assert b"the" not in index.postings and any(r.text == licenses.MIT for r in licenses.TEMPLATES)
+    seen = set()
+    for r in licenses.scan_licenses(docs).collect():
+        words = licenses.words_of(texts[r.doc_id])
+        places = [(i, label) for i in range(len(words)) for phrase, label in licenses.PHRASES.items() if words[i : i + len(phrase.split())] == phrase.encode().split()]
+        want, score = labels_by_force(words, index, 0.6)
+        want |= {label for _, label in places}
+        assert (r.n_base, r.labels, r.score) == (len(places), ",".join(sorted(want)), pytest.approx(1.0 if places else score)), r.doc_id
+        seen |= want
+    assert len(seen) > 10
+
+
 def targets_by_force(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w, total, fixed = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), {}
