@@ -429,7 +429,7 @@ def neighbours(text: np.ndarray, depth: int, space: Space) -> Iterator[tuple[np.
             after = lcp[-1]
 
 
-def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budget: int = 64 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budget: int = 192 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """For pieces (bytes, starts, order): which of each one's first ``starts`` positions have their next ``depth`` bytes at an earlier position too.
 
     Positions are ordered by the pieces' ``order``, then by place. Yields (the piece's number, whether repeated) of pieces with a repeat. Texts, tuples and
