@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, partitions, written
+from .common import appended, joined_by_size, partitions, written
 
 SEED, BITS, SHINGLE = 42, 64, 3
 #: Words of a signature that are compared, and the share of their bits in which texts of similarity 0.8 may differ: 0.1515 is expected, and one deviation of 256 bits added.
@@ -342,8 +342,9 @@ def _of_classes(classes: DataFrame, labels: DataFrame, word: str) -> DataFrame:
     """(fp, component_id) of every class's first word: classes with equal ones are one, and the least key of all with a label is its id."""
     of_class = classes.groupBy(F.col(word).alias("fp")).agg(F.min("_least").alias("_least"))
     of_class = of_class.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("label", "fp").alias("label"))
-    heads = of_class.groupBy("label").agg(F.min("_least").alias("component_id"))
-    return of_class.join(heads, "label").select("fp", "component_id")
+    of_class = written(of_class, "labelled")
+    heads = of_class.groupBy("label").agg(F.min("_least").alias("component_id"), F.count("*").alias("_n"))
+    return joined_by_size(of_class, heads, ["label"], "_n", of_class.count()).select("fp", "component_id")
 
 
 def hex16(value: Column) -> Column:
