@@ -45,14 +45,15 @@ def in_token_range(chunks: DataFrame, least: int = 50, most: int = 512) -> DataF
     return chunks.withColumn("token_count", F.least(tokens, F.lit(most).cast("long"))).where(tokens >= least)
 
 
-SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Paragraphs, lines, sentences of Latin and Arabic script, clauses, words, characters.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "؟ ", "۔ ", "؛ ", "; ", "، ", ", ", ": ", " ", "")
 
 
 def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[tuple[int, int]]:
     """(start, stop) of chunks of at most ``size`` characters that cover the text.
 
-    A chunk ends after the last occurrence of the first separator that has one in reach, and the next one starts up to ``overlap`` characters
-    before that end, at the same kind of separator if there is one.
+    A chunk ends after the last occurrence of the first separator that has one in reach. The next one starts at most ``overlap`` characters
+    before that end: after the first separator of the best kind there, or right at the end where none stands in the overlap.
     """
     out, start, n = [], 0, len(text)
     while start < n:
@@ -66,7 +67,12 @@ def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = S
         out.append((start, stop))
         if stop >= n:
             break
-        start = max(start + 1, stop - overlap)
+        back, start = max(start + 1, stop - overlap), stop
+        for s in separators:
+            at = text.find(s, max(0, back - len(s)), stop) if s else -1
+            if back <= at + len(s) < stop and at >= 0:
+                start = at + len(s)
+                break
     return out
 
 
@@ -86,3 +92,16 @@ def chunk_recursive(docs: DataFrame, key: str, size: int = 512, overlap: int = 5
 
     rows = docs.select(key, "text")
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, chunk_index int, start int, stop int, text string")
+
+
+def chunk_sections(docs: DataFrame, key: str, heading: str, *, size: int = 2048, overlap: int = 200, least: int = 50, most: int = 512, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+    """(key, section, title, chunk_index, total_chunks, token_count, text): sections cut by ``split_text``, chunks of under ``least`` tokens dropped, the rest numbered per document.
+
+    ``size`` and ``overlap`` count characters, four to a token. Null texts and documents without a chunk in range give no rows.
+    """
+    parts = sections(docs.where(F.col("text").isNotNull()), key, heading)
+    named = parts.select(F.struct(key, "section", "title").alias("_at"), "text")
+    cut = chunk_recursive(named, "_at", size, overlap, separators)
+    kept = in_token_range(cut.select("_at.*", F.col("chunk_index").alias("_part"), "text"), least, most)
+    placed = kept.withColumn("_order", F.struct("section", "_part"))
+    return number_chunks(placed, key, "_order").select(key, "section", "title", "chunk_index", "total_chunks", "token_count", "text")

@@ -12,19 +12,31 @@ from pyspark.sql import functions as F
 DROPPED = ("script", "style", "nav", "footer", "header")
 
 
+#: Elements without content, which are never open.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
 class _Text(HTMLParser):
+    """Collects the text outside dropped elements. An element ends with its own end tag, or with that of an element around it where its own is missing."""
+
     def __init__(self, dropped: Sequence[str]):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.inside, self.parts = frozenset(dropped), [], []
+        self.dropped, self.open, self.inside, self.parts = frozenset(dropped), [], 0, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.dropped:
-            self.inside.append(tag)
+        if tag not in VOID:
+            self.open.append(tag)
+            self.inside += tag in self.dropped
+
+    def handle_startendtag(self, tag, attrs):
+        pass
 
     def handle_endtag(self, tag):
-        if tag in self.inside:
-            while self.inside.pop() != tag:
-                pass
+        if tag in self.open:
+            closed = None
+            while closed != tag:
+                closed = self.open.pop()
+                self.inside -= closed in self.dropped
 
     def handle_data(self, data):
         if not self.inside:

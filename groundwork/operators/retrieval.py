@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MOST_BYTES = 64 << 20  # of query vectors that are sent to every task at once
+TILE = 1 << 21  # scores that a task holds at once
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -24,12 +25,28 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dims)
 
 
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of each row's k largest scores to 6 digits, the first columns on ties: a partition finds the k-th score, and only scores as large are sorted."""
+    sims = np.round(sims, 6)
+    n = sims.shape[1]
+    if n > k:
+        row, column = np.nonzero(sims >= np.partition(sims, n - k, axis=1)[:, n - k, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(sims.shape))
+    score = sims[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], column[kept], score[kept]
+
+
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, *, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(query_id, id, similarity, rank): the k most cosine-similar rows for each query; similarity to 6 digits, ties by id.
 
     ``queries`` has query_id and vector, ``corpus`` id and vector (null or empty vectors take no part). Queries go to the tasks in blocks of at most
-    ``most_bytes``, measured before; each Arrow batch of the corpus is multiplied with the block and keeps k rows per
-    query, so scores are neither all shuffled nor all held. One window over these candidates gives the ranks.
+    ``most_bytes``, measured before; each Arrow batch of the corpus is multiplied with the block in tiles of ``TILE`` scores and keeps k rows per
+    query, so scores are neither all shuffled nor all held, and a task's memory does not depend on the number of queries. One window over these candidates gives the ranks.
     """
     queries = queries.where(F.size("vector") > 0)
     n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
@@ -50,11 +67,12 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, *, most_bytes: int
             ids, vectors = shared.value
             for batch in batches:
                 other = batch.column(0).to_numpy()
-                sims = np.round(vectors @ _unit(_matrix(batch.column(1), dims)).T, 6)
-                keep = min(k, len(other))
-                order = np.lexsort((np.broadcast_to(other, sims.shape), -sims), axis=1)[:, :keep]
-                rows = np.repeat(ids, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(other[order].ravel()), pa.array(np.take_along_axis(sims, order, axis=1).ravel())], names=["query_id", "id", "similarity"])
+                by_id = np.argsort(other, kind="stable")
+                other, mine = other[by_id], _unit(_matrix(batch.column(1), dims))[by_id].T
+                step = max(1, TILE // max(1, len(other)))
+                for at in range(0, len(ids) if len(other) else 0, step):
+                    query, near, sims = _best(vectors[at : at + step] @ mine, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][query]), pa.array(other[near]), pa.array(sims)], names=["query_id", "id", "similarity"])
 
         parts.append(corpus.where(F.size("vector") == dims).select("id", "vector").mapInArrow(score, schema))
     out = parts[0]
@@ -144,9 +162,11 @@ def hashed_embedding(texts: DataFrame, text: str = "text", dims: int = 768) -> D
 
 
 def embed_distinct(rows: DataFrame, text: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Embeds each distinct text once and joins the vectors back."""
-    vectors = embed(rows.select(F.col(text).alias("text")).distinct())
-    return rows.join(vectors.withColumnRenamed("text", "_embedded"), F.col(text).eqNullSafe(F.col("_embedded")), "left").drop("_embedded")
+    """Embeds each distinct text once and joins the vectors back, by a 256-bit hash of the text, so that of every distinct text one copy a task is shuffled and no row's."""
+    hashed = rows.withColumn("_hash", F.sha2(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")).cast("binary"), 256))
+    distinct = hashed.groupBy("_hash").agg(F.first(text).alias("text"))
+    vectors = embed(distinct).select("_hash", "vector")
+    return hashed.join(vectors, "_hash", "left").drop("_hash")
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, key: str, *, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -70,3 +70,19 @@ def version_intervals(versions: DataFrame, partition: str, order: str) -> DataFr
 def violations(checks: Mapping[str, Column]) -> Column:
     """Names of the checks that a row fails; a null check fails."""
     return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())), lambda x: x.isNotNull())
+
+
+def one_question(text: Column) -> Column:
+    """Whether a clarification asks exactly one question, on one line, and not as a list item."""
+    marks = F.length(F.regexp_replace(text, "[^?؟]", ""))
+    return (marks == 1) & ~text.contains("\n") & ~text.rlike(r"^\s*([-*•]|\d+[.)])\s")
+
+
+def has_dims(vector: Column, dims: int) -> Column:
+    """Whether an embedding is unset or has so many dimensions."""
+    return vector.isNull() | (F.size(vector) == dims)
+
+
+def grounded(claims: Column, n_citations: Column) -> Column:
+    """Whether an answer that claims a status has a citation."""
+    return ~claims | (n_citations > 0)

@@ -15,7 +15,15 @@ LATIN_EXTRA = "[à-öø-ÿß]"
 
 
 # --- pages ---------------------------------------------------------------------------------------------------------
-@query()
+_DROP = "html"
+for _tag in ("script", "style", "nav", "footer", "header"):
+    _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}[ >].*?</{_tag}>', chr(1), 'g')"
+_PLAIN = f"regexp_replace({_DROP}, '(?s)<[^>]*>|' || chr(1), chr(10), 'g')"
+for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_code}', '{_sign}')"
+
+
+@query(rf"""SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '') AS text FROM pages""")
 def html_to_text(spark, sf):
     return pages.html_to_text(table(spark, sf, "pages"))
 
@@ -144,6 +152,11 @@ def chunk_recursive(spark, sf):
     return chunking.chunk_recursive(table(spark, sf, "documents"), "doc_id")
 
 
+@query()
+def chunk_sections(spark, sf):
+    return chunking.chunk_sections(table(spark, sf, "documents"), "doc_id", r"^[^.]{1,60}\.$")
+
+
 @query(f"SELECT doc_id, start::INT AS start, text, least(length(text) // 4, 512) AS token_count FROM ({_CHUNKS}) WHERE length(text) // 4 >= 50")
 def token_range_filter(spark, sf):
     return chunking.in_token_range(fixed_chunks(spark, sf))

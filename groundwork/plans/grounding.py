@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import citations as C
 from groundwork.operators import grounding as G
+from groundwork.operators import tables
 from groundwork.sources import corpus
 
 from .registry import query, table
@@ -124,11 +125,35 @@ def followup_question(spark, sf):
     return a.select("answer_id", C.followup_question(F.col("answer"), F.col("n_citations")).alias("question"))
 
 
-@query()
+_QUOTE = r"""SELECT answer_id, chunk_id, quote, greatest(instr(clean, quote) - 1, 0)::INT AS start, (greatest(instr(clean, quote) - 1, 0) + length(quote))::INT AS stop
+FROM (SELECT *, substr(coalesce(list_filter(parts, lambda s: length(s) >= 40)[1], parts[1], ''), 1, 500) AS quote
+FROM (SELECT *, string_split(regexp_replace(clean, '([.!?؟۔])[\t\n\v\f\r ]+', '\1' || chr(1), 'g'), chr(1)) AS parts
+FROM (SELECT answer_id, chunk_id, regexp_replace(text, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g') AS clean FROM ({}) JOIN ({}) USING (answer_id, chunk_id))))"""
+
+
+@query(_QUOTE.format(f"SELECT answer_id, chunk_id FROM ({_EVIDENCE})", f"SELECT answer_id, chunk_id, text FROM ({_CHUNKS})"))
 def evidence_quote(spark, sf):
     return evidence(spark, sf).select("answer_id", "chunk_id", "quote.quote", "quote.start", "quote.stop")
 
 
+@query(
+    rf"""SELECT 'document' AS kind, doc_id AS row_id, concat_ws(',', CASE WHEN text IS NULL OR trim(text) = '' THEN 'content' END, CASE WHEN length(text) // 4 NOT BETWEEN 50 AND 512 THEN 'tokens' END,
+CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END) AS violations FROM documents
+UNION ALL SELECT 'embedding', vec_id, CASE WHEN len(embedding) <> 64 THEN 'dims' ELSE '' END FROM embeddings
+UNION ALL SELECT 'answer', answer_id, concat_ws(',', CASE WHEN contains(upper(answer), 'COMPLIANT') AND n_citations = 0 THEN 'grounding' END,
+CASE WHEN length(regexp_replace(answer, '[^?؟]', '', 'g')) <> 1 OR contains(answer, chr(10)) OR regexp_matches(answer, '^\s*([-*•]|\d+[.)])\s') THEN 'question' END) FROM ({_COUNTED})"""
+)
+def contract_violations(spark, sf):
+    tokens = F.floor(F.length("text") / 4)
+    listed = lambda **checks: F.array_join(tables.violations(checks), ",").alias("violations")
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    out = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("row_id"), listed(content=F.trim("text") != "", tokens=tokens.between(50, 512), language=F.col("lang").isin("en", "de")))
+    out = out.unionByName(vectors.select(F.lit("embedding").alias("kind"), F.col("vec_id").alias("row_id"), listed(dims=tables.has_dims(F.col("embedding"), 64))))
+    said = G.with_status(answers(spark, sf), evidence(spark, sf))
+    ok = tables.grounded(F.upper("answer").contains("COMPLIANT"), F.col("n_citations"))
+    return out.unionByName(said.select(F.lit("answer").alias("kind"), F.col("answer_id").alias("row_id"), listed(grounding=ok, question=tables.one_question(F.col("answer")))))
+
+
 @query(r"""SELECT conv_id, turn, 'INSUFFICIENT_DATA: This is a definition question. Based on the retrieved excerpt: ' || CASE WHEN length(s) > 420 THEN rtrim(substr(s, 1, 417)) || '...' ELSE s END || ' [FAS-01 §' || turn || ']' AS answer
 FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[\t\n\f\r ]+', ' ', 'g')) AS s FROM conversations)""")
 def definition_answer(spark, sf):

@@ -149,16 +149,6 @@ def clarification_turns(spark, sf):
     return history.question_turns(turns(spark, sf), "conv_id", marks=r"\.")
 
 
-@query(
-    """SELECT doc_id, concat_ws(',', CASE WHEN text IS NULL OR trim(text) = '' THEN 'content' END, CASE WHEN length(text) // 4 NOT BETWEEN 50 AND 512 THEN 'tokens' END,
-CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END) AS violations FROM documents"""
-)
-def contract_violations(spark, sf):
-    tokens = F.floor(F.length("text") / 4)
-    checks = {"content": F.trim("text") != "", "tokens": tokens.between(50, 512), "language": F.col("lang").isin("en", "de")}
-    return table(spark, sf, "documents").select("doc_id", F.array_join(tables.violations(checks), ",").alias("violations"))
-
-
 # --- histories -----------------------------------------------------------------------------------------------------
 @query(
     """SELECT conv_id, string_agg(turn || ':' || substr(role, 1, 20) || ':' || substr(text, 1, 2000), '|' ORDER BY turn) AS history FROM

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.operators import evaluation
+from groundwork.operators import chunking, evaluation
 from groundwork.sources import corpus
 from groundwork.sources.shared import fresh_folder
 from groundwork.streaming import streams
 
 from . import retrieval, rules, traffic
+from .corpus import _CHUNKS, OVERLAP, SIZE
 from .registry import query, table
 
 CLOSED = "(SELECT epoch_us(max(ts)) - 600 * 1000000 FROM events)"
@@ -80,13 +81,21 @@ def stream_audit(spark, sf):
     return spark.read.schema(rows.schema).parquet(out)
 
 
-@query("SELECT md5('doc_' || doc_id || ':0') AS chunk_id, doc_id, n_chars FROM documents")
+@query(f"""SELECT md5('doc_' || doc_id || ':' || chunk_index) AS chunk_id, doc_id, chunk_index, total_chunks, token_count, text FROM (SELECT doc_id, text, least(length(text) // 4, 512) AS token_count,
+(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM ({_CHUNKS}) WHERE length(text) // 4 >= 50)""")
 def incremental_ingest(spark, sf):
-    key = T.chunk_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.lit(0))
-    rows = stream(spark, sf, "documents").select(key.alias("chunk_id"), "doc_id", "n_chars", F.col("doc_id").alias("seq"))
+    """New documents are chunked whole, numbered, keyed by document and number, and upserted, a micro-batch at a time."""
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        chunks = chunking.number_chunks(chunking.in_token_range(chunking.chunk_fixed(batch, "doc_id", SIZE, OVERLAP)), "doc_id", "start")
+        key = T.chunk_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("chunk_index"))
+        return chunks.select(key.alias("chunk_id"), "doc_id", "chunk_index", "total_chunks", "token_count", "text", F.lit(0).alias("seq"))
+
+    rows = stream(spark, sf, "documents").select("doc_id", "text")
     out = fresh_folder(spark, "chunks")
-    streams.incremental_upsert(rows, out, "chunk_id", "seq", fresh_folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    versions = spark.read.schema(rows.drop("seq").schema).option("basePath", out).parquet(f"{out}/v=*")
+    streams.incremental_upsert(rows, out, "chunk_id", "seq", fresh_folder(spark, "state"), prepare).trigger(availableNow=True).start().awaitTermination()
+    schema = prepare(table(spark, sf, "documents").limit(0)).drop("seq").schema
+    versions = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/v=*")
     return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +71,14 @@ def append_to(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def incremental_upsert(rows: DataFrame, path: str, key: str, order: str, checkpoint: str) -> DataStreamWriter:
-    """Upserts each micro-batch into a snapshot table: versions are folders path/v=<batch>, and the newest is the table.
+def incremental_upsert(rows: DataFrame, path: str, key: str, order: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataStreamWriter:
+    """Upserts each micro-batch, as ``prepare`` makes it of what arrived, into a snapshot table: versions are folders path/v=<batch>, and the newest is the table.
 
-    A batch that runs again writes the same folder again, so restarts don't double rows.
+    A batch that runs again writes the same folder again, so restarts don't double rows. The version before the last one is deleted once a newer one is written.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
+    def apply(arrived: DataFrame, number: int) -> None:
+        batch = prepare(arrived)
         spark = batch.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -83,5 +86,7 @@ def incremental_upsert(rows: DataFrame, path: str, key: str, order: str, checkpo
         before = [v for v in found if v < number]
         target = spark.read.parquet(f"{path}/v={max(before)}") if before else batch.drop(order).limit(0)
         upsert(target, batch, key, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        for old in sorted(before)[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)

@@ -42,6 +42,57 @@ def test_html():
     assert pages.page_text(None) == "" and pages.page_text("<nav>never closed") == ""
 
 
+def test_html_elements_end_with_those_around_them():
+    assert pages.page_text("<div><nav>menu</div><p>article</p>") == "article"
+    assert pages.page_text("<body><header><p>a<br>b<footer>c</header><main>d<img src=x>e</main></body>") == "d\ne"
+    assert pages.page_text("</nav>x<style>y</style>z") == "x\nz"
+
+
+def test_next_chunk_starts_after_a_separator():
+    text = " ".join(f"word{i}" for i in range(400)) + "\n\n" + "y" * 300 + " " + "الكلمة؟ التالية، " * 40
+    spans = chunking.split_text(text, 200, 30)
+    for (a, b), (c, d) in zip(spans, spans[1:]):
+        assert 0 <= b - c <= 30 and d > b
+        assert c == b or text[c - 1] in " \n" or b - a == 200  # a whole word begins, unless nothing separates
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert any(c < b and text[c - 1] == " " for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_section_chunks_are_numbered(spark):
+    docs = spark.createDataFrame([(1, "# A\n" + "one two. " * 100 + "\n# B\nshort\n# C\n" + "three. " * 60), (2, None), (3, "tiny")], "doc_id long, text string")
+    rows = chunking.chunk_sections(docs, "doc_id", "^# ", size=400, overlap=40).orderBy("doc_id", "chunk_index").collect()
+    assert [r.chunk_index for r in rows] == list(range(len(rows))) and all(r.total_chunks == len(rows) for r in rows)
+    assert {r.title for r in rows} == {"# A", "# C"} and all(50 <= r.token_count <= 100 for r in rows) and {r.doc_id for r in rows} == {1}
+
+
+def test_contract_checks(spark):
+    rows = spark.createDataFrame([("Which asset?", [1.0, 2.0], True, 1), ("Which?\nWhat?", [1.0], True, 0), ("- Which?", None, False, 0), ("أي أصل؟", None, False, 2), ("None", [], True, 1)], "t string, v array<double>, c boolean, n int")
+    got = [tuple(r) for r in rows.select(tables.one_question(F.col("t")), tables.has_dims(F.col("v"), 2), tables.grounded(F.col("c"), F.col("n"))).collect()]
+    assert got == [(True, True, True), (False, False, False), (False, True, True), (True, True, True), (False, False, True)]
+
+
+def test_best_scores_by_tiles(spark, vectors, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sims = np.round(rng.normal(size=(30, 50)), 1)
+    row, column, score = retrieval._best(sims, 4)
+    for i in range(30):
+        want = sorted(range(50), key=lambda j: (-sims[i, j], j))[:4]
+        assert column[row == i].tolist() == want and score[row == i].tolist() == sims[i, want].tolist()
+    df, _ = vectors
+    queries = df.where("id % 3 = 0").select(F.col("id").alias("query_id"), "vector")
+    whole = sorted(map(tuple, retrieval.knn_exact(queries, df, 5).collect()))
+    monkeypatch.setattr(retrieval, "TILE", 700)
+    assert sorted(map(tuple, retrieval.knn_exact(queries, df, 5, most_bytes=4000).collect())) == whole
+
+
+def test_embeddings_of_repeated_and_null_texts(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, ""), (5, "c")], "id long, text string")
+    got = {r.id: list(r.vector) for r in retrieval.embed_distinct(rows, "text", lambda t: retrieval.hashed_embedding(t, dims=8)).collect()}
+    assert got[1] == got[2] != got[5] and got[3] == got[4] == [] and len(got) == 5
+
+
 def test_links(spark):
     rows = spark.createDataFrame([(1, '<a href="/standard-1">A</a><a class="x" href="http://y.org/z">FAS 2</a><a href="/no">n</a>')], "page_id long, html string")
     assert [(r.title, r.url) for r in pages.extract_links(rows, "page_id", "html", F.lit("https://x.org")).collect()] == [("A", "https://x.org/standard-1"), ("FAS 2", "http://y.org/z")]
