@@ -1,8 +1,8 @@
 """Suffix sorting by recursive induction over disk-backed queues, for shards far larger than memory.
 
 Queues carry suffix tuples: the position, the symbol before it with its type, and the common prefix with the suffix ahead in the queue. A text's
-LMS substrings are sorted by one induction and named by their common prefixes; the string of names is sorted in the same way, until it fits in memory; its
-order then induces that of all suffixes, with the common prefixes of neighbours.
+LMS substrings are sorted by one induction and named; the string of names is sorted in the same way, until it fits in memory; its
+order then induces that of all suffixes, and the common prefixes of the sorted LMS suffixes those of all neighbours.
 """
 
 from __future__ import annotations
@@ -193,12 +193,12 @@ class Minima:
 
 class Scan:
     """One induction over a level: ``want`` 0 goes up through the symbols and induces suffixes of type L from the sorted LMS suffixes, 1 goes down and
-    induces type S from those of type L. ``sources(range)`` gives (position, before, common prefix or symbol) in the order of the scan."""
+    induces type S from those of type L. ``sources(range)`` gives (position, before, symbol) in the order of the scan, or with ``carry`` the common prefix instead of the symbol."""
 
-    def __init__(self, level: Level, want: int, sources: object, seam: int | None = None):
-        self.level, self.want, self.sources, self.seam = level, want, sources, seam
+    def __init__(self, level: Level, want: int, sources: object, carry: bool):
+        self.level, self.want, self.sources, self.carry = level, want, sources, carry
         self.queue, self.found = Queue(level.space), Queue(level.space)
-        self.since = np.full(level.symbols, 255, dtype=np.uint8) if level.depth else None
+        self.since = np.full(level.symbols, 255, dtype=np.uint8) if carry else None
 
     def run(self) -> Queue:
         """What was induced, by range, in the order of the scan."""
@@ -216,10 +216,10 @@ class Scan:
         def follow(chunk: Columns, kept: bool) -> None:
             nonlocal last
             position, seen, third = chunk
-            if self.level.depth and (last is None or not kept and first):
+            if self.carry and (last is None or not kept and first):
                 third = third.copy()
                 # the first suffix with a symbol shares nothing with what went before; where the types meet, the texts tell
-                third[0] = 0 if last is None else self.level.common(np.array([last]), position[:1])[0] if self.seam is None else self.seam
+                third[0] = 0 if last is None else self.level.common(np.array([last]), position[:1])[0]
                 chunk = (position, seen, third)
             if kept:
                 self.found.push(r, chunk)
@@ -273,7 +273,7 @@ class Scan:
         new = position[chosen] - 1
         heads = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.array([], dtype=np.int64)
         carried = symbol
-        if level.depth:
+        if self.carry:
             minima, size = Minima(third), len(third)
             start = np.append(0, chosen[:-1] + 1)[: len(chosen)]
             start[heads] = 0
@@ -289,14 +289,14 @@ class Scan:
             self.queue.push(int(number[lo]), tuple(c[lo:hi] for c in columns))
 
 
-def _queued(level: Level, positions: Iterable[np.ndarray], prefix: object) -> Queue:
-    """Sorted LMS positions by range, as sources; ``prefix(before, after)`` gives the common prefixes of neighbours."""
+def _queued(level: Level, positions: Iterable[np.ndarray], carry: bool) -> Queue:
+    """LMS positions by range, as sources; with ``carry`` they are sorted and have the common prefixes of neighbours."""
     out, last = Queue(level.space), None
     for position in positions:
         symbol = level.text[position]
         third = symbol
-        if level.depth:
-            third = prefix(np.append(position[:1] if last is None else last, position[:-1]), position)
+        if carry:
+            third = level.common(np.append(position[:1] if last is None else last, position[:-1]), position)
             last = position[-1:]
         number = level.range_of(np.asarray(symbol))
         order = np.argsort(number, kind="stable")
@@ -307,20 +307,20 @@ def _queued(level: Level, positions: Iterable[np.ndarray], prefix: object) -> Qu
     return out
 
 
-def _induced(level: Level, sources: Queue, seam: int | None = None) -> tuple[Queue, Queue]:
+def _induced(level: Level, sources: Queue, carry: bool) -> tuple[Queue, Queue]:
     """All suffixes of type L, ascending in every range, and of type S, descending, as sorted LMS positions induce them."""
-    large = Scan(level, 0, sources.look, seam).run()
+    large = Scan(level, 0, sources.look, carry).run()
 
     def backwards(r: int) -> Iterator[Columns]:
         after = 0  # a tuple's common prefix is that with the smaller neighbour; going down it belongs to that one
         for position, seen, third in large.look(r, backwards=True):
-            if level.depth:
+            if carry:
                 yield position, seen, np.append(np.uint8(after), third[:-1])
                 after = third[-1]
             else:
                 yield position, seen, third
 
-    return large, Scan(level, 1, backwards).run()
+    return large, Scan(level, 1, backwards, carry).run()
 
 
 def _named(level: Level, lms: np.ndarray, small: Queue) -> tuple[np.ndarray, int]:
@@ -330,28 +330,21 @@ def _named(level: Level, lms: np.ndarray, small: Queue) -> tuple[np.ndarray, int
     size = space.array(level.n // 2 + 1, level.place)
     for lo, hi in space.blocks(len(lms)):
         size[lms[lo:hi] // 2] = np.append(lms[lo + 1 : hi + 1], [level.n - 1] * (hi == len(lms)))[: hi - lo] - lms[lo:hi] + 1
-    count, last, least = 0, None, 255
+    count, last, most = 0, None, level.depth or level.n
     for r in range(len(level.cuts) - 2, -1, -1):
-        for position, seen, third in small.look(r):
-            here = np.flatnonzero((seen & 1 == 0) & (position > 0))
-            if not len(here):
-                least = min(least, int(third.min())) if level.depth else least
+        for position, seen, _ in small.look(r):
+            mine = position[(seen & 1 == 0) & (position > 0)]
+            if not len(mine):
                 continue
-            mine = position[here]
             before = np.append(mine[:1] if last is None else last, mine[:-1])
-            same = size[before // 2] == size[mine // 2]
-            if level.depth:
-                lcp = np.minimum.reduceat(third[: here[-1] + 1], np.append(0, here[:-1] + 1))
-                lcp[0] = min(lcp[0], least)
-                least = int(third[here[-1] + 1 :].min()) if here[-1] + 1 < len(third) else 255
-                same = (lcp >= level.depth) | (same & (lcp >= size[mine // 2]))
-            else:
-                live, step = np.flatnonzero(same), 0
-                while len(live):
-                    equal = level.text[before[live] + step] == level.text[mine[live] + step]
-                    same[live[~equal]] = False
-                    step += 1
-                    live = live[equal & (size[mine[live] // 2] > step)]
+            a, b = size[before // 2], size[mine // 2]
+            same = (a == b) | (np.minimum(a, b) >= most)
+            live, step = np.flatnonzero(same), 0
+            while len(live):
+                equal = level.text[before[live] + step] == level.text[mine[live] + step]
+                same[live[~equal]] = False
+                step += 1
+                live = live[equal & (b[live] > step)] if step < most else live[:0]
             if last is None:
                 same[0] = True
             number = count + np.cumsum(~same)
@@ -396,8 +389,7 @@ def _sorted(level: Level) -> tuple[Queue, Queue]:
     """All suffixes of a level, of type L and S (without the text's end): sorts and names the LMS substrings, sorts the string of names, and induces."""
     space, lms = level.space, level.lms()
     positions = lambda: (np.asarray(lms[lo:hi]) for lo, hi in space.blocks(len(lms)))
-    by_head = _queued(level, positions(), lambda a, b: np.ones(len(b), dtype=np.uint8))
-    names, count = _named(level, lms, _induced(level, by_head, 1)[1])
+    names, count = _named(level, lms, _induced(level, _queued(level, positions(), False), False)[1])
     if count == len(lms):
         place = space.array(len(lms), level.place)
         for lo, hi in space.blocks(len(lms)):
@@ -405,7 +397,8 @@ def _sorted(level: Level) -> tuple[Queue, Queue]:
         order = (np.asarray(place[lo:hi]) for lo, hi in space.blocks(len(lms)))
     else:
         order = (np.asarray(lms[part]) for part in _order(names, count, space))
-    return _induced(level, _queued(level, order, level.common))
+    carry = level.depth > 0
+    return _induced(level, _queued(level, order, carry), carry)
 
 
 def neighbours(text: np.ndarray, depth: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -458,8 +451,13 @@ def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budg
     again = space.array(n, np.bool_)
     first = None  # (order, position): the earliest of the group that the next block may go on with, if it has a valid start
     for position, lcp in neighbours(text, depth, space):
-        group, piece = np.cumsum(lcp < depth), np.searchsorted(begin, position, "right") - 1
+        group = np.cumsum(lcp < depth)
         last = int(group[-1])
+        shared = lcp >= depth  # others stand alone, but for the last one, which the next block may go on with
+        shared[:-1] |= shared[1:]
+        shared[-1] = True
+        position, group = position[shared], group[shared]
+        piece = np.searchsorted(begin, position, "right") - 1
         valid = piece < len(starts)
         valid[valid] = position[valid] - begin[piece[valid]] < starts[piece[valid]]
         position, group, piece = position[valid].astype(np.int64), group[valid], piece[valid]
