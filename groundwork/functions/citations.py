@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The form of a citation in brackets, its section marks, and the words that decide a status.
+# The form of a citation in brackets, its section marks, and the words that decide a status. An addition of our own: a section sign whose UTF-8 was read as Latin-1 (Â§) counts too.
 MARKER = r"(?i)\[[^\]]*?FAS-?(\d+)(?:\s*(?:Â?§|section|القسم)\s*([A-Za-z0-9.\-]+))?[^\]]*\]"
 STATUSES = (
     ("PARTIALLY_COMPLIANT", ("PARTIALLY_COMPLIANT", "PARTIALLY COMPLIANT", "CONDITIONALLY COMPLIANT")),
