@@ -46,11 +46,11 @@ def mix_sources(
     Words are summed by source and hash bucket (12 bits of a 60-bit hash of the key). In each source the bucket in which the
     budget runs out is split by the next 12 bits, three times; the documents below the last threshold are taken
     whole, those in its bucket (fewer than one on average up to 2**36 documents) in hash order until the budget ends,
-    the last one in part. A target over the source's size takes every document whole as often as it fits, then
+    the last one in part; rows that share a hash are numbered by ranges, not in one task. A target over the source's size takes every document whole as often as it fits, then
     the rest in that way. Nothing is sorted but the documents of the last bucket.
 
     Returns key, ``keep`` columns, size, source_size, target, taken. Null text: 0 words. Null source: a source of its
-    own, last. Null key: hashed as the empty text. Repeated rows count and are taken one by one. No rows: no rows. Other columns of
+    own, last. Null key: hashed as the empty text. Rows of one hash go by size and a hash of what is kept. Repeated rows count and are taken one by one. No rows: no rows. Other columns of
     ``docs`` are neither read nor returned.
     """
     base = written(
@@ -61,6 +61,8 @@ def mix_sources(
             F.coalesce("source", F.lit("")).alias("source"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             key_hash(F.col(key)).alias("_hash"),
+            F.xxhash64("text", *keep).alias("_tie"),
+            F.monotonically_increasing_id().alias("_no"),  # spreads equal rows, among which it makes no difference
         ),
         "sizes",
     )
@@ -95,8 +97,13 @@ def mix_sources(
         )
     placed = base.join(state, by).withColumn("_at", F.shiftright("_hash", HASH_BITS - BITS * LEVELS))
     outside = placed.where(F.col("_at") != F.col("_prefix")).withColumn("_part", F.when(F.col("_at") < F.col("_prefix"), F.col("size")).otherwise(0))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = placed.where(F.col("_at") == F.col("_prefix")).withColumn("_part", F.least("size", F.greatest(F.col("_left") - before, F.lit(0))))
+    # rows of one hash and size are alike, so a row's budget follows from the sums of earlier pairs and its number among its own
+    edge = placed.where(F.col("_at") == F.col("_prefix"))
+    pair = [*by, "_hash", "size"]
+    earlier = Window.partitionBy(*by).orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = edge.groupBy(*pair).agg(F.sum("size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    left = F.col("_left") - F.col("_before") - F.col("_rank") * F.col("size")
+    edge = ranked(edge, pair, [F.col("_tie"), F.col("_no")], "_rank").join(pairs, pair).withColumn("_part", F.least("size", F.greatest(left, F.lit(0)))).drop("_rank", "_before")
     return outside.unionByName(edge).select(
         F.col("_key").alias(key),
         *(F.col(f"_keep_{c}").alias(c) for c in keep),

@@ -385,6 +385,23 @@ def test_mix_meets_targets(make):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(make(rows).repartition(7), keep=("source",)).collect()))
 
 
+def test_mix_splits_rows_that_share_a_key(make):
+    """All rows of both sources have one hash: the budget runs out among them, and is taken to the word."""
+    texts = [prose(i % 40, 3 + i % 17) for i in range(600)]
+    docs = make([(None, t, "en", "a" if i % 3 else "b") for i, t in enumerate(texts)])
+    out = mixing.mix_sources(docs, keep=("text", "source")).collect()
+    for source in ("a", "b"):
+        mine = sorted((r for r in out if r.source == source), key=lambda r: r["size"])
+        total = sum(r["size"] for r in mine)
+        again, left = divmod(round(mine[0].target), total)
+        parts = sorted((r["size"], r.taken - again * r["size"]) for r in mine)
+        assert sum(p for _, p in parts) == left and all(0 <= p <= n for n, p in parts)
+        assert sum(0 < p < n for n, p in parts) <= 1  # one row in part, smaller ones whole, larger ones not
+        cut = max((n for n, p in parts if p), default=0)
+        assert all(p == n for n, p in parts if n < cut)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(docs.repartition(5), keep=("text", "source")).collect()))
+
+
 def test_digests_edit_and_likeness(make):
     texts = {i: prose(i, 120) for i in range(12)} | {20: prose(1, 120), 21: "", 22: None, 23: "short é", 24: prose(7, 30)}
     out = {r.doc_id: r for r in digests.fingerprint_documents(make([(i, t, "en", "a") for i, t in texts.items()])).collect()}
