@@ -11,9 +11,11 @@ from .common import documents
 from .digests import fingerprint_documents
 from .language import identify, train
 from .licenses import scan_licenses
+from .lines import drop_common_lines
 from .mixing import mix_sources
 from .packing import pack
 from .quality import apply_host_rules
+from .runs import find_runs, with_repeated_tails
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -61,5 +63,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_common_lines(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(with_repeated_tails(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}

@@ -61,5 +61,17 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key FROM l),
+w AS (SELECT line_key, count(DISTINCT rid) AS docs, max(doc_id) AS keeper FROM k WHERE length(line_key) >= 40 GROUP BY 1 HAVING count(DISTINCT rid) >= 5),
+m AS (SELECT rid, doc_id, line, i, docs, docs IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN w USING (line_key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, max(docs) FILTER (WHERE gone) AS most_docs,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op5_warc_salvage": OP5, "op6_mix_sources": OP6, "op9_host_rules": OP9}
+    return {"op2_suffix_array_dedup": OP2, "op5_warc_salvage": OP5, "op6_mix_sources": OP6, "op9_host_rules": OP9, "op11_line_dedup": OP11}
