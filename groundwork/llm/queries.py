@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .lines import drop_common_lines
 from .mixing import mix_sources
 from .packing import pack
+from .phrases import mine_phrases
 from .quality import apply_host_rules
 from .runs import find_runs, with_repeated_tails
 from .sharding import shard_documents
@@ -71,5 +72,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(with_repeated_tails(documents(spark, sf_dir)))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}

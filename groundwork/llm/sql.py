@@ -73,5 +73,22 @@ FROM m GROUP BY rid, doc_id
 """
 
 
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 6) r(k)),
+f AS (SELECT lang, phrase, any_value(k) AS k, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.phrase, f.a, n.n, cut, b.a AS l, e.a AS r, (1000 * f.a * n.n) // (b.a * e.a) AS score FROM f, range(1, 5) x(cut), n, f b, f e
+    WHERE cut < f.k AND n.lang = f.lang AND b.lang = f.lang AND b.phrase = array_to_string(f.w[1:cut], ' ') AND e.lang = f.lang AND e.phrase = array_to_string(f.w[cut + 1:f.k], ' ')),
+m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT DISTINCT q.lang, array_to_string(q.w[b:b + z - 1], ' ') AS phrase, q.a FROM f q, range(2, 5) y(z), range(1, 5) v(b) WHERE z < q.k AND b + z - 1 <= q.k),
+t AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = m.lang AND i.phrase = m.phrase AND 100 * i.a >= 100 * m.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM t QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op5_warc_salvage": OP5, "op6_mix_sources": OP6, "op9_host_rules": OP9, "op11_line_dedup": OP11}
+    return {"op2_suffix_array_dedup": OP2, "op5_warc_salvage": OP5, "op6_mix_sources": OP6, "op9_host_rules": OP9, "op11_line_dedup": OP11, "op13_phrase_mining": OP13}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from groundwork.llm import lines, perfect, runs
+from groundwork.llm import lines, perfect, phrases, runs
 
 OPERATORS = {
     "lines": lambda d: lines.drop_common_lines(d, least_docs=2, texts=True, keep=("source",)),
@@ -26,6 +26,12 @@ def test_odd_rows_clashing_names_and_no_rows(name, odd, clash):
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
 
+def test_phrases_of_odd_rows_clashing_names_and_no_rows(odd, clash):
+    mine = lambda d: phrases.mine_phrases(d, support=2)
+    assert sorted(map(str, mine(odd).collect())) == sorted(map(str, mine(clash).collect())) and mine(odd).count() > 3
+    assert mine(odd.limit(0)).count() == 0 and mine(odd.where("text is null")).count() == 0
+
+
 # --- lines ---------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 5000])
 def test_perfect_hash(n):
@@ -157,3 +163,75 @@ def test_repeated_tails(make):
             assert out[doc_id] == " ".join(words)
         else:
             assert out[doc_id].split() == words
+
+
+# --- phrases -------------------------------------------------------------------------------------------------------
+def collocations(rows, support, longest, top):
+    n, f = Counter(), Counter()
+    for lang, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\n-\r]", low):
+            words = re.findall(r"[^ \t]+", piece)
+            n[lang or "und"] += len(words)
+            f.update((lang or "und", tuple(words[i : i + k])) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    often = {g: a for g, a in f.items() if len(g[1]) > 1 and a >= support}
+    inside = Counter()
+    for (lang, w), a in often.items():
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                if j - i < len(w):
+                    inside[lang, w[i:j]] = max(inside[lang, w[i:j]], a)
+    out = []
+    for (lang, w), a in often.items():
+        score, _, left, right = min((1000 * a * n[lang] // (f[lang, w[:c]] * f[lang, w[c:]]), c, f[lang, w[:c]], f[lang, w[c:]]) for c in range(1, len(w)))
+        if inside[lang, w] < a:
+            out.append((lang, -score, -a, " ".join(w).encode(), left, right, n[lang]))
+    ranks, final = Counter(), []
+    for lang, score, a, phrase, left, right, total in sorted(out):
+        ranks[lang] += 1
+        if top is None or ranks[lang] <= top:
+            final.append((lang, ranks[lang], phrase.decode(), -a, left, right, total, -score))
+    return final
+
+
+def phrase_rows(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)] + ["É", "a\u00a0b", "s", "x\x00y", "ẞ", "it's"]
+    fixed = [rng.choices(words, k=5) for _ in range(4)]
+    out = []
+    for i in range(n):
+        text = []
+        for _ in range(rng.randrange(12)):
+            text += rng.choice(fixed)[rng.randrange(3) :] if rng.random() < 0.4 else rng.choices(words, k=rng.randrange(6), weights=[1 / (k + 1) for k in range(len(words))])
+            text.append(rng.choice([".", ",", "\n", "\x0b", "", "", "S"]))
+        joined = "".join(w + rng.choice([" ", "\t", "  "]) for w in text)
+        out.append((rng.choice(["en", "de", None, "und"]), rng.choice([joined, joined.upper()]) if i % 9 else None))
+    return out + [("en", "same words here")] * 60 + [("fr", "a b")]
+
+
+@pytest.mark.parametrize("support,longest,top,shards", [(20, 5, 2000, 4), (5, 4, 7, 3), (2, 5, None, 1), (100, 2, None, 9)])
+def test_phrases_match_brute_force(make, support, longest, top, shards):
+    rows = phrase_rows(support, 300)
+    docs = make([(i, t, lang, "s") for i, (lang, t) in enumerate(rows)])
+    out = phrases.mine_phrases(docs, support=support, longest=longest, top=top, shards=shards).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in out) == sorted(collocations(rows, support, longest, top))
+
+
+def test_buckets_hold_the_same_bits_and_every_locally_frequent_phrase(make):
+    docs = make([(i, t, lang, "s") for i, (lang, t) in enumerate(phrase_rows(1, 200))])
+    rows = phrases.encoded(docs, "lang", 2).selectExpr("*", "6L as support")
+    one = phrases._frequent(rows, 1, None, 0, 16)
+    assert (one == phrases._frequent(rows, 1, None, 5, 16)).all()
+    two = phrases._frequent(rows, 2, one, 3, 16)
+    local = Counter()
+    for r in rows.collect():
+        grams = phrases.Grams(r.lang, bytes(r.codes), bytes(r.words))
+        keys = grams.keys(grams.hashes(2)[grams.whole(2)], r.shard)
+        local.update(keys.tolist())
+    keys = np.array([k for k, c in local.items() if c >= 6], dtype=np.uint64)
+    assert len(keys) > 20 and phrases._in(two, keys).all() and np.unpackbits(two).sum() <= len(keys)
+
+
+def test_products_past_64_bits(spark):
+    got = spark.sql("select (cast(9000000000000000000 as decimal(19,0)) * cast(9000000000000000001 as decimal(19,0))) div (cast(3000000000000000000 as decimal(19,0)) * cast(8 as decimal(19,0))) as x").first().x
+    assert got == 9000000000000000000 * 9000000000000000001 // (3000000000000000000 * 8)
