@@ -20,6 +20,7 @@ READ = bytes(0x0A if chr(b) in ".,;:!?\n\v\f\r" else 0x20 if b == 0x09 else b +
 END = b"S"  # between pieces: no word has a capital letter
 PART, HELD = 4 << 20, 64 << 20  # bytes of text in a row of the encoded table, and in all rows that a task has open
 GROUP = 1 << 20  # words of the input for each bucket of counts
+FEW = 100_000  # rows that may be sent to every task
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ENCODED = "lang string, shard int, n_words long, codes binary, words binary"
 
@@ -191,7 +192,9 @@ def mine_phrases(docs: DataFrame, *, lang: str = "lang", support: int = 100, lon
     words = totals.agg(F.sum("n")).first()[0] or 0
     bucket_bits = min(20, max(0, (words // GROUP).bit_length()))
     filter_bits = min(28, max(16, (words // 16).bit_length(), bucket_bits + 3))
-    rows, frequent = table.join(shares, ["lang", "shard"]), []
+    shares = written(shares, "shares")
+    few = shares.count() <= FEW  # a row for each language and shard
+    rows, frequent = table.join(F.broadcast(shares) if few else shares, ["lang", "shard"]), []
     for k in range(1, longest + 1):
         frequent.append(_frequent(rows, k, frequent[-1] if frequent else None, bucket_bits, filter_bits))
     counts = written(_counted(table, frequent, shards).where(F.col("f") >= support), "phrases")
