@@ -4,99 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_BYTES = 64 << 20  # of query vectors that are sent to every task at once
-TILE = 1 << 21  # scores that a task holds at once
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(length == 0, 1, length)
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dims)
-
-
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of each row's k largest scores to 6 digits, the first columns on ties: a partition finds the k-th score, and only scores as large are sorted."""
-    sims = np.round(sims, 6)
-    n = sims.shape[1]
-    if n > k:
-        row, column = np.nonzero(sims >= np.partition(sims, n - k, axis=1)[:, n - k, None])
-    else:
-        row, column = (x.ravel() for x in np.indices(sims.shape))
-    score = sims[row, column]
-    order = np.lexsort((column, -score, row))
-    row, column, score = row[order], column[order], score[order]
-    first = np.searchsorted(row, row)
-    kept = np.arange(len(row)) - first < k
-    return row[kept], column[kept], score[kept]
-
-
-def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, *, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(query_id, id, similarity, rank): the k most cosine-similar rows for each query; similarity to 6 digits, ties by id.
-
-    ``queries`` has query_id and vector, ``corpus`` id and vector (null or empty vectors take no part). Queries go to the tasks in blocks of at most
-    ``most_bytes``, measured before; each Arrow batch of the corpus is multiplied with the block in tiles of ``TILE`` scores and keeps k rows per
-    query, so scores are neither all shuffled nor all held, and a task's memory does not depend on the number of queries. One window over these candidates gives the ranks.
-    """
-    queries = queries.where(F.size("vector") > 0)
-    n, dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    schema = "query_id long, id long, similarity double"
-    if not n or k <= 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank long")
-    blocks = -(-n * dims * 8 // most_bytes)
-    parts = []
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        held = own.select("query_id", "vector").toArrow()
-        if not held.num_rows:
-            continue
-        ids, vectors = held.column(0).to_numpy(), _unit(_matrix(held.column(1).combine_chunks(), dims))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            for batch in batches:
-                other = batch.column(0).to_numpy()
-                by_id = np.argsort(other, kind="stable")
-                other, mine = other[by_id], _unit(_matrix(batch.column(1), dims))[by_id].T
-                step = max(1, TILE // max(1, len(other)))
-                for at in range(0, len(ids) if len(other) else 0, step):
-                    query, near, sims = _best(vectors[at : at + step] @ mine, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][query]), pa.array(other[near]), pa.array(sims)], names=["query_id", "id", "similarity"])
-
-        parts.append(corpus.where(F.size("vector") == dims).select("id", "vector").mapInArrow(score, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rank_within_query(out, "similarity", k)
-
-
-def rank_within_query(rows: DataFrame, score: str, k: int, tie: str = "id") -> DataFrame:
-    """Rank by score, cut at k; Spark limits each task's groups before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), tie)
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-
-
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, reach: float = 2.0, bucket: float = 2.0, tables: int = 10, seed: int = 7) -> DataFrame:
-    """As ``knn_exact``, over candidates that share a random-projection bucket within Euclidean ``reach`` of unit vectors (|a-b|^2 = 2 - 2 cos).
-
-    The default reach of 2 cuts nothing off, so far neighbours are found too. Only rows that share a bucket in no table are missed.
-    """
-    unit = lambda df, name: Normalizer(inputCol="_v", outputCol="unit").transform(df.where(F.size("vector") > 0).select(F.col(name), array_to_vector("vector").alias("_v"))).drop("_v")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit(corpus, "id"))
-    pairs = model.approxSimilarityJoin(unit(queries, "query_id"), unit(corpus, "id"), reach, "distance")
-    found = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("similarity"))
-    return rank_within_query(found, "similarity", k)
+from groundwork.operators.neighbours import MOST_BYTES, knn_approx, knn_exact, rank_within_query  # noqa: F401  (part of this surface)
 
 
 def at_threshold(rows: DataFrame, score: str, threshold: float) -> DataFrame:

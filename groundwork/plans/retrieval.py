@@ -44,6 +44,13 @@ def knn_approx(spark, sf):
     return retrieval.knn_approx(queries, data, K)
 
 
+@query(f"SELECT query_id, id, similarity, rank FROM ({top(K)})")
+def knn_cells(spark, sf):
+    """The inverted file with every cell that the triangle inequality leaves: the exact rows."""
+    queries, data = vectors(spark, sf)
+    return retrieval.knn_approx(queries, data, K, exact=True)
+
+
 @query(f"SELECT query_id, id, similarity, rank FROM ({top(40)}) WHERE similarity >= 0.3")
 def similarity_threshold(spark, sf):
     return retrieval.at_threshold(found(spark, sf, 40), "similarity", 0.3)

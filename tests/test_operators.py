@@ -71,22 +71,6 @@ def test_contract_checks(spark):
     assert got == [(True, True, True), (False, False, False), (False, True, True), (True, True, True), (False, False, True)]
 
 
-def test_best_scores_by_tiles(spark, vectors, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    sims = np.round(rng.normal(size=(30, 50)), 1)
-    row, column, score = retrieval._best(sims, 4)
-    for i in range(30):
-        want = sorted(range(50), key=lambda j: (-sims[i, j], j))[:4]
-        assert column[row == i].tolist() == want and score[row == i].tolist() == sims[i, want].tolist()
-    df, _ = vectors
-    queries = df.where("id % 3 = 0").select(F.col("id").alias("query_id"), "vector")
-    whole = sorted(map(tuple, retrieval.knn_exact(queries, df, 5).collect()))
-    monkeypatch.setattr(retrieval, "TILE", 700)
-    assert sorted(map(tuple, retrieval.knn_exact(queries, df, 5, most_bytes=4000).collect())) == whole
-
-
 def test_embeddings_of_repeated_and_null_texts(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, ""), (5, "c")], "id long, text string")
     got = {r.id: list(r.vector) for r in retrieval.embed_distinct(rows, "text", lambda t: retrieval.hashed_embedding(t, dims=8)).collect()}
@@ -98,44 +82,6 @@ def test_links(spark):
     assert [(r.title, r.url) for r in pages.extract_links(rows, "page_id", "html", F.lit("https://x.org")).collect()] == [("A", "https://x.org/standard-1"), ("FAS 2", "http://y.org/z")]
 
 
-@pytest.fixture(scope="module")
-def vectors(spark):
-    import numpy as np
-
-    data = np.random.default_rng(0).normal(size=(300, 16))
-    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<float>"), data
-
-
-def test_knn(spark, vectors):
-    import numpy as np
-
-    corpus_rows, data = vectors
-    queries = corpus_rows.where("id < 20").withColumnRenamed("id", "query_id")
-    unit = data.astype(np.float32).astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    sims = np.round(unit[:20] @ unit.T, 6)
-    want = {(q, int(i)) for q in range(20) for i in np.lexsort((np.arange(300), -sims[q]))[:4]}
-    for most in (1 << 20, 600):  # one block of queries, and several
-        got = retrieval.knn_exact(queries, corpus_rows, 4, most_bytes=most)
-        assert {(r.query_id, r.id) for r in got.collect()} == want
-    assert retrieval.knn_exact(queries, corpus_rows, 0).count() == 0
-    near = {(r.query_id, r.id) for r in retrieval.knn_approx(queries, corpus_rows, 4, reach=2.0, bucket=2.0, tables=10).collect()}
-    assert len(near & want) >= 0.9 * len(want)
-
-
-def test_knn_approx_finds_far_neighbours(spark):
-    from groundwork.plans import PLANS
-
-    sf = "/root/testdata/sf0.01"
-    want = {(r.query_id, r.id) for r in PLANS.QUERIES["knn_exact"](spark, sf).collect()}
-    got = {(r.query_id, r.id) for r in PLANS.QUERIES["knn_approx"](spark, sf).collect()}
-    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
-    rows = [(i, [float(i == j) for j in range(8)]) for i in range(8)]  # no two are nearer than cosine 0
-    corpus = spark.createDataFrame(rows, "id long, vector array<float>")
-    found = retrieval.knn_approx(corpus.withColumnRenamed("id", "query_id"), corpus, 3).groupBy("query_id").count().collect()
-    assert [r["count"] for r in found] == [3] * 8
-
-
 def test_threshold_and_fallback(spark):
     rows = spark.createDataFrame([(1, 10, 0.15), (1, 11, 0.1), (2, 10, 0.9), (2, 11, 0.2)], "query_id long, id long, similarity double")
     scored = retrieval.rescored(rows, F.lit(0), F.lit(False))
