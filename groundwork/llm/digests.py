@@ -8,7 +8,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,12 +144,11 @@ def next_in_order(docs: DataFrame, key: str) -> DataFrame:
     found = ranges.groupBy(F.spark_partition_id()).agg(F.max(place).alias("head")).collect()
     heads = sorted(tuple(r.head) for r in found)  # ascending: a row's range is that of the least head that is not below it
 
-    @F.pandas_udf("bucket int, head boolean")
-    def bucket(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
-        blank = keys.isna()
-        places = [(not none, None if none else k, ~h) for k, none, h in zip(keys.tolist(), blank.tolist(), hashes.tolist())]
+    @F.arrow_udf("bucket int, head boolean")
+    def bucket(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        places = [(k is not None, k, ~h) for k, h in zip(keys.to_pylist(), hashes.to_pylist())]
         at = [bisect.bisect_left(heads, p) for p in places]
-        return pd.DataFrame({"bucket": at, "head": [heads[i] == p for i, p in zip(at, places)]})
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([heads[i] == p for i, p in zip(at, places)])], names=["bucket", "head"])
 
     rows = hashed.withColumn("_in", bucket("_key", "_hash"))
     own = F.struct(F.col("_in.bucket").alias("bucket"), F.lit(0).alias("tail"))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import appended, written
 
 WHITE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
@@ -34,28 +31,25 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [measure(t) for t in pdf.pop("text")]
-        for name, values in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), zip(*rows) if rows else [()] * 5):
-            pdf[name] = list(values)
-        yield pdf
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+
+
+def _measured(texts: list[str | None]) -> dict[str, list]:
+    rows = [measure(t) for t in texts]
+    return {m.split()[0]: [r[i] for r in rows] for i, m in enumerate(MEASURES.split(", "))}
 
 
 def measure_documents(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
     """Key, host and the five measures of every whole text."""
-    kept = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), "text")
-    fields = [kept.schema["_key"], kept.schema["_host"]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInPandas(_measured, f"{schema}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return appended(docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), "text"), "text", _measured, MEASURES)
 
 
-def host_verdicts(docs: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(docs: DataFrame, *, max_rate: float | None = None) -> DataFrame:
     """Per host: documents, failures, the failure rate shrunk to the mean of all hosts, and whether it passes.
 
     ``docs`` has _host and _failed. The beta prior comes from the hosts' own rates by moments: mean m and variance v (over
     what binomial noise explains) give a strength m(1-m)/v - 1, so that hosts with few documents lean on the prior
-    and large ones on their own rate. Null hosts form a host of their own.
+    and large ones on their own rate. Null hosts form a host of their own. A host passes up to ``max_rate``, by default the rate of all documents, with 1e-9 for rounding.
     """
     hosts = docs.groupBy("_host").agg(F.count("*").alias("host_docs"), F.sum(F.col("_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
@@ -66,7 +60,7 @@ def host_verdicts(docs: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
     strength = F.least(F.greatest(F.col("_mean") * (1 - F.col("_mean")) / spread - 1, F.lit(1.0)), F.lit(1000.0))
     prior = prior.select("_mean", strength.alias("_strength"))
     shrunk = (F.col("host_failed") + F.col("_strength") * F.col("_mean")) / (F.col("host_docs") + F.col("_strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select("_host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_passes"))
+    return hosts.crossJoin(F.broadcast(prior)).select("_host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= (F.col("_mean") if max_rate is None else F.lit(max_rate)) + 1e-9).alias("host_passes"))
 
 
 def apply_host_rules(
@@ -78,14 +72,14 @@ def apply_host_rules(
     max_repeat_percent: int = 50,
     max_symbols_percent: int = 10,
     max_dup_lines: int = 3,
-    max_rate: float = 0.5,
+    max_rate: float | None = None,
 ) -> DataFrame:
     """Measures, base rule, host verdict and ``kept`` for every document.
 
     A document fails its own rules if it is short or repeats itself (the base rule), has over ``max_symbols_percent``
     symbols per 100 word characters, or more than ``max_dup_lines`` repeated lines. Failures are counted by host and
     the rates shrunk (``host_verdicts``). A base failure is never kept. Where the host passes, every other document is kept; where it
-    fails, only those that pass all rules themselves, so a clean document is never lost to its host.
+    fails (its rate is over ``max_rate``, by default that of all documents), only those that pass all rules themselves: a doubtful document is dropped with a bad host and kept with a good one, a clean one never lost.
 
     The prior is one row, so its broadcast is bounded; the host table is joined as Spark's measured sizes allow. Null text: no
     words, hence a base failure. Null or repeated keys and other columns change nothing. No rows: no rows.

@@ -55,8 +55,8 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft) AS bad FROM f GROUP BY source),
 p AS (SELECT sum(bad) / sum(n) AS mean, greatest(coalesce(var_samp(bad / n), 0) - sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) * avg(1 / n), 1e-6) AS spread FROM h),
 q AS (SELECT mean, least(greatest(mean * (1 - mean) / spread - 1, 1), 1000) AS strength FROM p),
-v AS (SELECT source, (bad + strength * mean) / (n + strength) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (rate <= 0.5 OR NOT soft) AS kept, round(rate, 9) AS host_rate
+v AS (SELECT source, (bad + strength * mean) / (n + strength) AS rate, mean FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (rate <= mean + 1e-9 OR NOT soft) AS kept, round(rate, 9) AS host_rate
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 

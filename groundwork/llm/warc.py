@@ -19,6 +19,7 @@ from .common import shared_dir
 
 CRLF, END, MEMBER = b"\r\n", b"\r\n\r\n", b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+_WHOLE = re.compile(r"[0-9]{1,18}")
 _CLEAN = r"[\r\n]+"
 
 
@@ -183,8 +184,10 @@ def _record(run: bytes, at: int) -> tuple[tuple[dict[str, str], bytes, int] | No
         if not colon:
             return None, "a header has no colon"
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isdigit():
+    if not _WHOLE.fullmatch(headers.get("content-length", "")):
         return None, "no length"
+    if headers.get("warc-type") == "revisit" and not _WHOLE.fullmatch(headers.get("x-payload-length", "0")):
+        return None, "payload length is no number"
     start = head + len(END)
     end = start + int(headers["content-length"])
     if run[end : end + 4] != END:
@@ -197,11 +200,20 @@ def _record(run: bytes, at: int) -> tuple[tuple[dict[str, str], bytes, int] | No
 
 
 def salvage_archive(data: bytes) -> Salvage:
+    """What an archive holds."""
     out = Salvage()
+    for found in _salvaged(data):
+        out.records += found.records
+        out.gaps += found.gaps
+    return out
+
+
+def _salvaged(data: bytes) -> Iterator[Salvage]:
+    """The same, plain run after plain run."""
     for run, gaps in unpack(data):
-        out.gaps += gaps
+        out = Salvage(gaps=list(gaps))
         parse(run, out)
-    return out
+        yield out
 
 
 RECORDS = "path string, kind string, record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, at long, length long, reason string"
@@ -220,8 +232,8 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, rows, held = salvage_archive(data.as_py()), [], 0
-                for headers, block, at in found.records:
+                rows, held, gaps = [], 0, []
+                for headers, block, at in (r for found in _salvaged(data.as_py()) for r in (gaps.extend(found.gaps), found.records)[1]):
                     kind = headers.get("warc-type", "")
                     payload = block.partition(END)[2] if kind == "response" else block
                     size, digest = len(payload), hashlib.sha256(payload).hexdigest()
@@ -233,7 +245,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
                     if held > 1 << 24:
                         yield _batch(rows, names)
                         rows, held = [], 0
-                rows += [(name, "gap", None, None, None, None, None, None, None, at, n, why) for at, n, why in found.gaps]
+                rows += [(name, "gap", None, None, None, None, None, None, None, at, n, why) for at, n, why in gaps]
                 if rows:
                     yield _batch(rows, names)
 
@@ -263,9 +275,9 @@ def pages_read(spark: SparkSession, path: str, kind: DataType) -> DataFrame:
     """``round_trip``'s columns of the archives under ``path``."""
     rows = read_archives(spark, path, payloads=False)
     return rows.select(
-        F.col("record_id").cast(kind).alias("page_id"),
+        F.col("record_id").try_cast(kind).alias("page_id"),
         F.coalesce("payload_bytes", "length").alias("payload_bytes"),
         "payload_digest",
         F.coalesce("record_type", "kind").alias("record_type"),
-        F.col("refers_to").cast(kind).alias("refers_to"),
+        F.col("refers_to").try_cast(kind).alias("refers_to"),
     )

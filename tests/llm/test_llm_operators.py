@@ -47,6 +47,16 @@ def test_no_rows(name, odd):
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_large_keys_beside_null_ones_come_back(name, make):
+    ids = [2**62 + 7 * i for i in range(60)] + [2**53 + 1, 2**53, -(2**63) + 1]
+    rows = [(i, prose(k, 30 + k), "en", f"s{k % 3}") for k, i in enumerate(ids)] + [(None, prose(1, 30), "en", None), (None, None, "de", "s1")] + [(ids[0], prose(0, 30), "en", "s0")] * 2
+    out = [r.doc_id for r in OPERATORS[name](make(rows)).collect()]
+    assert set(out) == {None, *ids}
+    if name != "packing":
+        assert sorted(out, key=str) == sorted((r[0] for r in rows), key=str)
+
+
 def test_language_learns_and_rejects(make):
     rows = [(i, prose(i, 30), "x", "s") for i in range(60)] + [(100 + i, prose(i, 30).replace("a", "ø").replace("t", "þ"), "y", "s") for i in range(60)]
     rows += [(500, "12 34 !!", "x", "s"), (501, None, "y", "s")]
@@ -562,6 +572,15 @@ def test_hosts_are_judged_and_clean_documents_kept(make):
     assert not any(out[i].kept for i in [*range(100, 130), 202]) and out[202].base_failed
 
 
+def test_a_host_over_the_corpus_rate_loses_its_doubtful_documents(make):
+    clean, noisy = prose(1, 80), prose(2, 80).replace(" ", " ## ")
+    rows = [(i, noisy if i % 10 == 0 else clean, "en", "good") for i in range(50)] + [(100 + i, noisy if i % 2 else clean, "en", "bad") for i in range(50)]
+    kept = {r.doc_id: r.kept for r in quality.apply_host_rules(make(rows)).collect()}
+    assert all(kept[i] for i in range(50)) and all(kept[100 + i] == (i % 2 == 0) for i in range(50))
+    assert all(r.kept for r in quality.apply_host_rules(make(rows), max_rate=0.9).collect())
+    assert all(r.kept for r in quality.apply_host_rules(make([r for r in rows if r[3] == "bad"])).collect())  # one host is the corpus
+
+
 def fingerprint_by_force(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] if words else []

@@ -3,6 +3,10 @@
 import gzip
 import hashlib
 import random
+import re
+
+import numpy as np
+import pytest
 
 from groundwork.llm import warc
 
@@ -118,3 +122,31 @@ def test_gaps_come_as_rows(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"x" * 200) + b"garbage" + record(2, b"y" * 200))
     rows = {r.kind: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
     assert rows["gap"].length == 7 and bytes(rows["record"].payload)[:1] in (b"x", b"y")
+
+
+@pytest.mark.parametrize("name,value", [(b"Content-Length", "\u00b2"), (b"Content-Length", "-5"), (b"Content-Length", "9" * 40), (b"Content-Length", "999999999"), (b"Content-Length", "1x"), (b"X-Payload-Length", "1x"), (b"X-Payload-Length", "-1")])
+def test_headers_that_are_no_numbers_are_gaps(spark, tmp_path, name, value):
+    parts = [record(i, b"payload %d" % i) for i in range(3)]
+    bad = re.sub(rb"(?<=Content-Length: )[0-9]+", value.encode(), parts[1]) if name == b"Content-Length" else re.sub(rb"WARC-Type: \w+", b"WARC-Type: revisit\r\n" + name + b": " + value.encode(), parts[1])
+    assert bad != parts[1]
+    (tmp_path / "a.warc").write_bytes(parts[0] + bad + parts[2])
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows if r.kind == "record") == ["0", "2"] and [(r.at, r.length) for r in rows if r.kind == "gap"] == [(len(parts[0]), len(bad))]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_random_damage_never_raises_and_costs_only_its_records(packed):
+    rng = random.Random(7)
+    parts = [record(i, bytes(rng.randrange(256) for _ in range(rng.randrange(400)))) for i in range(6)]
+    if packed:
+        parts = [gzip.compress(p) for p in parts]
+    starts = np.cumsum([0, *map(len, parts)])
+    for _ in range(1000):
+        data = bytearray(b"".join(parts))
+        hit = set()
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(data))
+            data[at] = rng.randrange(256)
+            hit.add(str(int(np.searchsorted(starts, at, side="right") - 1)))
+        found = warc.salvage_archive(bytes(data))
+        assert {str(i) for i in range(6)} - hit <= {h.get("warc-record-id", "")[10:-1] for h, _, _ in found.records}
