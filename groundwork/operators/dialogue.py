@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ class Dialogue:
         return "clarifying", missing[0], missing
 
 
-STEPS = "session_id long, turn long, status string, state string, asks string, missing string, known string"
+STEPS = "status string, state string, asks string, missing string, known string"
 
 
 def _named(kind: str):
@@ -61,50 +61,38 @@ def with_facts(turns: DataFrame, operations=rules.OPERATIONS) -> DataFrame:
     )
     # facts are for the kind a turn names; a turn without one is read for every kind and filtered by the session's
     every = F.map_from_entries(F.flatten(F.array(*(F.transform(F.map_entries(rules.facts(F.col("text"), F.lit(k))), _named(k)) for k in rules.REQUIRED))))
-    return stated.select("session_id", "turn", "text", "kind", F.to_json(F.map_concat(number, every)).alias("facts"))
+    return stated.select("session_id", "turn", "text", "kind", F.coalesce(F.to_json(F.map_concat(number, every)), F.lit("{}")).alias("facts"))
 
 
-def _stepped(state: Dialogue, row, required, most_questions) -> tuple:
-    stated = json.loads(row.facts)
-    kind = row.kind if isinstance(row.kind, str) else None
+def stepped(state: Dialogue, kind: str | None, facts: str, text: str | None, required: Mapping[str, Sequence[str]], most_questions: int) -> tuple:
+    """The columns of ``STEPS`` after a turn, which moves ``state`` on. A null text says nothing."""
+    stated = json.loads(facts)
+    kind = kind if isinstance(kind, str) else None
     own = f"{kind or state.kind}|"
-    facts = {k.removeprefix(own): v for k, v in stated.items() if k.startswith(own)} | {k: v for k, v in stated.items() if k.startswith("answer:")}
+    known = {k.removeprefix(own): v for k, v in stated.items() if k.startswith(own)} | {k: v for k, v in stated.items() if k.startswith("answer:")}
     named = {f"answer:{v}": None for v in ("non_compliant_revenue_percent", "interest_rate", "principal_amount", "price")}
-    status, asks, missing = state.step(kind, named | facts, row.text, required, most_questions)
-    return int(row.session_id), int(row.turn), status, state.state, asks, json.dumps(missing), json.dumps(state.known, sort_keys=True, ensure_ascii=False)
+    status, asks, missing = state.step(kind, named | known, text if isinstance(text, str) else "", required, most_questions)
+    return status, state.state, asks, json.dumps(missing), json.dumps(state.known, sort_keys=True, ensure_ascii=False)
 
 
 def clarify(turns: DataFrame, *, operations=rules.OPERATIONS, required=rules.REQUIRED, most_questions: int = 2) -> DataFrame:
     """One row per user turn (session_id, turn, text): status, state, the one variable asked for, what is missing, what is known.
 
-    Turns are shuffled by session and read in order as a stream with one open state, so a session of any length needs constant memory.
+    Turns are shuffled by session and read in order as a stream with one open state, so a session of any length needs constant memory. Turns without a session form one session; null turns come first.
     """
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_facts(turns, operations).repartition(n, "session_id").sortWithinPartitions("session_id", "turn")
+    keys = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in ("session_id", "turn"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, Dialogue()
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), Dialogue()
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                if row.session_id != last:
-                    last, state = row.session_id, Dialogue()
-                out.append(_stepped(state, row, required, most_questions))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
-
-    return rows.mapInPandas(run, STEPS)
-
-
-def clarify_stream(turns: DataFrame, *, operations=rules.OPERATIONS, required=rules.REQUIRED, most_questions: int = 2) -> DataFrame:
-    """``clarify`` over a stream of turns that arrive in order within a session; the state is kept by Spark."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def run(key, batches, held):
-        state = Dialogue(**json.loads(held.get[0])) if held.exists else Dialogue()
-        rows = pd.concat(list(batches)).sort_values("turn")
-        out = [_stepped(state, row, required, most_questions) for row in rows.itertuples(index=False)]
-        held.update((json.dumps(asdict(state)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
-
-    rows = with_facts(turns, operations)
-    return rows.groupBy("session_id").applyInPandasWithState(run, STEPS, "state string", "append", GroupStateTimeout.NoTimeout)
+            for session, text, kind, facts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_id", "text", "kind", "facts"))):
+                if session != last:
+                    last, state = session, Dialogue()
+                out.append(stepped(state, kind, facts, text, required, most_questions))
+            made = [pa.array([r[i] for r in out], pa.string()) for i in range(len(STEPS.split(", ")))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["session_id", "turn", *(c.split()[0] for c in STEPS.split(", "))])
+
+    return rows.mapInArrow(run, f"{keys}, {STEPS}")

@@ -23,9 +23,15 @@ def stream(spark, sf, name) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else rows
 
 
-def finished(rows: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all there is and returns its rows: those of every batch in append mode, of the last one in complete mode."""
+def finished(rows: DataFrame, mode: str, idle_batches: bool = True) -> DataFrame:
+    """Runs a stream over all there is and returns its rows: those of every batch in append mode, of the last one in complete mode.
+
+    A stream whose state ends by the clock would go on for ever with batches without data, so it runs without these (``idle_batches``).
+    """
     spark = rows.sparkSession
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(idle_batches and before == "true").lower())
     out = fresh_folder(spark, "stream")
     schema = rows.schema
 
@@ -33,6 +39,7 @@ def finished(rows: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/v={number if mode == 'append' else 0}")
 
     held = rows.writeStream.outputMode(mode).option("checkpointLocation", fresh_folder(spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
+    spark.conf.set(setting, before)
     held.awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/v=*")
 
@@ -70,7 +77,7 @@ def stream_sessions(spark, sf):
 @query()
 def stream_clarification(spark, sf):
     users = stream(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", "text")
-    return finished(streams.clarify_stream(users, operations=rules.WORDS), "append")
+    return finished(streams.clarify_stream(users, operations=rules.WORDS), "append", idle_batches=False)
 
 
 @query("SELECT conv_id AS session_id, turn, text AS answer FROM conversations WHERE role = 'assistant'")
@@ -94,9 +101,7 @@ def incremental_ingest(spark, sf):
     rows = stream(spark, sf, "documents").select("doc_id", "text")
     out = fresh_folder(spark, "chunks")
     streams.incremental_upsert(rows, out, "chunk_id", "seq", fresh_folder(spark, "state"), prepare).trigger(availableNow=True).start().awaitTermination()
-    schema = prepare(table(spark, sf, "documents").limit(0)).drop("seq").schema
-    versions = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/v=*")
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    return streams.snapshot(spark, out, prepare(table(spark, sf, "documents").limit(0)).drop("seq").schema)
 
 
 # --- sinks, read back ----------------------------------------------------------------------------------------------

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from groundwork.operators.dialogue import clarify_stream  # noqa: F401  (part of this surface)
 from groundwork.operators.tables import upsert
-from groundwork.operators.traffic import seconds
-
-DELAY = "10 minutes"
+from groundwork.streaming.stateful import DELAY, cache_hits, clarify_stream, quota_anchored  # noqa: F401  (part of this surface)
 
 
 def request_metrics(events: DataFrame, path: str, failed: Column, latency: str, window: str | None = None, delay: str = DELAY) -> DataFrame:
@@ -31,35 +27,6 @@ def quota_aligned(events: DataFrame, key: str, limit: int, width: str = "1 hour"
     return n.select(key, F.col("window.start").alias("started"), "n", F.least("n", F.lit(limit)).alias("n_allowed"), F.greatest(F.col("n") - limit, F.lit(0)).alias("n_denied"))
 
 
-def _anchored(events: DataFrame, key: str, tie: str, width: float, extra: str, verdict, at: Column) -> DataFrame:
-    def run(group, batches, held):
-        start, turn = held.get if held.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["_at", tie])
-        out = []
-        for at, own in zip(rows["_at"], rows[tie]):
-            if start is None or at - start >= width:
-                start, turn = float(at), 0
-            turn += 1
-            out.append((group[0], own, *verdict(turn, start)))
-        held.update((start, turn))
-        yield pd.DataFrame(out, columns=[key, tie, *[c.split()[0] for c in extra.split(", ")]])
-
-    kind = lambda c: events.schema[c].dataType.simpleString()
-    rows = events.select(key, tie, at.alias("_at"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind(key)}, {tie} {kind(tie)}, {extra}", "start double, turn long", "append", GroupStateTimeout.NoTimeout)
-
-
-def quota_anchored(events: DataFrame, key: str, tie: str, limit: int, width: int) -> DataFrame:
-    """Allowed, remaining and reset_at per event; the open window (start, count) is the state, so events must arrive in order of time."""
-    return _anchored(events, key, tie, width, "allowed boolean, remaining long, reset_at long", lambda n, s: (n <= limit, max(limit - n, 0), int(s) + width), seconds(F.col("ts")).cast("double"))
-
-
-def cache_hits(events: DataFrame, key: str, tie: str, ttl: int) -> DataFrame:
-    """Hit or miss per read; a miss fills the cache for ``ttl`` seconds, a hit doesn't extend it."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
-    return _anchored(events, key, tie, ttl, "hit boolean, expires_at double", lambda n, s: (n > 1, round(s + ttl, 6)), at)
-
-
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
     """Sessions by idle gap, closed once the watermark passes."""
     rows = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"), F.max("ts").alias("ended"))
@@ -71,22 +38,48 @@ def append_to(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def incremental_upsert(rows: DataFrame, path: str, key: str, order: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataStreamWriter:
-    """Upserts each micro-batch, as ``prepare`` makes it of what arrived, into a snapshot table: versions are folders path/v=<batch>, and the newest is the table.
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket of a snapshot, by the names of its folders."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for s in (fs.globStatus(hadoop(f"{path}/v=*/bucket=*")) or []) if fs.exists(root) else []:
+        if fs.exists(hadoop(f"{path}/v={(v := int(s.getPath().getParent().getName()[2:]))}/_SUCCESS")):
+            found.setdefault(int(s.getPath().getName()[7:]), []).append(v)
+    return found
+
+
+def snapshot(spark: SparkSession, path: str, schema: StructType, before: int | None = None, only: Iterable[int] | None = None) -> DataFrame:
+    """The table that ``incremental_upsert`` keeps: the newest version (below ``before``) of every bucket (of ``only``)."""
+    newest = {b: max(v for v in own if before is None or v < before) for b, own in _versions(spark, path).items() if (only is None or b in only) and (before is None or min(own) < before)}
+    if not newest:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/v={v}/bucket={b}" for b, v in newest.items()))
+
+
+def incremental_upsert(rows: DataFrame, path: str, key: str, order: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch, buckets: int = 64) -> DataStreamWriter:
+    """Upserts each micro-batch, as ``prepare`` makes it of what arrived, into a snapshot (``snapshot``) of ``buckets`` buckets by a hash of the key.
 
-    A batch that runs again writes the same folder again, so restarts don't double rows. The version before the last one is deleted once a newer one is written.
+    A micro-batch reads and writes only the buckets that its keys fall into, as path/v=<batch>/bucket=<bucket>, where nothing is overwritten: a batch that runs again reads the versions before it and
+    writes its own anew, so restarts neither double nor lose rows, and readers see whole buckets. Versions before the last but one of a rewritten bucket are deleted.
     """
 
     def apply(arrived: DataFrame, number: int) -> None:
         batch = prepare(arrived)
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [int(s.getPath().getName().removeprefix("v=")) for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-        before = [v for v in found if v < number]
-        target = spark.read.parquet(f"{path}/v={max(before)}") if before else batch.drop(order).limit(0)
-        upsert(target, batch, key, order).write.mode("overwrite").parquet(f"{path}/v={number}")
-        for old in sorted(before)[:-1]:
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        if touched:
+            target = snapshot(spark, path, batch.drop(order).schema, number, touched)
+            new = upsert(target, batch, key, order).withColumn("bucket", bucket)
+            new.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/v={number}")
+        batch.unpersist()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        versions = _versions(spark, path) if touched else {}
+        for b in touched:
+            for v in sorted(v for v in versions[b] if v < number)[:-1]:
+                fs.delete(hadoop(f"{path}/v={v}/bucket={b}"), True)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
