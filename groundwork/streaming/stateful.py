@@ -115,7 +115,10 @@ class OpenDialogue(StatefulProcessor):
 
 
 def clarify_stream(turns: DataFrame, *, operations=rules.OPERATIONS, required=rules.REQUIRED, most_questions: int = 2, idle: int = 86_400_000) -> DataFrame:
-    """``dialogue.clarify`` over a stream of turns that arrive in order within a session; Spark keeps the state and drops it after ``idle`` milliseconds without a turn."""
+    """``dialogue.clarify`` over a stream of turns that arrive in order within a session; Spark keeps the state and drops it after ``idle`` milliseconds without a turn.
+
+    State that ends by the clock makes Spark run batches without data for ever: a run over what is there (trigger availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled off.
+    """
     turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     rows = with_facts(turns, operations).select(F.col("session_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("turn"), _sortable(turns, "turn").alias("place"), "text", "kind", "facts")
     out = rows.groupBy("session_id").transformWithStateInPandas(OpenDialogue(required, most_questions, idle), f"session_id string, turn string, {STEPS}", "append", "processingTime")

@@ -172,7 +172,12 @@ def test_dialogue_stream_equals_batch(spark, tmp_path):
     turns = spark.createDataFrame(INVESTMENT, "session_id long, turn long, text string")
     turns.write.parquet(str(tmp_path / "in"))
     stream = streams.clarify_stream(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")))
-    streams.append_to(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(setting, "false")  # else batches without data follow for ever, as the state ends by the clock
+    try:
+        streams.append_to(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(setting, "true")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, dialogue.clarify(turns).collect()))
 
 
