@@ -15,6 +15,7 @@ from groundwork.sources.shared import fresh_folder
 
 MOST_BYTES = 64 << 20  # of query vectors that are sent to every task at once
 BLOCK_BYTES = 1 << 20  # of the vectors of a block
+HELD_ROWS = 1 << 20  # candidates that a task keeps before it sends them on
 HELD_BYTES = 32 << 20  # of vectors that a task deals to cells at once
 BLOCK = "cell long, n long, ids binary, vectors binary"
 FOUND = "query_id long, id long, similarity double"
@@ -96,15 +97,30 @@ def blocks(rows: DataFrame, dims: int, cells: Callable[[np.ndarray], tuple[np.nd
 
 
 def scored(pairs: DataFrame, dims: int, k: int, width: int, other: int) -> DataFrame:
-    """(query_id, id, similarity): the k best of each pair of blocks for every query of the pair. ``width``, ``other``: bytes of a number of the queries' and the corpus's vectors."""
+    """(query_id, id, similarity): the k best of a task's pairs of blocks for every query. ``width``, ``other``: bytes of a number of the queries' and the corpus's vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def kept() -> list[np.ndarray]:
+            query, near, sims = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((near, -sims, query))
+            first = np.searchsorted(query[order], query[order])
+            order = order[np.arange(len(order)) - first < k]
+            return [query[order], near[order], sims[order]]
+
         for batch in batches:
             for q_ids, q_vectors, ids, vectors in zip(*(batch.column(i) for i in range(4))):
                 mine, theirs = np.frombuffer(q_ids.as_py(), dtype=np.int64), np.frombuffer(ids.as_py(), dtype=np.int64)
                 a, b = (unit(np.frombuffer(v.as_py(), dtype=f"f{w}").reshape(-1, dims)) for v, w in ((q_vectors, width), (vectors, other)))
                 query, near, sims = best(a @ b.T, k)
-                yield pa.RecordBatch.from_arrays([pa.array(mine[query]), pa.array(theirs[near]), pa.array(sims)], names=["query_id", "id", "similarity"])
+                held.append([mine[query], theirs[near], sims])
+            if held:
+                held = [kept()]
+                if len(held[0][0]) >= HELD_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["query_id", "id", "similarity"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["query_id", "id", "similarity"])
 
     return pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, FOUND)
 
