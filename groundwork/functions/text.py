@@ -93,10 +93,10 @@ def clean_page_text(text: Column, headers: Sequence[str] = (r"^Financial Account
     out = F.regexp_replace(text, r"(?m)^\d+\s*$", "")
     for header in headers:
         out = F.regexp_replace(out, f"(?m){header}", "")
-    out = F.regexp_replace(out, r"(\w+)-\s*\n\s*(\w+)", "$1$2")
+    out = F.regexp_replace(out, r"(?<!\w)(\w++)-(?=[^\S\n]*+\n)\s++(\w+)", "$1$2")  # a word is tried at its start only, so long ones take linear time
     out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), " {2,}", " ")
     out = F.replace(F.replace(out, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.regexp_replace(out, r"^\s+|(?<!\s)\s++$", "")
 
 
 SECTION_LINE = r"^(\d+\.?\d*\.?\d*)\s+([A-Z][^\n]+)$"

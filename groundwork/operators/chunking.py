@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 
@@ -94,6 +95,17 @@ def chunk_recursive(docs: DataFrame, key: str, size: int = 512, overlap: int = 5
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, chunk_index int, start int, stop int, text string")
 
 
+def register_chunker(spark: SparkSession, name: str = "chunk_text", separators: Sequence[str] = SEPARATORS) -> None:
+    """Makes ``split_text`` a table function for SQL: ``FROM docs, LATERAL chunk_text(text, size, overlap)`` gives (chunk_index, start, stop, text). A null or empty text gives no rows."""
+
+    class Chunks:
+        def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
+            for k, (a, b) in enumerate(split_text(text or "", size, overlap, separators)):
+                yield k, a, b, text[a:b]
+
+    spark.udtf.register(name, udtf(Chunks, returnType="chunk_index int, start int, stop int, text string"))
+
+
 def chunk_sections(docs: DataFrame, key: str, heading: str, *, size: int = 2048, overlap: int = 200, least: int = 50, most: int = 512, separators: Sequence[str] = SEPARATORS) -> DataFrame:
     """(key, section, title, chunk_index, total_chunks, token_count, text): sections cut by ``split_text``, chunks of under ``least`` tokens dropped, the rest numbered per document.
 

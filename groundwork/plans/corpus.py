@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
 from groundwork.operators import chunking, pages, tables
 from groundwork.sources import corpus
+from groundwork.sources.shared import fresh_folder
 
 from .registry import query, table
 
@@ -147,11 +150,35 @@ def chunk_fixed(spark, sf):
     return fixed_chunks(spark, sf)
 
 
-@query()
+def _chunks_sql(size: int, overlap: int) -> str:
+    """``split_text`` as a recursive query: a row of it is a chunk, and the next one's start and stop follow from its own."""
+    quoted = [(x, "'" + x.replace("\n", "' || chr(10) || '") + "'", re.escape(x).replace("\\\n", r"\n").replace("\\ ", " ")) for x in chunking.SEPARATORS if x]
+    cut = " ".join(f"WHEN contains(part, {q}) THEN start + {overlap + 1} + length(regexp_extract(part, '(?s)^(.*){p}', 1)) + {len(x)}" for x, q, p in quoted)
+    stop = f"CASE WHEN start + {size} >= n THEN n {cut} ELSE start + {size} END::INT AS stop"
+    part = f"substr(text, start + {overlap + 2}, {size - overlap - 1}) AS part"
+    begin = ""
+    for x, q, _ in quoted:
+        lo = f"greatest(0, back - {len(x)})"
+        place = f"instr(substr(text, {lo} + 1, stop - {lo}), {q})"
+        begin += f" WHEN {place} > 0 AND {lo} + {place} - 1 + {len(x)} BETWEEN back AND stop - 1 THEN {lo} + {place} - 1 + {len(x)}"
+    return f"""WITH RECURSIVE c AS (SELECT doc_id, text, n, chunk_index, start, {stop} FROM (SELECT *, {part} FROM (SELECT doc_id, text, length(text)::INT AS n, 0 AS chunk_index, 0 AS start FROM documents WHERE text <> ''))
+UNION ALL SELECT doc_id, text, n, chunk_index, start, {stop} FROM (SELECT *, {part} FROM (SELECT doc_id, text, n, chunk_index + 1 AS chunk_index, (CASE{begin} ELSE stop END)::INT AS start
+FROM (SELECT *, greatest(start + 1, stop - {overlap}) AS back FROM c WHERE stop < n))))
+SELECT doc_id, chunk_index, start, stop, substr(text, start + 1, stop - start) AS text FROM c"""
+
+
+@query(_chunks_sql(512, 50))
 def chunk_recursive(spark, sf):
     return chunking.chunk_recursive(table(spark, sf, "documents"), "doc_id")
 
 
+@query(_chunks_sql(400, 80))
+def chunk_lateral(spark, sf):
+    """The same cut as a table function, in SQL."""
+    chunking.register_chunker(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk_text(d.text, 400, 80) c", docs=table(spark, sf, "documents"))
+
+
 @query()
 def chunk_sections(spark, sf):
     return chunking.chunk_sections(table(spark, sf, "documents"), "doc_id", r"^[^.]{1,60}\.$")
@@ -339,12 +366,18 @@ def first_line_title(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.first_line_title(F.col("text")).alias("title"))
 
 
-@query("""SELECT doc_id, 'std_' || doc_id || '_' || lang || '_' || source || '_paper.md' AS file_name, '---' || chr(10) || 'title: "' || source || ' paper"' || chr(10) || 'number: "' || doc_id || '"' || chr(10)
-|| 'language: "' || lang || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || ' paper' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || '*End of document*' || chr(10) AS content FROM documents""")
+_MARKDOWN = """SELECT 'std_' || doc_id || '_' || lang || '_' || source || '_paper.md' AS file_name, '---' || chr(10) || 'title: "' || source || ' paper"' || chr(10) || 'number: "' || doc_id || '"' || chr(10)
+|| 'language: "' || lang || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || ' paper' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || '*End of document*' || chr(10) AS content FROM documents"""
+
+
+@query(f"SELECT file_name, max(coalesce(content, '')) AS content FROM ({_MARKDOWN}) WHERE file_name IS NOT NULL GROUP BY 1")
 def write_markdown(spark, sf):
+    """Written as files by the tasks and read back from them."""
     d = table(spark, sf, "documents")
     name, content = corpus.markdown_document(F.col("doc_id").cast("string"), F.col("lang"), F.concat(F.col("source"), F.lit(" paper")), F.col("text"), "std")
-    return d.select("doc_id", name.alias("file_name"), content.alias("content"))
+    out = fresh_folder(spark, "markdown")
+    corpus.write_markdown(d.select(name.alias("file_name"), content.alias("content")), out)
+    return spark.read.format("text_files").load(out).select("file_name", F.col("text").alias("content"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS logged FROM conversations")

@@ -8,6 +8,7 @@ from groundwork.functions import citations as C
 from groundwork.operators import grounding as G
 from groundwork.operators import tables
 from groundwork.sources import corpus
+from groundwork.sources.shared import fresh_folder
 
 from .registry import query, table
 
@@ -177,10 +178,19 @@ def requests(spark, sf):
     )
 
 
-@query(f"""SELECT a.answer_id AS request_id, conv_id AS session_id, 'q' AS query, answer, coalesce(s, '[]') AS citations, '{{"n":"' || n_citations || '"}}' AS metadata FROM ({_COUNTED}) a
+_STATUS = """CASE WHEN contains(upper(answer), 'INSUFFICIENT') OR n_citations = 0 THEN 'INSUFFICIENT_DATA' WHEN contains(upper(answer), 'NON-COMPLIANT') THEN 'NON_COMPLIANT'
+WHEN contains(upper(answer), 'COMPLIANT') THEN 'COMPLIANT' ELSE 'INSUFFICIENT_DATA' END"""
+
+
+@query(f"""SELECT a.answer_id AS request_id, conv_id AS session_id, 'q' AS query, {_STATUS} AS status, answer, coalesce(s, '[]') AS citations, '{{"n":"' || n_citations || '"}}' AS metadata, 36 AS id_length, true AS timed FROM ({_COUNTED}) a
 LEFT JOIN (SELECT answer_id, '[' || string_agg('"' || standard || '"', ',' ORDER BY standard) || ']' AS s FROM ({_CITED}) GROUP BY 1) USING (answer_id)""")
 def audit_append(spark, sf):
-    return corpus.audit_rows(requests(spark, sf)).drop("audit_id", "created_at", "status")
+    """Appended to a table in two batches and read back."""
+    out, rows = fresh_folder(spark, "audit"), requests(spark, sf)
+    for failed in (False, True):
+        corpus.append(corpus.audit_rows(rows.where(F.col("error").isNotNull() == F.lit(failed))), out)
+    back = spark.read.schema(corpus.audit_rows(rows).schema).parquet(out)
+    return back.withColumns({"id_length": F.length("audit_id"), "timed": F.col("created_at").isNotNull()}).drop("audit_id", "created_at")
 
 
 @query(f"""SELECT request_id, (row_number() OVER (PARTITION BY request_id ORDER BY k, standard) - 1)::INT AS seq, event FROM (

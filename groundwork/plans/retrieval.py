@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.operators import evaluation, retrieval
+from groundwork.operators import embedding, evaluation, retrieval
 
 from .registry import query, table
 
@@ -100,6 +100,18 @@ def embed_distinct_join(spark, sf):
     return retrieval.embed_distinct(d, "text", lambda t: retrieval.hashed_embedding(t, dims=64)).select("doc_id", "vector")
 
 
+_LETTERS = ", ".join(f"length(text) - length(replace(text, '{chr(97 + i)}', ''))" for i in range(26))
+_WEIGHTED = "list_transform(range(8), lambda j: list_sum(list_transform(range(26), lambda i: n[i + 1] * ((i * 7 + j * 3) % 5 - 2))))"
+
+
+@query(f"""WITH v AS (SELECT doc_id, text, {_WEIGHTED} AS v FROM (SELECT doc_id, text, [{_LETTERS}] AS n FROM documents)), s AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))::DOUBLE) AS norm FROM v)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::FLOAT[] ELSE list_transform(v, lambda x: (x / CASE WHEN norm = 0 THEN 1 ELSE norm END)::FLOAT) END AS vector FROM s""")
+def embed(spark, sf):
+    """Every distinct text goes through a model once."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return retrieval.embed_distinct(d, "text", embedding.embedder(embedding.letter_model(8), dims=8)).select("doc_id", "vector")
+
+
 # --- terms ---------------------------------------------------------------------------------------------------------
 LEXICON = [("the", ["teh", "article"]), ("de", ["von"]), ("of the", ["of-the"]), ("und", ["and", "sowie"])]
 

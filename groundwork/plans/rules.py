@@ -89,27 +89,35 @@ def stated(spark, sf):
     return c.select("conv_id", "turn", F.concat(head, F.col("text")).alias("text"))
 
 
-@query("SELECT conv_id, turn, (conv_id % 30 + 0.5)::DOUBLE AS share FROM conversations")
+_STATED = """(SELECT conv_id, turn, 'Price is USD ' || format('{:,}', conv_id * 1037 + turn) || ' at ' || conv_id % 30 || '.5% over ' || conv_id % 48 + 1 || ' months, bank buys a '
+|| CASE WHEN conv_id % 2 = 0 THEN 'red car' ELSE 'house' END || ' and sells it. ' || text AS text FROM conversations)"""
+_SHARE = r"regexp_extract(text, '([0-9]+(\.[0-9]+)?)[ ]*(%|percent)', 1)::DOUBLE"
+_AMOUNT = "replace(regexp_extract(text, 'USD ([0-9,]+)', 1), ',', '')::DOUBLE"
+_MONTHS = "regexp_extract(text, '([0-9]+)[ ]*months?', 1)::INT"
+_ITEM = "regexp_extract(text, 'buys (a |an |the )?([a-z -]+?) and', 2)"
+
+
+@query(f"SELECT conv_id, turn, {_SHARE} AS share FROM {_STATED}")
 def extract_percent(spark, sf):
     return stated(spark, sf).select("conv_id", "turn", rules.percent(F.col("text")).alias("share"))
 
 
-@query("SELECT conv_id, turn, (conv_id * 1037 + turn)::DOUBLE AS amount FROM conversations")
+@query(f"SELECT conv_id, turn, {_AMOUNT} AS amount FROM {_STATED}")
 def extract_amount(spark, sf):
     return stated(spark, sf).select("conv_id", "turn", rules.amount(F.col("text")).alias("amount"))
 
 
-@query("SELECT conv_id, turn, (conv_id % 48 + 1)::INT AS months FROM conversations")
+@query(f"SELECT conv_id, turn, {_MONTHS} AS months FROM {_STATED}")
 def extract_months(spark, sf):
     return stated(spark, sf).select("conv_id", "turn", rules.months(F.col("text")).alias("months"))
 
 
-@query("SELECT conv_id, turn, (conv_id * 1037 + turn)::DOUBLE AS price FROM conversations")
+@query(f"SELECT conv_id, turn, {_AMOUNT} AS price FROM {_STATED}")
 def extract_price(spark, sf):
     return stated(spark, sf).select("conv_id", "turn", rules.price(F.col("text")).alias("price"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'red car' ELSE 'house' END AS item FROM conversations")
+@query(f"SELECT conv_id, turn, {_ITEM} AS item FROM {_STATED}")
 def extract_item(spark, sf):
     return stated(spark, sf).select("conv_id", "turn", rules.item(F.col("text")).alias("item"))
 
@@ -122,9 +130,23 @@ def known(spark, sf):
 _LOAN = "conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'loan' ELSE 'purchase' END AS kind"
 
 
-@query(f"SELECT {_LOAN}, CASE WHEN turn % 2 = 0 THEN 'interest_rate,operation_type,principal_amount,term_months' ELSE 'delivery_terms,item_type,operation_type,price' END AS names FROM conversations")
+_FACTS = {
+    "operation_type": ("string", "kind"),
+    "principal_amount": ("double", f"CASE WHEN kind = 'loan' THEN {_AMOUNT} END"),
+    "interest_rate": ("double", f"CASE WHEN kind = 'loan' THEN {_SHARE} END"),
+    "term_months": ("int", f"CASE WHEN kind = 'loan' THEN {_MONTHS} END"),
+    "item_type": ("string", f"CASE WHEN kind = 'purchase' THEN {_ITEM} END"),
+    "price": ("double", f"CASE WHEN kind = 'purchase' THEN {_AMOUNT} END"),
+    "delivery_terms": ("string", "CASE WHEN kind = 'purchase' AND contains(lower(text), 'bank buys') AND contains(lower(text), 'sells it') THEN trim(text) END"),
+}
+_NAMES = "CASE WHEN kind = 'loan' THEN 'interest_rate,operation_type,principal_amount,term_months' ELSE 'delivery_terms,item_type,operation_type,price' END AS names"
+
+
+@query(f"SELECT conv_id, turn, kind, {_NAMES}, {', '.join(f'{x} AS {name}' for name, (_, x) in _FACTS.items())} FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'loan' ELSE 'purchase' END AS kind FROM {_STATED})")
 def extract_variables(spark, sf):
-    return known(spark, sf).select("conv_id", "turn", "kind", F.array_join(F.array_sort(F.map_keys("facts")), ",").alias("names"))
+    """The names of all facts found, and the values of those that the text states."""
+    values = (F.col("facts")[name].cast(kind).alias(name) for name, (kind, _) in _FACTS.items())
+    return known(spark, sf).select("conv_id", "turn", "kind", F.array_join(F.array_sort(F.map_keys("facts")), ",").alias("names"), *values)
 
 
 @query(f"SELECT {_LOAN}, CASE WHEN turn % 2 = 0 THEN 'purpose' ELSE 'payment_terms' END AS missing FROM conversations")
@@ -159,11 +181,12 @@ def recent_history(spark, sf):
     return h.select("conv_id", F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], x["text"])), "|").alias("history"))
 
 
-@query(
-    """WITH p AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+_HISTORY = """WITH p AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM p WHERE role = 'user')
 SELECT conv_id, right(string_agg('User: ' || coalesce(text, '') || chr(10) || 'Assistant: ' || coalesce(reply, ''), chr(10) ORDER BY turn), 4000) AS text FROM u WHERE back <= 3 GROUP BY conv_id"""
-)
+
+
+@query(_HISTORY)
 def history_text(spark, sf):
     return history.history_text(turns(spark, sf), "conv_id", "turn")
 

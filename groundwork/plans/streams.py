@@ -130,22 +130,12 @@ def load_eval_cases(spark, sf):
     return corpus.load_eval_cases(spark, out).select("query", "answerable", F.array_join("expected", ",").alias("expected"))
 
 
-@query("SELECT 'standard_' || item_id || '_' || CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'ar' END || '_x.md' AS file_name, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'ar' END AS source_language, text || chr(10) AS text FROM benchmark")
+@query("""SELECT 'standard_' || doc_id || '_' || coalesce(lang, 'none') || '_x.md' AS file_name, lang AS source_language, max(coalesce(text, '')) AS text FROM documents WHERE lang IN ('en', 'fr') GROUP BY doc_id, lang""")
 def scan_corpus(spark, sf):
-    """Markdown files written from the benchmark table by Spark, renamed in the shared folder, and scanned with two files that don't belong."""
-    rows = table(spark, sf, "benchmark")
-    code = F.when(F.col("item_id") % 2 == 0, "en").otherwise("ar")
-    name = F.concat(F.lit("standard_"), F.col("item_id").cast("string"), F.lit("_"), code, F.lit("_x.md"))
-    rows = rows.select(name.alias("name"), F.col("text").alias("value")).unionByName(spark.createDataFrame([("INDEX.md", "x"), ("notes.md", "x")], "name string, value string"))
-    parts, out = fresh_folder(spark, "parts"), fresh_folder(spark, "files")
-    rows.write.partitionBy("name").text(parts)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(parts)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(out))
-    for folder in fs.listStatus(root):  # the benchmark is a fixed table of a few hundred passages
-        if folder.isDirectory():
-            for part in fs.listStatus(folder.getPath()):
-                if part.getPath().getName().startswith("part-"):
-                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{out}/{folder.getPath().getName().removeprefix('name=')}"))
-    return corpus.scan_corpus(spark, out, ("en", "ar")).select("file_name", "source_language", "text")
+    """All documents as files named by key and language, and two files that don't belong; the scan opens those in two languages."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("standard_"), F.col("doc_id").cast("string"), F.lit("_"), F.coalesce("lang", F.lit("none")), F.lit("_x.md"))
+    others = spark.createDataFrame([("INDEX.md", "x"), ("notes_en_.txt", "x")], "file_name string, content string")
+    out = fresh_folder(spark, "files")
+    corpus.write_markdown(d.select(name.alias("file_name"), F.col("text").alias("content")).unionByName(others), out)
+    return corpus.scan_corpus(spark, out, ("en", "fr"), known=("ar", "en", "fr")).select("file_name", "source_language", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,16 +10,20 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
 
+from .files import TextFiles
+
 EXCLUDED = ("INDEX.md", "CONVERSION_SUMMARY.md", ".gitkeep")
 EXPECTED_FIELDS = ("expected_chunk_ids", "expected_chunks", "required_source_ids", "expected_standards")
 
 
-def scan_corpus(spark: SparkSession, root: str, languages: Sequence[str], excluded: Sequence[str] = EXCLUDED) -> DataFrame:
-    """(path, file_name, source_language, text) of the Markdown files in the wanted languages. Sort by path where order matters."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    rows = rows.withColumn("source_language", T.language_by_file_name(F.col("file_name")))
-    return rows.where(~F.col("file_name").isin(*excluded) & F.col("source_language").isin(*languages))
+def scan_corpus(spark: SparkSession, root: str, languages: Sequence[str], excluded: Sequence[str] = EXCLUDED, known: Sequence[str] = ("ar", "en"), partitions: int = 64) -> DataFrame:
+    """(path, file_name, source_language, text) of the Markdown files in the wanted languages, of any depth. Sort by path where order matters.
+
+    Languages are told by the file name, among the codes ``known``; other files are not opened. An empty folder gives no rows.
+    """
+    spark.dataSource.register(TextFiles)
+    lists = {"languages": languages, "excluded": excluded, "known": known}
+    return spark.read.format("text_files").options(partitions=partitions, **{name: json.dumps(list(x)) for name, x in lists.items()}).load(root)
 
 
 def load_eval_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +55,17 @@ def markdown_document(number: Column, language: Column, title: Column, body: Col
     return name, F.concat(front, F.lit("\n\n"), body, F.lit("\n\n---\n*End of document*\n"))
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """``docs`` (file_name, content): one folder per file name, each with its text."""
-    docs.select("file_name", F.col("content").alias("value")).write.partitionBy("file_name").mode("overwrite").text(path)
+def write_markdown(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """``docs`` (file_name, content) as files of those names in ``buckets`` folders, in place of what is there.
+
+    Of rows with one name the greatest content stays; null names write nothing, null contents an empty file.
+    """
+    spark = docs.sparkSession
+    spark.dataSource.register(TextFiles)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    rows = docs.where(F.col("file_name").isNotNull()).groupBy("file_name").agg(F.max(F.coalesce("content", F.lit(""))).alias("content"))
+    rows.write.format("text_files").option("buckets", buckets).mode("append").save(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

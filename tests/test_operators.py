@@ -1,12 +1,14 @@
 """Operators on hand-made rows, after the facts of the fixtures."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from groundwork.functions import rules
-from groundwork.operators import chunking, dialogue, evaluation, grounding, history, pages, retrieval, tables, traffic
+from groundwork.functions import text as T
+from groundwork.operators import chunking, dialogue, embedding, evaluation, grounding, history, pages, retrieval, tables, traffic
 from groundwork.sources import corpus
 from groundwork.streaming import streams
 
@@ -213,9 +215,55 @@ def test_answer_events(spark):
 
 
 def test_markdown_sink(spark, tmp_path):
-    docs = spark.createDataFrame([("a.md", "x\ny")], "file_name string, content string")
-    corpus.write_markdown(docs, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).where("value = 'x'").first().file_name == "a.md"
+    rows = [("a_en_.md", "x\ny\n"), ("a_en_.md", "w"), ("b_ar.md", None), (None, "lost"), ("c_en_ü.md", "é" * 70000), (".hidden", "no")]
+    docs = spark.createDataFrame(rows, "file_name string, content string")
+    for _ in range(2):  # the second write takes the place of the first
+        corpus.write_markdown(docs.where("file_name is null or file_name <> '.hidden'"), f"file://{tmp_path}/md", buckets=2)
+    found = {p.name: p.read_text() for p in (tmp_path / "md").rglob("*") if p.is_file()}
+    assert found == {"a_en_.md": "x\ny\n", "b_ar.md": "", "c_en_ü.md": "é" * 70000} and len(list((tmp_path / "md").iterdir())) <= 2
+    back = corpus.scan_corpus(spark, f"file://{tmp_path}/md", ("en",))
+    assert {(r.file_name, r.source_language, r.text) for r in back.collect()} == {("a_en_.md", "en", "x\ny\n"), ("c_en_ü.md", "en", "é" * 70000)}
+    assert back.where(F.col("source_language") != T.language_by_file_name(F.col("file_name"))).count() == 0
+    assert spark.read.text(back.where("file_name = 'a_en_.md'").first().path, wholetext=True).first().value == "x\ny\n"
+    with pytest.raises(Exception, match="not a file name"):
+        corpus.write_markdown(docs, str(tmp_path / "bad"))
+    corpus.write_markdown(docs.limit(0), str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert corpus.scan_corpus(spark, str(tmp_path / "empty"), ("en",)).count() == 0
+
+
+def test_files_that_do_not_belong_are_not_opened(spark, tmp_path):
+    (tmp_path / "a_en_.md").write_bytes(b"x\xffy")
+    (tmp_path / "b_ar_.md").write_text("x")
+    (tmp_path / "b_ar_.md").chmod(0)
+    (tmp_path / "c_en_.md.gone").symlink_to(tmp_path / "nowhere")
+    assert [r.text for r in corpus.scan_corpus(spark, str(tmp_path), ("en",)).collect()] == ["x\ufffdy"]
+
+
+def test_embedder_loads_once_and_calls_in_batches(spark, tmp_path):
+    def load():
+        (tmp_path / f"load-{uuid.uuid4().hex}").touch()
+
+        def model(texts):
+            (tmp_path / f"call-{len(texts)}-{uuid.uuid4().hex}").touch()
+            return [[len(t), 3.0] for t in texts]
+
+        return model
+
+    rows = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(100)] + [(100, None)], "id long, text string").repartition(1)
+    got = {r.id: list(r.vector) for r in embedding.embedder(load, dims=2, batch_size=8)(rows).collect()}
+    assert got[4] == pytest.approx([0.8, 0.6]) and got[0] == [] and got[100] == [] and len(got) == 101
+    calls = [int(p.name.split("-")[1]) for p in tmp_path.glob("call-*")]
+    assert max(calls) == 8 and sum(calls) == 101 and len(list(tmp_path.glob("load-*"))) == 1
+    with pytest.raises(Exception, match="dimensions"):
+        embedding.embedder(load, dims=3)(rows).collect()
+
+
+def test_table_function_cuts_as_the_operator(spark):
+    docs = spark.createDataFrame([(1, "One two. Three; four, five\n\nsix " * 30), (2, None), (3, ""), (4, "ab")], "doc_id long, text string")
+    chunking.register_chunker(spark)
+    lateral = spark.sql("SELECT d.doc_id, c.* FROM {d} d, LATERAL chunk_text(d.text, 90, 20) c", d=docs)
+    assert sorted(map(tuple, lateral.collect())) == sorted(map(tuple, chunking.chunk_recursive(docs, "doc_id", 90, 20).collect()))
 
 
 def test_missing_facts(spark):

@@ -1,5 +1,7 @@
 """Column functions on hand-made rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def test_clean_page_text(spark):
     assert one(spark, T.clean_page_text(F.col("t")), t="12\nFinancial Accounting Standard 7\nThe con-\n tract  is\n\n\n\nﬁne ﬂow ") == "The contract is\n\nfine flow"
 
 
+def test_clean_page_text_takes_linear_time(spark):
+    text = F.concat(F.repeat(F.lit("a"), 300_000), F.lit("-\n \n"), F.repeat(F.lit("b"), 300_000), F.repeat(F.lit(" \t"), 150_000), F.lit("c-\n- d-"), F.repeat(F.lit("\n"), 100_000), F.lit("."))
+    out = spark.range(1).select(T.clean_page_text(text).alias("x")).first().x
+    assert out.startswith("a" * 300_000 + "b" * 300_000) and out.endswith("c-\n- d-\n\n.")
+
+
+def test_words_are_joined_as_in_one_pass(spark):
+    for text in ("ab-\ncd-\nef", "a-\n\n b- \t\nc- d -\ne", "-\nx y-\n", "x--\ny"):
+        assert one(spark, T.clean_page_text(F.col("t")), t=text) == re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", text).strip()
+
+
 def test_headings_and_markdown(spark):
     text = "A STANDARD OF TRADE\n1. Scope\nbody\n1.1 Terms\n1.1.1 More\nALL CAPS LINE\n"
     assert one(spark, T.title_line(F.col("t")), t=text) == "A STANDARD OF TRADE"
