@@ -162,8 +162,12 @@ def definition_answer(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", C.definition_answer(F.col("text"), mark).alias("answer"))
 
 
-@query(f"""SELECT answer_id, string_agg('[' || rank || '] ' || standard || CASE WHEN section IS NOT NULL THEN ' §' || section ELSE '' END || ' (score: ' || format('{{:.2f}}', score) || ')' || chr(10) || text,
-chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ({_CHUNKS}) GROUP BY answer_id""")
+def prompt_context_sql(chunks: str) -> str:
+    return f"""SELECT answer_id, string_agg('[' || rank || '] ' || standard || CASE WHEN section IS NOT NULL THEN ' §' || section ELSE '' END || ' (score: ' || format('{{:.2f}}', score) || ')' || chr(10) || text,
+chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ({chunks}) GROUP BY answer_id"""
+
+
+@query(prompt_context_sql(_CHUNKS))
 def prompt_context(spark, sf):
     return G.prompt_context(chunks(spark, sf))
 
