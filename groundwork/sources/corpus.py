@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
+from groundwork.operators.scans import written
 
 from .files import TextFiles
 
@@ -58,14 +59,16 @@ def markdown_document(number: Column, language: Column, title: Column, body: Col
 def write_markdown(docs: DataFrame, path: str, buckets: int = 64) -> None:
     """``docs`` (file_name, content) as files of those names in ``buckets`` folders, in place of what is there.
 
-    Of rows with one name the greatest content stays; null names write nothing, null contents an empty file.
+    Of rows with one name the greatest content stays; null names write nothing, null contents an empty file. Names are counted first, so that only contents of repeated names are shuffled.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TextFiles)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    rows = docs.where(F.col("file_name").isNotNull()).groupBy("file_name").agg(F.max(F.coalesce("content", F.lit(""))).alias("content"))
-    rows.write.format("text_files").option("buckets", buckets).mode("append").save(path)
+    rows = docs.where(F.col("file_name").isNotNull()).select("file_name", F.coalesce("content", F.lit("")).alias("content"))
+    repeated = written(rows.groupBy("file_name").agg(F.count("*").alias("n")).where("n > 1").select("file_name"), "names")
+    several = rows.join(repeated, "file_name", "left_semi").groupBy("file_name").agg(F.max("content").alias("content"))
+    rows.join(repeated, "file_name", "left_anti").unionByName(several).write.format("text_files").option("buckets", buckets).mode("append").save(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
