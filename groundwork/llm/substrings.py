@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import partitions
 from .suffixes import repeated_starts
 
-GRAM, CHUNK, SHARD = 20, 1 << 18, 1 << 20
+GRAM, CHUNK, SHARD = 20, 1 << 18, 4 << 20
 LARGE, BUCKETS = 32 << 20, 64  # bytes of one anchor's pieces from which they are split, and into how many files
 PLACE = np.uint64((1 << 21) - 1)  # a chunk has fewer bytes
 NO_KEY = -(1 << 63)
@@ -279,7 +279,7 @@ def cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(left), len(spans)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 192 << 20, large: int = LARGE, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", budget: int = 8 << 20, large: int = LARGE, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes from every whole text, as UTF-8 bytes, each byte covered by a ``length``-byte string that also starts earlier: at a smaller key,
     or in the same document before.
 

@@ -27,7 +27,7 @@ class Space:
         if n * np.dtype(dtype).itemsize <= self.budget // 16:
             return np.zeros(n, dtype=dtype)
         with tempfile.TemporaryFile() as f:
-            return np.memmap(f, dtype=dtype, mode="w+", shape=(n,))
+            return np.asarray(np.memmap(f, dtype=dtype, mode="w+", shape=(n,)))
 
     def blocks(self, n: int) -> Iterator[tuple[int, int]]:
         return ((at, min(at + self.block, n)) for at in range(0, n, self.block))
@@ -235,31 +235,45 @@ class Scan:
             first = False
 
     def _range(self, r: int) -> None:
-        """A range of symbols, sorted in memory. All tuples up to the least symbol that the range induces in itself are final, as what it induces comes after them."""
+        """A range of symbols, sorted in memory. All tuples up to the least symbol that they induce in the range itself are final, as what it induces comes after
+        them; so are looked at only the next few, as many as were lately final at once, with what the range has induced in itself (``late``)."""
         mine, theirs = list(self.queue.take(r)), list(self.sources(r))
+        if not mine and not theirs:
+            return
         sign = -1 if self.want else 1
-        x = _joined(mine + theirs) if mine or theirs else None
         kind = np.repeat(np.array([0, 1], dtype=np.int8), [sum(len(c[0]) for c in part) for part in (mine, theirs)])
-        while x is not None and len(x[0]):
-            order = np.lexsort((kind, sign * x[2]))
-            x, kind = tuple(c[order] for c in x), kind[order]
-            position, seen, symbol = x
+        ready = (*_joined(mine + theirs), kind)
+        order = np.lexsort((kind, sign * ready[2]))
+        ready = tuple(c[order] for c in ready)
+        late, at, width = tuple(c[:0] for c in ready), 0, 1 << 10
+        while at < len(ready[0]) or len(late[0]):
+            if len(late[0]) > width:  # too many to be sorted again each time
+                ready, late, at = tuple(np.concatenate((c[at:], x)) for c, x in zip(ready, late)), tuple(c[:0] for c in late), 0
+                order = np.lexsort((ready[3], sign * ready[2]))
+                ready = tuple(c[order] for c in ready)
+            near = tuple(c[at : at + width] for c in ready)
+            n = len(near[0])
+            x = tuple(np.concatenate(c) for c in zip(near, late))
+            order = np.lexsort((x[3], sign * x[2]))
+            position, seen, symbol, kind = (c[order] for c in x)
             target = seen >> 1
             inside = (position > 0) & (seen & 1 == self.want) & (target >= self.level.cuts[r]) & (target < self.level.cuts[r + 1])
             final = len(position)
             if inside.any():
                 bound = (sign * target[inside]).min()
                 final = int(np.count_nonzero((sign * symbol < bound) | ((symbol == sign * bound) & (kind == 0))))
-            done = tuple(c[:final] for c in x)
+            if at + n < len(ready[0]):  # what comes after the last of these may come after others too
+                final = min(final, int(np.flatnonzero(order == n - 1)[0]) + 1)
+            done = (position[:final], seen[:final], symbol[:final])
             kept = kind[:final] == 0
             if kept.any():
                 self.found.push(r, tuple(c[kept] for c in done))
             self._induce(done)
-            new = list(self.queue.take(r))
-            n = sum(len(c[0]) for c in new)
-            left = len(position) - final
-            x = _joined([tuple(c[final:] for c in x), *new]) if left or n else None
-            kind = np.concatenate((kind[final:], np.zeros(n, dtype=np.int8)))
+            at += int(np.count_nonzero(order[:final] < n))
+            rest = np.sort(order[final:])
+            new = [(*c, np.zeros(len(c[0]), dtype=np.int8)) for c in self.queue.take(r)]
+            late = _joined([tuple(c[rest[rest >= n]] for c in x), *new])
+            width = min(max(2 * final, 1 << 8), self.level.space.block)
 
     def _induce(self, chunk: Columns) -> None:
         """Pushes the suffixes that begin one symbol earlier and have the wanted type, with the common prefixes that the tuples between two of a symbol leave them."""
@@ -422,7 +436,7 @@ def neighbours(text: np.ndarray, depth: int, space: Space) -> Iterator[tuple[np.
             after = lcp[-1]
 
 
-def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budget: int = 192 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def repeated_starts(pieces: Iterable[tuple[bytes, int, tuple]], depth: int, budget: int = 8 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """For pieces (bytes, starts, order): which of each one's first ``starts`` positions have their next ``depth`` bytes at an earlier position too.
 
     Positions are ordered by the pieces' ``order``, then by place. Yields (the piece's number, whether repeated) of pieces with a repeat. Texts, tuples and

@@ -190,6 +190,30 @@ def anonymous_bytes():
         return int(next(x for x in lines if x.startswith("Anonymous")).split()[1]) << 10
 
 
+def test_a_shard_of_the_registered_query_spills_and_recurses(monkeypatch):
+    """A quarter of a full shard, with the budget that the query has."""
+    seen = {"levels": 0, "spills": 0}
+
+    def counted(of, method, name):
+        own = getattr(of, method)
+        monkeypatch.setattr(of, method, lambda self, *a, **k: (seen.update({name: seen[name] + 1}), own(self, *a, **k))[1])
+
+    counted(suffixes.Level, "__init__", "levels")
+    counted(suffixes.Queue, "_spill", "spills")
+    rng, size = np.random.default_rng(5), substrings.SHARD // 4
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 9, 3000)]
+    data = b" ".join(words[i] for i in rng.integers(0, len(words), size // 5))
+    pieces = [data[at : at + 200] for at in range(0, min(len(data), size) - 200, 200)]
+    pieces += [pieces[i] for i in rng.integers(0, len(pieces), 50)]
+    got = {i: np.asarray(m).copy() for i, m in suffixes.repeated_starts(((p, len(p) - 99, (i,)) for i, p in enumerate(pieces)), 100)}
+    assert seen["levels"] > 1 and seen["spills"] > 0
+    known: set[bytes] = set()
+    for i, p in enumerate(pieces):
+        want = np.array([p[a : a + 100] in known for a in range(len(p) - 99)])
+        known.update(p[a : a + 100] for a in range(len(p) - 99))
+        assert (got.get(i, np.zeros(len(want), dtype=bool)) == want).all()
+
+
 def test_a_shard_of_ten_times_the_budget():
     budget, rng = 1 << 19, np.random.default_rng(3)
     pieces = [bytes(rng.integers(97, 101, 500, dtype=np.uint8)) for _ in range(11000)]
