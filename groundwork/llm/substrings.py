@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from .common import partitions
 from .suffixes import repeated_starts
 
-GRAM, CHUNK, SHARD = 20, 1 << 18, 4 << 20
-LARGE, BUCKETS = 32 << 20, 64  # bytes of one anchor's pieces from which they are split, and into how many files
+GRAM, CHUNK, SHARD = 20, 1 << 18, 1 << 20
+LARGE, BUCKETS = 8 << 20, 64  # bytes of one anchor's pieces from which they are split, and into how many files
 PLACE = np.uint64((1 << 21) - 1)  # a chunk has fewer bytes
 NO_KEY = -(1 << 63)
 ROWS = 1 << 18  # rows looked at together: with 31 bits of a start and 13 of its run they fit a long

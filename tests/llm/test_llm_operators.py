@@ -191,7 +191,7 @@ def anonymous_bytes():
 
 
 def test_a_shard_of_the_registered_query_spills_and_recurses(monkeypatch):
-    """A quarter of a full shard, with the budget that the query has."""
+    """A full shard, with the budget that the query has."""
     seen = {"levels": 0, "spills": 0}
 
     def counted(of, method, name):
@@ -200,7 +200,7 @@ def test_a_shard_of_the_registered_query_spills_and_recurses(monkeypatch):
 
     counted(suffixes.Level, "__init__", "levels")
     counted(suffixes.Queue, "_spill", "spills")
-    rng, size = np.random.default_rng(5), substrings.SHARD // 4
+    rng, size = np.random.default_rng(5), substrings.SHARD
     words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 9, 3000)]
     data = b" ".join(words[i] for i in rng.integers(0, len(words), size // 5))
     pieces = [data[at : at + 200] for at in range(0, min(len(data), size) - 200, 200)]
