@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import re
 
 from pyspark.sql import functions as F
@@ -20,13 +22,25 @@ LATIN_EXTRA = "[à-öø-ÿß]"
 # --- pages ---------------------------------------------------------------------------------------------------------
 _DROP = "html"
 for _tag in ("script", "style", "nav", "footer", "header"):
-    _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}[ >].*?</{_tag}>', chr(1), 'g')"
-_PLAIN = f"regexp_replace({_DROP}, '(?s)<[^>]*>|' || chr(1), chr(10), 'g')"
-for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _PLAIN = f"replace({_PLAIN}, '{_code}', '{_sign}')"
-
-
-@query(rf"""SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '') AS text FROM pages""")
+    _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}[ >].*?</{_tag}>', chr(10), 'g')"
+_PLAIN = f"regexp_replace({_DROP}, '(?s)<[^>]*>', chr(10), 'g')"
+# character references by the table of the HTML standard: names end with ; or, if they are old, without it; numbers that stand for another character or for none are in it as well
+_VALUES = html.entities.html5 | {f"#{n}": "" for n in html._invalid_codepoints} | {f"#{n}": sign for n, sign in html._invalid_charrefs.items()}
+_REFERENCES = ", ".join("('{}', '{}')".format(name, sign.replace("'", "''")) for name, sign in _VALUES.items())
+_OLD = "|".join(sorted((name for name in html.entities.html5 if name[-1] != ";"), key=len, reverse=True))
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"""WITH r(name, sign) AS (VALUES {_REFERENCES}), p AS (SELECT row_number() OVER () AS row, page_id, string_split({_PLAIN}, '&') AS parts FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)),
+x AS (SELECT row, page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM p),
+f AS (SELECT *, CASE WHEN n > 1 THEN regexp_extract(part, '^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)') ELSE '' END AS ref, CASE WHEN n > 1 THEN regexp_extract(part, '^(?:{_OLD})') ELSE '' END AS old FROM x),
+v AS (SELECT *, CASE WHEN ref[1:1] = '#' THEN coalesce(try_cast(CASE WHEN lower(ref[2:2]) = 'x' THEN '0x' || ltrim(rtrim(ref[3:], ';'), '0') ELSE ltrim(rtrim(ref[2:], ';'), '0') END AS BIGINT),
+CASE WHEN regexp_full_match(ref, '#[xX]?0+;?') THEN 0 ELSE 1114112 END) END AS code FROM f),
+d AS (SELECT v.*, CASE WHEN n = 1 THEN part WHEN s.name IS NOT NULL THEN s.sign || part[length(ref) + 1:] WHEN code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) || part[length(ref) + 1:]
+WHEN code IS NOT NULL THEN chr(CASE WHEN code > 1114111 OR code BETWEEN 55296 AND 57343 THEN 65533 ELSE code END::INT) || part[length(ref) + 1:] WHEN old <> '' THEN o.sign || part[length(old) + 1:] ELSE '&' || part END AS plain
+FROM v LEFT JOIN r s ON s.name = CASE WHEN code IS NULL THEN ref ELSE '#' || code END LEFT JOIN r o ON o.name = old)
+SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split(string_agg(plain, '' ORDER BY n), chr(10)), lambda x: regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g')), lambda x: x <> ''), chr(10)), '') AS text
+FROM d GROUP BY row, page_id""")
 def html_to_text(spark, sf):
     return pages.html_to_text(table(spark, sf, "pages"))
 
