@@ -15,8 +15,11 @@ from groundwork.sources.shared import fresh_folder
 
 MOST_BYTES = 64 << 20  # of query vectors that are sent to every task at once
 BLOCK_BYTES = 1 << 20  # of the vectors of a block
-HELD_ROWS = 1 << 20  # candidates that a task keeps before it sends them on
+HELD_ROWS = 1 << 20  # candidates: a task merges a quarter of these at a time, and sends on what is left where it is half of them
 HELD_BYTES = 32 << 20  # of vectors that a task deals to cells at once
+ASKED_BYTES = 128 << 10  # of query vectors that a task deals to the cells they probe
+SENT_BYTES = 8 << 20  # of blocks that a task makes before it sends them on
+NUMBERS = 1 << 20  # of a matrix of scores that is there at once
 BLOCK = "cell long, n long, ids binary, vectors binary"
 FOUND = "query_id long, id long, similarity double"
 
@@ -27,6 +30,12 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1, length)
 
 
+def slices(rows: int, width: int) -> list[slice]:
+    """Ranges of rows whose matrix of this width holds at most ``NUMBERS``, so that memory depends neither on the rows of a task nor on the number of cells."""
+    step = max(1, NUMBERS // max(1, width))
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
 def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of each row's k largest scores to 6 digits, the first columns on ties: a partition finds the k-th score, and only scores as large are sorted."""
     sims = np.round(sims, 6)
@@ -60,29 +69,48 @@ def _arrays(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(), np.asarray(batch.column(1).flatten()).reshape(-1, dims)
 
 
-def _packed(cells: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sent(made: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Blocks (cell, ids, vectors) in batches of a few megabytes."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "n", "ids", "vectors"])
+
+    held, size = [], 0
+    for cell, ids, vectors in made:
+        held.append((int(cell), len(ids), ids.tobytes(), vectors.tobytes()))
+        size += ids.nbytes + vectors.nbytes
+        if size >= SENT_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _most(vectors: np.ndarray) -> int:
+    """Rows of a full block."""
+    return max(1, BLOCK_BYTES // max(1, vectors.itemsize * vectors.shape[1]))
+
+
+def _packed(cells: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of rows of one cell, by id."""
     order = np.lexsort((ids, cells))
-    cells, ids, vectors = cells[order], ids[order], vectors[order]
-    most = max(1, BLOCK_BYTES // max(1, vectors.itemsize * vectors.shape[1]))
+    cells, most = cells[order], _most(vectors)
     edges = np.flatnonzero(np.diff(cells, prepend=-1)).tolist()
-    spans = [(a, min(a + most, stop)) for start, stop in zip(edges, [*edges[1:], len(cells)]) for a in range(start, stop, most)]
-    for at in range(0, len(spans), 64):
-        part = spans[at : at + 64]
-        columns = [[int(cells[a]) for a, _ in part], [b - a for a, b in part], [ids[a:b].tobytes() for a, b in part], [vectors[a:b].tobytes() for a, b in part]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "n", "ids", "vectors"])
+    for start, stop in zip(edges, [*edges[1:], len(cells)]):
+        for at in range(start, stop, most):
+            rows = order[at : min(at + most, stop)]
+            yield cells[at], ids[rows], vectors[rows]
 
 
-def blocks(rows: DataFrame, dims: int, cells: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """Rows of (key, vector) as blocks. ``cells`` gives (row, cell) pairs for a matrix of vectors, by default all of them in cell 0. Tasks deal what they read; nothing is shuffled."""
+def blocks(rows: DataFrame, dims: int, cells: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows of (key, vector) as blocks. ``cells`` gives the cells of a matrix of vectors, by default 0. Tasks deal what they read; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, vectors = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            row, cell = cells(unit(vectors)) if cells else (np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64))
-            yield from _packed(cell, ids[row], vectors[row])
+            yield from _sent(_packed(cells(vectors) if cells else np.zeros(len(ids), dtype=np.int64), ids, vectors))
 
         for batch in batches:
             held.append(_arrays(batch, dims))
@@ -96,11 +124,40 @@ def blocks(rows: DataFrame, dims: int, cells: Callable[[np.ndarray], tuple[np.nd
     return rows.where(F.size("vector") == dims).mapInArrow(run, BLOCK)
 
 
+def merged(rows: DataFrame, dims: int, width: int) -> DataFrame:
+    """The blocks, with the small ones that many tasks made for a cell put together. Those half full stay and go to any task, so a cell of many copies isn't one task's alone."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = BLOCK_BYTES // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            held, size, now = [], 0, None
+            for batch in batches:
+                for cell, ids, vectors in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                    block = np.frombuffer(ids.as_py(), dtype=np.int64), np.frombuffer(vectors.as_py(), dtype=f"f{width}").reshape(-1, dims)
+                    if held and (cell != now or size >= least):
+                        yield from _packed(np.full(sum(len(h[0]) for h in held), now), *(np.concatenate(c) for c in zip(*held)))
+                        held, size = [], 0
+                    if block[1].nbytes >= least:
+                        yield cell, *block
+                    else:
+                        held.append(block)
+                        size, now = size + block[1].nbytes, cell
+            if held:
+                yield from _packed(np.full(sum(len(h[0]) for h in held), now), *(np.concatenate(c) for c in zip(*held)))
+
+        yield from _sent(made())
+
+    by = F.when(F.octet_length("vectors") >= least, F.xxhash64("ids")).otherwise(F.xxhash64("cell"))
+    return rows.repartition(tasks, by).sortWithinPartitions("cell").mapInArrow(run, BLOCK)
+
+
 def scored(pairs: DataFrame, dims: int, k: int, width: int, other: int) -> DataFrame:
     """(query_id, id, similarity): the k best of a task's pairs of blocks for every query. ``width``, ``other``: bytes of a number of the queries' and the corpus's vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        size = 0
 
         def kept() -> list[np.ndarray]:
             query, near, sims = (np.concatenate(c) for c in zip(*held))
@@ -109,18 +166,23 @@ def scored(pairs: DataFrame, dims: int, k: int, width: int, other: int) -> DataF
             order = order[np.arange(len(order)) - first < k]
             return [query[order], near[order], sims[order]]
 
+        def sent(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "similarity"])
+
         for batch in batches:
             for q_ids, q_vectors, ids, vectors in zip(*(batch.column(i) for i in range(4))):
                 mine, theirs = np.frombuffer(q_ids.as_py(), dtype=np.int64), np.frombuffer(ids.as_py(), dtype=np.int64)
                 a, b = (unit(np.frombuffer(v.as_py(), dtype=f"f{w}").reshape(-1, dims)) for v, w in ((q_vectors, width), (vectors, other)))
-                query, near, sims = best(a @ b.T, k)
-                held.append([mine[query], theirs[near], sims])
-            if held:
-                held = [kept()]
-                if len(held[0][0]) >= HELD_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["query_id", "id", "similarity"])
+                for some in slices(len(a), len(b)):
+                    query, near, sims = best(a[some] @ b.T, k)
+                    held.append([mine[some][query], theirs[near], sims])
+                    size += len(query)
+                if size >= HELD_ROWS // 4:
+                    held, size = [kept()], 0
+                    if len(held[0][0]) >= HELD_ROWS // 2:
+                        yield sent(held.pop())
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["query_id", "id", "similarity"])
+            yield sent(kept())
 
     return pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, FOUND)
 
@@ -162,18 +224,23 @@ class Cells:
     probes: int
     reach: np.ndarray | None = None
 
-    def own(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.arange(len(vectors)), np.argmax(vectors @ self.centres.T, axis=1)
+    def own(self, vectors: np.ndarray) -> np.ndarray:
+        """The nearest centre's cell."""
+        return np.concatenate([np.argmax(unit(vectors[some]) @ self.centres.T, axis=1) for some in slices(len(vectors), len(self.centres))] or [np.zeros(0, dtype=np.int64)])
 
-    def nearest(self, vectors: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell): each vector's cells from the ``start``-th nearest to the ``stop``-th."""
-        order = np.argsort(-(vectors @ self.centres.T), axis=1, kind="stable")[:, start:stop]
-        return np.repeat(np.arange(len(vectors)), order.shape[1]), order.ravel()
+    def probed(self, vectors: np.ndarray, stop: int, kth: np.ndarray | None = None) -> np.ndarray:
+        """(vector, cell) booleans: the ``stop`` cells with the nearest centres, without those that can't hold a row as similar as the vector's ``kth``.
 
-    def bound(self, vectors: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """No member of the cell is more similar than this: its angle to the centre is at most the cell's, so by the triangle inequality its angle to the vector is at least the difference."""
-        to = np.arccos(np.clip((vectors * self.centres[cell]).sum(axis=1), -1, 1))
-        return np.cos(np.maximum(to - np.arccos(np.clip(self.reach[cell], -1, 1)), 0))
+        A member's angle to the centre is at most the cell's, so by the triangle inequality its angle to the vector is at least the difference.
+        """
+        out = np.zeros((len(vectors), len(self.centres)), dtype=bool)
+        for some in slices(*out.shape):
+            sims, part = unit(vectors[some]) @ self.centres.T, out[some]
+            np.put_along_axis(part, np.argsort(-sims, axis=1, kind="stable")[:, :stop], True, axis=1)
+            if kth is not None:
+                angle = np.arccos(np.clip(sims, -1, 1)) - np.arccos(np.clip(self.reach, -1, 1))
+                part &= np.cos(np.maximum(angle, 0)) + 1e-6 >= kth[some, None]  # scores are rounded to 6 digits
+        return out
 
 
 def fit_cells(corpus: DataFrame, dims: int, k: int, *, sample: int = 16384, per_cell: int = 5, most_cells: int = 4096, recall: float = 0.92, turns: int = 8, trials: int = 512) -> Cells:
@@ -189,12 +256,12 @@ def fit_cells(corpus: DataFrame, dims: int, k: int, *, sample: int = 16384, per_
     count = max(1, min(most_cells, n // per_cell, len(x) // 2))
     centres = x[np.linspace(0, len(x) - 1, count).astype(np.int64)]
     for _ in range(turns):
-        cell = np.argmax(x @ centres.T, axis=1)
+        cell = Cells(centres, 1).own(x)
         sums = np.zeros_like(centres)
         np.add.at(sums, cell, x)
         full = np.bincount(cell, minlength=count) > 0
         centres = np.where(full[:, None], unit(sums), centres)
-    cell, some = np.argmax(x @ centres.T, axis=1), x[: min(trials, len(x))]
+    cell, some = Cells(centres, 1).own(x), x[: min(trials, len(x))]
     sims = some @ x.T
     sims[np.arange(len(some)), np.arange(len(some))] = -2
     near = np.argsort(-sims, axis=1)[:, : max(1, min(k, len(x) - 1))]
@@ -207,7 +274,8 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, exact: bool = F
     """As ``knn_exact``, through an inverted file: rows are dealt to the cells of ``fit_cells`` and a query is compared with those of its nearest cells only.
 
     A quarter of a query's probes come first; their k-th score rules out every later cell that the triangle inequality puts farther off. The others are probed up to the fitted number, or, with ``exact``, all of
-    them, which gives the rows of ``knn_exact``. The corpus is written once as blocks by cell and never shuffled whole: blocks meet the queries that probe their cell in a join that Spark may broadcast or split.
+    them, which gives the rows of ``knn_exact``. The corpus is shuffled once into blocks by cell, which are written; blocks meet the queries that probe their cell in a join that Spark may broadcast or split.
+    A task holds a bounded number of vectors, scores and blocks at once, however many rows, cells and probes there are.
     """
     spark = queries.sparkSession
     mine, theirs = usable(queries, "query_id"), usable(corpus, "id")
@@ -218,9 +286,9 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, exact: bool = F
     if exact:
         cells.probes = len(cells.centres)
     path, centres = fresh_folder(spark, "cells"), cells.centres
-    blocks(theirs, dims, cells.own).write.parquet(path)
+    width, other = _width(mine), _width(theirs)
+    merged(blocks(theirs, dims, cells.own), dims, other).write.parquet(path)
     held = spark.read.schema(BLOCK).parquet(path)
-    other = _width(theirs)
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,27 +299,48 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, exact: bool = F
     cells.reach = np.ones(len(centres))
     for r in held.select("cell", "vectors").mapInArrow(reach, "cell long, least double").groupBy("cell").agg(F.min("least").alias("least")).collect():  # one row a cell
         cells.reach[r.cell] = r.least
-    first = max(1, cells.probes // 4)
-    ask = lambda probes: scored(held.join(_asked(probes), "cell"), dims, k, _width(mine), other)
-    near = ask(blocks(mine, dims, lambda x: cells.nearest(x, 0, first)))
+    first, path = max(1, cells.probes // 4), fresh_folder(spark, "asked")
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, len(centres)):
+                near = np.packbits(cells.probed(_arrays(part, dims)[1], first), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in near])], names=["key", "vector", "near"])
+
+    kind = mine.schema["vector"].dataType.simpleString()
+    asked = mine.where(F.size("vector") == dims).repartition(-(-n * dims * width // ASKED_BYTES)).mapInArrow(begun, f"key long, vector {kind}, near binary")
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    ask = lambda probes: scored(held.join(_asked(probes), "cell"), dims, k, width, other)
+    near = ask(_probes(asked, dims, cells))
     path = fresh_folder(spark, "near")
     rank_within_query(near, "similarity", k).write.parquet(path)
     near = spark.read.schema(FOUND + ", rank long").parquet(path)
     kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("similarity").alias("kth"))
-    rest = mine.join(kth, "key", "left").select("key", "vector", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-    far = ask(_probes(rest, dims, cells, first))
-    return rank_within_query(near.drop("rank").unionByName(far), "similarity", k)
+    rest = asked.join(kth, "key", "left").select("key", "vector", "near", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+    return rank_within_query(near.drop("rank").unionByName(ask(_probes(rest, dims, cells))), "similarity", k)
 
 
-def _probes(rows: DataFrame, dims: int, cells: Cells, first: int) -> DataFrame:
-    """Blocks of queries by the cells after the ``first`` that may hold a row more similar than their k-th so far."""
+def _parts(batch: pa.RecordBatch, cells: int) -> list[pa.RecordBatch]:
+    """Slices of the batch whose table of probes, a byte a cell, is bounded."""
+    most = max(1, 16 * NUMBERS // cells)
+    return [batch.slice(at, most) for at in range(0, batch.num_rows, most)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = _arrays(batch, dims)
-            x = unit(vectors)
-            row, cell = cells.nearest(x, first, cells.probes)
-            open_ = cells.bound(x[row], cell) + 1e-6 >= batch.column(2).to_numpy()[row]  # scores are rounded to 6 digits
-            yield from _packed(cell[open_], ids[row[open_]], vectors[row[open_]])
 
-    return rows.where(F.size("vector") == dims).mapInArrow(run, BLOCK)
+def _probes(rows: DataFrame, dims: int, cells: Cells) -> DataFrame:
+    """Blocks of queries by the cells that they probe: those of ``near``, or with a ``kth`` score the others that may hold a row as similar."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for part in _parts(batch, len(cells.centres)):
+                ids, vectors = _arrays(part, dims)
+                near = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                probed = np.unpackbits(near, axis=1, count=len(cells.centres)).astype(bool)
+                if part.num_columns > 3:
+                    probed = cells.probed(vectors, cells.probes, part.column(3).to_numpy()) & ~probed
+                most = _most(vectors)
+                for cell, column in enumerate(np.ascontiguousarray(probed.T)):
+                    who = np.flatnonzero(column)
+                    yield from ((cell, ids[who[at : at + most]], vectors[who[at : at + most]]) for at in range(0, len(who), most))
+
+    return rows.mapInArrow(lambda batches: _sent(made(batches)), BLOCK)
