@@ -274,7 +274,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, exact: bool = F
     """As ``knn_exact``, through an inverted file: rows are dealt to the cells of ``fit_cells`` and a query is compared with those of its nearest cells only.
 
     A quarter of a query's probes come first; their k-th score rules out every later cell that the triangle inequality puts farther off. The others are probed up to the fitted number, or, with ``exact``, all of
-    them, which gives the rows of ``knn_exact``. The corpus is shuffled once into blocks by cell, which are written; blocks meet the queries that probe their cell in a join that Spark may broadcast or split.
+    them, which gives the rows of ``knn_exact``. The corpus is shuffled once into blocks by cell, which are written; blocks meet the queries that probe their cell in a sort-merge join, of which Spark may split a large cell.
     A task holds a bounded number of vectors, scores and blocks at once, however many rows, cells and probes there are.
     """
     spark = queries.sparkSession
@@ -311,7 +311,8 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, *, exact: bool = F
     asked = mine.where(F.size("vector") == dims).repartition(-(-n * dims * width // ASKED_BYTES)).mapInArrow(begun, f"key long, vector {kind}, near binary")
     asked.write.parquet(path)
     asked = spark.read.schema(asked.schema).parquet(path)
-    ask = lambda probes: scored(held.join(_asked(probes), "cell"), dims, k, width, other)
+    # Spark takes probes for as large as the queries that they are made of, and would broadcast many gigabytes
+    ask = lambda probes: scored(held.join(_asked(probes).hint("merge"), "cell"), dims, k, width, other)
     near = ask(_probes(asked, dims, cells))
     path = fresh_folder(spark, "near")
     rank_within_query(near, "similarity", k).write.parquet(path)

@@ -173,3 +173,10 @@ def test_candidates_are_merged_before_many_are_held(data, monkeypatch, most, num
     rows = sorted((q, -s, i) for b in sent for q, i, s in zip(*(c.to_pylist() for c in b.columns)))
     got = {(q, i, r + 1) for n in range(30) for r, (q, _, i) in enumerate([x for x in rows if x[0] == n][:4])}
     assert got == nearest(data, 30, 4) and (len(sent) == 1) == (most == 1000)
+
+
+def test_probes_are_never_broadcast(spark, data, monkeypatch):
+    rows, plans, scored = frame(spark, data), [], neighbours.scored
+    monkeypatch.setattr(neighbours, "scored", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or scored(pairs, *a))
+    assert found(neighbours.knn_approx(asked(rows.where("id < 30")), rows, 3, exact=True)) == nearest(data, 30, 3)
+    assert len(plans) == 2 and all("SortMergeJoin [cell" in p and p.count("BroadcastExchange") == i for i, p in enumerate(plans))  # in the second, only the k-th scores
