@@ -246,13 +246,14 @@ class Cells:
 def fit_cells(corpus: DataFrame, dims: int, k: int, *, sample: int = 16384, per_cell: int = 5, most_cells: int = 4096, recall: float = 0.92, turns: int = 8, trials: int = 512) -> Cells:
     """Centres by k-means on the unit sphere, over the ``sample`` rows with the least hash of their id, and the number of probes that reaches ``recall`` on ``trials`` of these rows.
 
-    The sample bounds what reaches the driver. A trial's k nearest others in the sample are farther off than its k nearest in the corpus, so probes are rather too many than too few.
+    The sample bounds what reaches the driver. Of a larger corpus up to twice as many are taken, and every other one, which the centres haven't seen, is for the trials. A trial's k nearest others in the sample are farther off than its k nearest in the corpus, so probes are rather too many than too few.
     """
     n = corpus.count()
-    held = corpus.where(F.size("vector") == dims).orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").toArrow()
+    held = corpus.where(F.size("vector") == dims).orderBy(F.xxhash64("key"), "key").limit(sample if n <= sample else 2 * sample).select("vector").toArrow()
     x = unit(np.asarray(held.column(0).combine_chunks().flatten()).reshape(-1, dims))
     if not len(x):
         return Cells(np.zeros((1, dims)), 1)
+    x, held = (x, x) if len(x) <= sample else (x[::2], x[1::2])  # centres fitted on the trials themselves would lie nearer to them than to other rows
     count = max(1, min(most_cells, n // per_cell, len(x) // 2))
     centres = x[np.linspace(0, len(x) - 1, count).astype(np.int64)]
     for _ in range(turns):
@@ -261,10 +262,10 @@ def fit_cells(corpus: DataFrame, dims: int, k: int, *, sample: int = 16384, per_
         np.add.at(sums, cell, x)
         full = np.bincount(cell, minlength=count) > 0
         centres = np.where(full[:, None], unit(sums), centres)
-    cell, some = Cells(centres, 1).own(x), x[: min(trials, len(x))]
-    sims = some @ x.T
+    cell, some = Cells(centres, 1).own(held), held[: min(trials, len(held))]
+    sims = some @ held.T
     sims[np.arange(len(some)), np.arange(len(some))] = -2
-    near = np.argsort(-sims, axis=1)[:, : max(1, min(k, len(x) - 1))]
+    near = np.argsort(-sims, axis=1)[:, : max(1, min(k, len(held) - 1))]
     place = np.argsort(np.argsort(-(some @ centres.T), axis=1), axis=1)
     needed = np.take_along_axis(place, cell[near], axis=1).ravel() + 1
     return Cells(centres, int(np.quantile(needed, recall, method="higher")))

@@ -180,3 +180,10 @@ def test_probes_are_never_broadcast(spark, data, monkeypatch):
     monkeypatch.setattr(neighbours, "scored", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or scored(pairs, *a))
     assert found(neighbours.knn_approx(asked(rows.where("id < 30")), rows, 3, exact=True)) == nearest(data, 30, 3)
     assert len(plans) == 2 and all("SortMergeJoin [cell" in p and p.count("BroadcastExchange") == i for i, p in enumerate(plans))  # in the second, only the k-th scores
+
+
+def test_recall_on_rows_that_the_centres_have_not_seen(spark):
+    data = np.random.default_rng(8).normal(size=(4000, 16))
+    rows = frame(spark, data)
+    near = found(neighbours.knn_approx(asked(rows.where("id < 200")), rows, 5, sample=400))
+    assert len({x[:2] for x in near} & {x[:2] for x in nearest(data, 200, 5)}) >= 0.9 * 1000
